@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscore.functions.text import exact_match, strip, words
 
-_FIRST_SYMBOL = 0x100
-_BMP_SYMBOLS = 0xD800 - _FIRST_SYMBOL
+# One character per word of a row's vocabulary: most rows stay inside this literal alphabet.
+_ALPHABET = "".join(chr(0x100 + i) for i in range(256))
 _NEXT_PLANE = 0x10000
 
 
@@ -19,11 +19,9 @@ def char_edits(prediction: Column, reference: Column) -> Column:
 
 
 def _symbol(position: Column) -> Column:
-    """One character per vocabulary position, avoiding the surrogate range."""
-    point = F.when(position < _BMP_SYMBOLS, position + _FIRST_SYMBOL).otherwise(
-        position - _BMP_SYMBOLS + _NEXT_PLANE
-    )
-    return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    """The character of a 1-based vocabulary position; rich rows go on in the next plane."""
+    far = F.decode(F.unhex(F.lpad(F.hex(position + _NEXT_PLANE), 8, "0")), "UTF-32")
+    return F.coalesce(F.try_element_at(F.split(F.lit(_ALPHABET), ""), position.cast("int")), far)
 
 
 def word_edits(prediction_words: Column, reference_words: Column, vocabulary: Column) -> Column:
@@ -68,10 +66,17 @@ def with_word_features(df: DataFrame) -> DataFrame:
 
 
 def with_ned(df: DataFrame) -> DataFrame:
-    """Adds `ned`: distance over the longer length, on the texts as they are."""
+    """Adds `ned`: distance over the longer length, on the texts as they are.
+
+    Where stripping changed nothing, an existing `char_edits` is the same distance.
+    """
     p, r = F.col("prediction"), F.col("reference")
+    distance = char_edits(p, r)
+    if "char_edits" in df.columns:
+        unchanged = (strip(p) == p) & (strip(r) == r)
+        distance = F.when(unchanged, F.col("char_edits")).otherwise(distance)
     longest = F.greatest(F.length(p), F.length(r), F.lit(1))
-    return df.withColumn("ned", ratio(char_edits(p, r), longest))
+    return df.withColumn("ned", ratio(distance, longest))
 
 
 def with_row_features(df: DataFrame) -> DataFrame:

@@ -6,13 +6,17 @@ from pyspark.sql import Column, functions as F
 
 from folioscore import vocab
 
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-_ANY_SPACE = r"(?U)[\s\x1c-\x1f]+"
+# Every character that counts as whitespace.
+_SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_ANY_SPACE = f"[{_SPACES}]+"
 
 
 def strip(c: Column) -> Column:
     """Drop leading and trailing whitespace of every kind (`trim` only drops spaces)."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def collapse(c: Column) -> Column:
@@ -22,8 +26,8 @@ def collapse(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Words of a text; an empty text has none."""
-    flat = collapse(c)
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    flat = strip(c)
+    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, _ANY_SPACE))
 
 
 def exact_match(prediction: Column, reference: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scoring"]
+MODULES = ["scoring", "datasets"]
 
 
 def load() -> tuple[dict, dict]:

@@ -45,7 +45,10 @@ def mod(expr: Column, n: int) -> Column:
 
 
 def ascii_text(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, "[^A-Za-z0-9]+", " "))
+    return F.array_join(F.regexp_extract_all(c, F.lit("[A-Za-z0-9]+"), F.lit(0)), " ")
+
+
+TWELVE_WORDS = "(?:[^ ]+ ){0,11}[^ ]+"
 
 
 def choose(index: Column, values: list) -> Column:
@@ -376,12 +379,14 @@ class Inputs:
     def lines(self) -> DataFrame:
         documents = self.spread(self.table("documents")).select(
             "doc_id", "lang", "source", F.sha2("text", 256).alias("doc_sha"),
-            F.split(ascii_text(F.col("text")), " ").alias("w"),
-        ).filter(F.col("w")[0] != "")
+            F.regexp_extract_all(ascii_text(F.col("text")), F.lit(TWELVE_WORDS), F.lit(0)).alias("cut"),
+        )
         joined = documents.join(self.table("labels").select("doc_id", "quality"), "doc_id", "left")
-        last = F.floor((F.size("w") - 1) / 12).cast("int")
-        cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("w", i * 12 + 1, 12), " "))
-        rows = joined.select("doc_id", "lang", "source", "quality", "doc_sha", F.posexplode(cut).alias("pos", "reference"))
+        rows = joined.select(
+            # The outer form keeps Spark from inferring a filter that repeats the expression.
+            "doc_id", "lang", "source", "quality", "doc_sha",
+            F.posexplode_outer("cut").alias("pos", "reference"),
+        ).filter(F.col("pos").isNotNull())
         line = F.col("pos").cast("long")
         return rows.select(
             "doc_id", line.alias("line_no"), "lang", "source", "quality",
