@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scoring", "datasets"]
+MODULES = ["scoring", "datasets", "diagnosis"]
 
 
 def load() -> tuple[dict, dict]:
