@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scoring", "datasets", "diagnosis"]
+MODULES = ["scoring", "datasets", "diagnosis", "governed"]
 
 
 def load() -> tuple[dict, dict]:
