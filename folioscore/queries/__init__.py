@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scoring", "datasets", "diagnosis", "governed"]
+MODULES = ["scoring", "datasets", "diagnosis", "governed", "paging", "streams"]
 
 
 def load() -> tuple[dict, dict]:

@@ -191,9 +191,9 @@ _sql(
     "blocks",
     """SELECT conv_id AS page_id, turn AS reading_order, turn AS block_no,
       CASE role WHEN 'user' THEN 'student_handwriting' WHEN 'assistant' THEN 'printed_text' ELSE 'margin_insertion' END AS type,
-      t AS text, CAST((conv_id*31+turn*17)%101 AS DOUBLE)/100 AS confidence, (conv_id+turn)%7=0 AS crossed_out,
+      t AS text, CAST((conv_id*31+turn*17)%129 AS DOUBLE)/128 AS confidence, (conv_id+turn)%7=0 AS crossed_out,
       10 AS x1, 40*turn AS y1, 10+8*length(t) AS x2, 40*turn+30 AS y2,
-      CAST((conv_id*31+turn*17)%101 AS DOUBLE)/100 < 0.7 AS is_uncertain
+      CAST((conv_id*31+turn*17)%129 AS DOUBLE)/128 < 0.7 AS is_uncertain
     FROM (SELECT *, trim(regexp_replace(text,'[^A-Za-z0-9]+',' ','g')) AS t FROM conversations)""",
 )
 _sql(
@@ -541,7 +541,8 @@ class Inputs:
     @cached_property
     def blocks(self) -> DataFrame:
         conv, turn = F.col("conv_id"), F.col("turn")
-        confidence = hundredths(conv * 31 + turn * 17)
+        # Multiples of 1/128 add up exactly in any order, so means round alike everywhere.
+        confidence = mod(conv * 31 + turn * 17, 129).cast("double") / 128
         kind = F.when(F.col("role") == "user", "student_handwriting").when(
             F.col("role") == "assistant", "printed_text"
         ).otherwise("margin_insertion")
