@@ -243,6 +243,7 @@ def _job_pages(t: Inputs) -> DataFrame:
         {
             "job_id": F.concat(F.lit("job-"), mod(page, 5).cast("string")), "status": status,
             "processing_seconds": mod(page, 7).cast("double") / 2,
+            "confidence_score": mod(page, 129).cast("double") / 128,
         }
     )
 
@@ -250,7 +251,7 @@ def _job_pages(t: Inputs) -> DataFrame:
 @query(
     "a39_job_progress", "blocks",
     sql=f"""SELECT 'job-'||(page_id%5) AS job_id, count(*) AS pages_total, count(*) FILTER (s='completed') AS pages_completed, count(*) FILTER (s='completed' AND needs_review) AS pages_needs_review,
-      count(*) FILTER (s='failed') AS pages_failed, round(coalesce(avg(confidence_score) FILTER (s='completed'),0),6) AS avg_confidence,
+      count(*) FILTER (s='failed') AS pages_failed, round(coalesce(avg(CAST(page_id%129 AS DOUBLE)/128) FILTER (s='completed'),0),6) AS avg_confidence,
       round(coalesce(sum(CAST(page_id%7 AS DOUBLE)/2) FILTER (s='completed'),0),6) AS processing_seconds, round(count(*) FILTER (s='queued')*2.5::DOUBLE,6) AS remaining_seconds
       FROM (SELECT *, CASE WHEN page_id%11=0 THEN 'failed' WHEN page_id%13=0 THEN 'queued' ELSE 'completed' END AS s FROM {_CONFIDENCE}) GROUP BY 1""",
 )
