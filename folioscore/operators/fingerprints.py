@@ -48,7 +48,7 @@ def evaluation_set_fingerprint(df: DataFrame) -> DataFrame:
 
 
 def ordered_digest(
-    df: DataFrame, order_by: Sequence[str], line: Column, limit: int = 1_000_000
+    df: DataFrame, order_by: Sequence[str], line: Column, limit: int = 100_000
 ) -> DataFrame:
     """SHA-256 over the lines in key order, each ended by a newline: the published digest.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscore import vocab
 from folioscore.operators.metrics import ALL
+from folioscore.operators.onerow import beside
 
 
 def compare_slices(candidate: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -32,9 +33,7 @@ def evaluation_sets_match(candidate: DataFrame, baseline: DataFrame) -> DataFram
         F.col("test_set").alias("expected_test_set"),
         F.col("fingerprint").alias("expected_fingerprint"),
     )
-    one = F.lit(1)
-    joined = candidate.withColumn("_one", one).join(right.withColumn("_one", one), "_one")
-    return joined.select(
+    return beside(candidate.select("test_set", "fingerprint"), right).select(
         "test_set",
         "fingerprint",
         "expected_test_set",
@@ -69,14 +68,8 @@ def release_gate(
         F.count_if(tags & F.col("candidate_cer").isNull()).alias("missing"),
         F.max(F.when(~tags, F.col("false_confidence_rate"))).alias("false_confidence_rate"),
     )
-    row = overall.withColumns(
-        {
-            "p95_latency_ms": operations.select("p95_latency_ms").scalar(),
-            "cost_per_page_usd": operations.select("cost_per_page_usd").scalar(),
-            "valid_output_rate": operations.select("valid_output_rate").scalar(),
-            "sets_match": sets_match.select("passed").scalar(),
-        }
-    )
+    measured = operations.select("p95_latency_ms", "cost_per_page_usd", "valid_output_rate")
+    row = beside(overall, measured, sets_match.select(F.col("passed").alias("sets_match")))
 
     def check(name: str, actual: Column, expected: str, passed: Column) -> Column:
         return F.struct(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscore import vocab
+from folioscore.operators.onerow import beside
 from folioscore.operators.rules import (
     Rule, is_role, is_sha256, keys_match, optional_number, validate,
 )
@@ -389,9 +390,8 @@ def check_provenance(runs: DataFrame, attested: DataFrame) -> DataFrame:
 
 def comparable_runs(first: DataFrame, second: DataFrame, fields: list[str]) -> DataFrame:
     """Fields in which two one-row run descriptions differ; must be empty."""
-    left = F.struct(*[F.col(f).cast("string").alias(f) for f in fields])
-    right = first.select(left).scalar(), second.select(left).scalar()
-    pair = first.sparkSession.range(1).select(right[0].alias("a"), right[1].alias("b"))
+    described = F.struct(*[F.col(f).cast("string").alias(f) for f in fields])
+    pair = beside(first.select(described.alias("a")), second.select(described.alias("b")))
     entries = [
         F.when(
             ~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")),
@@ -433,8 +433,9 @@ def leaked_values(report_strings: DataFrame, protected: DataFrame, columns: list
 
     `report_strings` has `value`. Both sides are distinct before they meet.
     """
-    sensitive = protected.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("value"))
-    return report_strings.distinct().join(sensitive.filter("value <> ''"), "value", "left_semi")
+    values = F.explode(F.array(*[F.col(c) for c in columns]))
+    sensitive = protected.select(values.alias("value")).filter("value <> ''").distinct()
+    return report_strings.distinct().join(sensitive, "value", "left_semi")
 
 
 def changed_inputs(before: DataFrame, after: DataFrame) -> DataFrame:

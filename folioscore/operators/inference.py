@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from typing import Any, Protocol
 
 import pandas as pd
@@ -52,17 +52,20 @@ def predict(
         model = build()
         read = load or (lambda value: value)
         for batch in batches:
-            for start in range(0, len(batch), batch_size):
-                part = batch.iloc[start : start + batch_size]
-                results = model.predict_batch([read(v) for v in part[payload]])
-                if len(results) != len(part):
+            values, results = batch[payload].tolist(), []
+            for start in range(0, len(values), batch_size):
+                part = values[start : start + batch_size]
+                answers = model.predict_batch([read(v) for v in part])
+                if len(answers) != len(part):
                     raise RuntimeError("the model returned a different number of results")
-                for r in results:
-                    if not 0 <= r.confidence <= 1 or r.latency_ms < 0 or not r.model_version.strip():
-                        raise ValueError("the model returned an invalid prediction")
-                out = pd.DataFrame([vars(r) for r in results])
-                out.insert(0, "sample_id", part["sample_id"].to_numpy())
-                yield out
+                results.extend(answers)
+            # One frame per Arrow batch, however small the model's own batches are.
+            out = pd.DataFrame({f.name: [getattr(r, f.name) for r in results] for f in fields(Prediction)})
+            bounded = out["confidence"].between(0, 1) & (out["latency_ms"] >= 0)
+            if not (bounded & (out["model_version"].str.strip() != "")).all():
+                raise ValueError("the model returned an invalid prediction")
+            out.insert(0, "sample_id", batch["sample_id"].to_numpy())
+            yield out
 
     return inputs.select("sample_id", payload).mapInPandas(run, f"sample_id string, {PREDICTION_COLUMNS}")
 

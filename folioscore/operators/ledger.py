@@ -55,12 +55,11 @@ def check_events(events: DataFrame, now: Column) -> DataFrame:
 
 def _with_previous(events: DataFrame, *columns: str) -> DataFrame:
     """Each event with columns of the event before it in its pilot, as `prev_<column>`."""
-    before = events.select(
-        "pilot_id",
-        (F.col("sequence") + 1).alias("sequence"),
-        *[F.col(c).alias(f"prev_{c}") for c in columns],
+    # A repeated sequence number keeps one predecessor, so the join never multiplies rows.
+    before = events.groupBy("pilot_id", (F.col("sequence") + 1).alias("sequence")).agg(
+        F.max(F.struct(*[F.col(c).alias(f"prev_{c}") for c in columns])).alias("p")
     )
-    return events.join(before, ["pilot_id", "sequence"], "left")
+    return events.join(before.select("pilot_id", "sequence", "p.*"), ["pilot_id", "sequence"], "left")
 
 
 def chain_breaks(events: DataFrame) -> DataFrame:

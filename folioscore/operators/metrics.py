@@ -10,6 +10,7 @@ from folioscore.functions.edits import (
     ratio, row_cer, with_char_features, with_ned, with_row_features, with_word_features,
 )
 from folioscore.functions.text import normalize_slices
+from folioscore.operators.onerow import beside
 from folioscore.operators.ordering import running_sums
 
 ALL = "__all__"
@@ -245,7 +246,7 @@ def latency_summary(df: DataFrame, *by: str) -> DataFrame:
     )
     if keys:
         return percentiles.join(mean, keys)
-    return percentiles.withColumn("samples_per_minute", mean.scalar())
+    return beside(percentiles, mean)
 
 
 # --- the full bundle -----------------------------------------------------------------------------

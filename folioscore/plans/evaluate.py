@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from folioscore.operators.fingerprints import evaluation_set_fingerprint
 from folioscore.operators.gate import evaluation_sets_match, release_gate
 from folioscore.operators.metrics import ALL, latency_summary, mean_cost, slice_metrics
+from folioscore.operators.onerow import beside
 
 
 def operations_row(records: DataFrame) -> DataFrame:
     """Latency, throughput and cost of a record set as one row."""
-    latency = latency_summary(records)
-    return latency.withColumn("cost_per_page_usd", mean_cost(records).scalar())
+    return beside(latency_summary(records), mean_cost(records))
 
 
 def identity_row(records: DataFrame, test_set: str) -> DataFrame:
@@ -38,16 +38,15 @@ def evaluation_document(records: DataFrame, model_version: str, test_set: str) -
         ).alias("slices"),
     )
     operations = operations_row(records)
-    identity = identity_row(records, test_set)
-    return packed.select(
+    return beside(packed, operations, identity_row(records, test_set)).select(
         F.lit(1).alias("schema_version"),
         F.lit("evaluated").alias("status"),
         F.lit(model_version).alias("model_version"),
-        F.lit(test_set).alias("test_set"),
-        identity.select("fingerprint").scalar().alias("evaluation_set_fingerprint"),
-        identity.select("num_records").scalar().alias("num_records"),
+        "test_set",
+        F.col("fingerprint").alias("evaluation_set_fingerprint"),
+        "num_records",
         "metrics",
-        *[operations.select(c).scalar().alias(c) for c in operations.columns],
+        *operations.columns,
         "slices",
     )
 
@@ -60,7 +59,7 @@ def decide_release(
     thresholds: dict[str, float] | None = None,
 ) -> DataFrame:
     """The seven gate checks of two validated record sets."""
-    operations = operations_row(candidate).withColumn("valid_output_rate", valid_rate.scalar())
+    operations = beside(operations_row(candidate), valid_rate)
     return release_gate(
         slice_metrics(candidate),
         slice_metrics(baseline),

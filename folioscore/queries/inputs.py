@@ -524,7 +524,7 @@ class Inputs:
         t = ascii_text(F.col("text"))
         doc = F.col("doc_id")
         marked = F.concat(F.substring("t", 1, 3), F.lit("#"), F.substring("t", 4, 1 << 30))
-        return self.table("documents").select("doc_id", t.alias("t")).select(
+        return self.spread(self.table("documents")).select("doc_id", t.alias("t")).select(
             F.concat(
                 F.format_string("%04d-%03d", F.floor(doc / 25), mod(doc, 25)), F.lit(","),
                 mod(doc * 7, 300).cast("string"), F.lit(" "),
@@ -575,9 +575,9 @@ class Inputs:
     @cached_property
     def ledger(self) -> DataFrame:
         """All events as ledger entries: four in a row of a user are one withdrawal."""
-        day = F.date_trunc("DAY", "ts")
+        hour = F.date_trunc("HOUR", "ts")
         events = self.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
-        n = position_within(events, ["user_id"], [F.col("ts"), F.col("event_id")], day, name="n")
+        n = position_within(events, ["user_id"], [F.col("ts"), F.col("event_id")], hour, name="n")
         cycle = F.floor((F.col("n") - 1) / 4)
         user = F.col("user_id")
         rows = n.withColumns(
@@ -587,7 +587,7 @@ class Inputs:
                 "pilot_id": F.format_string("pilot-cohort-%04d", mod(user, 8)),
             }
         )
-        rows = position_within(rows, ["pilot_id"], [F.col("ts"), F.col("event_id")], F.date_trunc("DAY", "ts"), name="sequence")
+        rows = position_within(rows, ["pilot_id"], [F.col("ts"), F.col("event_id")], F.date_trunc("MINUTE", "ts"), name="sequence")
         at = mod(F.col("n") - 1, 4)
         request, primary, backup, close = vocab.EVENT_TYPES
         group = F.col("user_id") + F.col("cycle")
