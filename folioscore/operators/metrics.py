@@ -176,11 +176,12 @@ def exact_percentiles(
     only the buckets that hold one of them are sorted.
     """
     keys = list(by)
+    # A bucket that can never be null spares an inferred filter, so both uses share one shuffle.
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_n"))
-        .withColumn("_b", _value_bucket(F.col("_v")))
+        .withColumn("_b", F.coalesce(_value_bucket(F.col("_v")), F.lit(0)))
     )
     one = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     buckets = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
@@ -193,33 +194,27 @@ def exact_percentiles(
             "_total": F.sum("_bn").over(one),
         }
     )
-    # 0-based ranks around each percentile.
+    # 0-based ranks around each percentile; a bucket keeps those that fall into it.
     wanted = F.array(
         *[
-            F.struct(
-                F.lit(name).alias("name"),
-                F.lit(float(p)).alias("p"),
-                (F.lit(float(p)) * (F.col("_total") - 1)).alias("at"),
-            )
-            for name, p in percentages.items()
+            F.struct(F.lit(n).alias("name"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("at"))
+            for n, p in percentages.items()
         ]
     )
-    ranks = buckets.select(*keys, "_b", "_bn", "_before", F.explode(wanted).alias("w"))
-    lower, upper = F.floor("w.at"), F.ceil("w.at")
-    touches = (upper >= F.col("_before")) & (lower < F.col("_before") + F.col("_bn"))
-    ranks = ranks.filter(touches)
-    targets = ranks.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_k_b"), "_before", "w"
+    end = F.col("_before") + F.col("_bn")
+    inside = F.filter(
+        wanted, lambda w: (F.ceil(w["at"]) >= F.col("_before")) & (F.floor(w["at"]) < end)
+    )
+    targets = buckets.withColumn("_w", inside).filter(F.size("_w") > 0).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_k_b"), "_before", "_w"
     )
     match = F.col("_b") == F.col("_k_b")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    # Running count inside the few buckets that are kept.
-    keep = targets.select("_k_b", *[f"_k_{k}" for k in keys], "_before").distinct()
-    inside = counts.join(keep, match).drop("_k_b", *[f"_k_{k}" for k in keys])
+    kept = counts.join(targets, match)
     local = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = inside.withColumn("_end", F.sum("_n").over(local) + F.col("_before")).drop("_before")
-    hit = inside.join(targets.drop("_before"), match)
+    kept = kept.withColumn("_end", F.sum("_n").over(local) + F.col("_before"))
+    hit = kept.select(*keys, "_v", "_n", "_end", F.explode("_w").alias("w"))
     start = F.col("_end") - F.col("_n")
 
     def value_at(rank: Column) -> Column:
