@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from folioscore import vocab
 from folioscore.operators.ledger import _with_previous
 from folioscore.operators.ordering import position_within
+from folioscore.session import ship_package
 
 SQL: dict[str, str] = {}
 NEEDS: dict[str, list[str]] = {}
@@ -361,7 +362,7 @@ class Inputs:
     """The derived tables of one scale folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = ship_package(spark), folder
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:

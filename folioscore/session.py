@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import folioscore
+
 
 def build_session(app: str = "folioscore", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library relies on; `conf` overrides win."""
@@ -26,7 +29,17 @@ def build_session(app: str = "folioscore", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Makes functions of this package travel to the Python workers by value.
+
+    Executors have no copy of the package, and the process that prepares a stateful stream
+    does not see added files.
+    """
+    cloudpickle.register_pickle_by_value(folioscore)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
