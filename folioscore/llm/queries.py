@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscore.llm import mixing
+from folioscore.llm import mixing, packing, token_counts
 from folioscore.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,3 +34,14 @@ def query(name: str, sql: str | None = None):
 def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+@query("op9_token_counts")
+def count_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    counts = token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query("op6_pack_windows")
+def pack_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
