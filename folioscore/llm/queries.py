@@ -7,12 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscore.llm import mixing, packing, token_counts
+from folioscore.llm import fingerprints, mixing, packing, pseudonyms, token_counts
 from folioscore.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 VOCABULARY = "byte_bpe_50k.json"
+# A demonstration key; real use takes one from a secret store.
+KEY = b"registered query"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,3 +47,14 @@ def count_tokens(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_pack_windows")
 def pack_windows(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+@query("op4_pseudonyms")
+def replace_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = pseudonyms.pseudonymised(table(spark, folder, "documents"), KEY)
+    return docs.select("doc_id", "text", F.size("pii_spans").alias("n_replaced"), "pii_spans")
+
+
+@query("op3_sketch_fingerprints", fingerprints.ORACLE)
+def sketch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, folder, "documents"))
