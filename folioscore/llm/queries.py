@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscore.llm import fingerprints, mixing, packing, pseudonyms, token_counts
+from folioscore.llm import fingerprints, mixing, packing, pseudonyms, quality, token_counts
+from folioscore.llm.common import crc_bucket
 from folioscore.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +59,13 @@ def replace_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_sketch_fingerprints", fingerprints.ORACLE)
 def sketch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, folder, "documents"))
+
+
+@query("op8_quality")
+def score_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    network = quality.fit(docs, labels.filter(crc_bucket("doc_id", 5) != 0))
+    scores = quality.scored(docs.select("doc_id", "text"), network)
+    return scores.select(
+        "doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
