@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscore.llm import fingerprints, mixing, packing, pseudonyms, quality, token_counts
+from folioscore.llm import fingerprints, language, mixing, packing, pseudonyms, quality, token_counts
 from folioscore.llm.common import crc_bucket
 from folioscore.session import ship_package
 
@@ -69,3 +69,14 @@ def score_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scores.select(
         "doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query("op7_language")
+def predict_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    models = language.fit(docs.filter(crc_bucket("doc_id", 3) != 1).select("text", "lang"))
+    found = language.identified(docs.select("doc_id", "text"), models)
+    return found.select(
+        "doc_id", (crc_bucket("doc_id", 3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"),
+        F.col("lang_entropy").alias("entropy"), F.col("lang_rejected").alias("rejected"),
+    )
