@@ -45,6 +45,17 @@ def sketch(text: Column, words: int = WORDS, sixteenths: int = SIXTEENTHS) -> Co
     return F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < limit)))
 
 
+def packed(hashes: Column) -> Column:
+    """A sketch as bytes: a third of its size as text in a shuffle."""
+    return F.unhex(F.array_join(hashes, ""))
+
+
+def unpacked(data: Column) -> Column:
+    text = F.lower(F.hex(data))
+    each = lambda t: F.transform(F.sequence(F.lit(1), F.length(t), F.lit(HEX)), lambda i: F.substring(t, i, HEX))
+    return F.flatten(F.transform(F.array(text), lambda t: F.when(F.length(t) > 0, each(t)).otherwise(F.array().cast("array<string>"))))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity of the documents behind two sketches."""
     both = F.size(F.array_intersect(a, b))
@@ -91,7 +102,8 @@ def edited_fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_colu
     text are one document in that order and share their result.
 
     One shuffle brings texts and neighbours together by key; the next document then sends its
-    needed prefix and its sketch, not its text, to the one before it.
+    needed prefix and its sketch, not its text, to the one before it. Both sides read the same
+    columns of that shuffle, so Spark writes it once.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(F.col(id_column).alias("doc_id"), text.alias("text")).select(
@@ -104,12 +116,12 @@ def edited_fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_colu
     sent = once.select(
         F.col("previous_key").alias("key"),
         F.substring(F.col("text"), F.lit(1), F.floor(F.col("previous_chars") / 2).cast("int")).alias("prefix"),
-        sketch(F.col("text"), words, sixteenths).alias("next_sketch"),
+        packed(sketch(F.col("text"), words, sixteenths)).alias("next_packed"), F.col("doc_id").alias("next_id"),
     )
     joined = placed.select("key", "doc_id", "text").join(sent, "key")
     n = F.length("text")
     texts = joined.select(
-        "doc_id", "next_sketch", n.cast("long").alias("n_chars"), sketch(F.col("text"), words, sixteenths).alias("sketch"),
+        "doc_id", "next_id", unpacked(F.col("next_packed")).alias("next_sketch"), n.cast("long").alias("n_chars"), sketch(F.col("text"), words, sixteenths).alias("sketch"),
         F.concat(F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 2)).cast("int")), "prefix").alias("edited"),
     )
     done = texts.withColumn("edited_sketch", sketch(F.col("edited"), words, sixteenths))
@@ -118,7 +130,7 @@ def edited_fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_colu
         F.array_join("sketch", "").alias("fingerprint"), F.array_join("edited_sketch", "").alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-        F.size("sketch").cast("long").alias("n_hashes"),
+        F.size("sketch").cast("long").alias("n_hashes"), "next_id",
     )
 
 
@@ -131,13 +143,14 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 f AS (SELECT doc_id, text, {_WORDS.format(t="text")} AS w FROM d),
 s AS (SELECT doc_id, text, {_SKETCH.format(w="w")} AS sk FROM f),
 n AS (
-  SELECT *, coalesce(lead(text) OVER o, first_value(text) OVER o) AS nt, coalesce(lead(sk) OVER o, first_value(sk) OVER o) AS ns
+  SELECT *, coalesce(lead(text) OVER o, first_value(text) OVER o) AS nt, coalesce(lead(sk) OVER o, first_value(sk) OVER o) AS ns,
+         coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id
   FROM s WINDOW o AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 e AS (SELECT *, substr(text, 1, (length(text) - length(text) // 2)::INT) || substr(nt, 1, (length(text) // 2)::INT) AS edited FROM n),
 g AS (SELECT *, {_WORDS.format(t="edited")} AS ew FROM e),
 h AS (SELECT *, {_SKETCH.format(w="ew")} AS es FROM g)
 SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
        array_to_string(sk, '') AS fingerprint, array_to_string(es, '') AS edited_fingerprint,
-       {_LIKE.format(a="sk", b="es")} AS near_edited, {_LIKE.format(a="sk", b="ns")} AS near_next, len(sk)::BIGINT AS n_hashes
+       {_LIKE.format(a="sk", b="es")} AS near_edited, {_LIKE.format(a="sk", b="ns")} AS near_next, len(sk)::BIGINT AS n_hashes, next_id
 FROM h
 """

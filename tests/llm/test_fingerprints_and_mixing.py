@@ -22,14 +22,15 @@ def test_fingerprints(messy, empty):
     got = fingerprints.edited_fingerprints(messy).collect()
     assert len(got) == len(rows)
     distinct = sorted({(r.doc_id, r.text or "") for r in rows}, key=lambda r: (r[0] is not None, r[0]))
-    after = {r: distinct[(i + 1) % len(distinct)][1] for i, r in enumerate(distinct)}
+    following = {r: distinct[(i + 1) % len(distinct)] for i, r in enumerate(distinct)}
+    after = {r: n[1] for r, n in following.items()}
     want = []
     for r in rows:
         text = r.text or ""
         half = len(text) // 2
         edited = text[:len(text) - half] + after[r.doc_id, text][:half]
         a, b = sketch(text), sketch(edited)
-        want.append((r.doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), "".join(a), "".join(b), like(a, b), like(a, sketch(after[r.doc_id, text])), len(a)))
+        want.append((r.doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), "".join(a), "".join(b), like(a, b), like(a, sketch(after[r.doc_id, text])), len(a), following[r.doc_id, text][0]))
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     assert fingerprints.edited_fingerprints(empty).collect() == []
 
