@@ -77,14 +77,14 @@ class RangeHash:
 
 
 def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of `words` white-space separated words.
+    """Sorted distinct 64-bit hashes of the runs of `words` words between ASCII white space.
 
     A text with fewer words has one shingle of all of them; a text without words has none.
     """
-    joined = " ".join((text or "").split())
+    joined = b" ".join((text or "").encode("utf-8", "surrogatepass").split())
     if not joined:
         return np.empty(0, np.uint64)
-    data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+    data = np.frombuffer(joined, np.uint8)
     spaces = np.flatnonzero(data == 32)
     starts = np.concatenate(([0], spaces + 1))
     ends = np.concatenate((spaces, [len(data)]))
