@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscore.llm import embedding_dedup, fingerprints, language, mixing, packing, pseudonyms, quality, token_counts
+from folioscore.llm import embedding_dedup, fingerprints, jaccard_join, language, mixing, packing, pseudonyms, quality, token_counts
 from folioscore.llm.common import crc_bucket
 from folioscore.session import ship_package
 
@@ -86,3 +86,8 @@ def predict_language(spark: SparkSession, folder: str) -> DataFrame:
 def link_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     found = embedding_dedup.near_vectors(table(spark, folder, "embeddings"), threshold=0.95)
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+@query("op2_jaccard_join")
+def join_similar_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, folder, "documents"))
