@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscore.llm import embedding_dedup, fingerprints, jaccard_join, language, mixing, packing, pseudonyms, quality, token_counts
+from folioscore.llm import embedding_dedup, fingerprints, jaccard_join, language, mixing, packing, pseudonyms, quality, repeats, token_counts
 from folioscore.llm.common import crc_bucket
 from folioscore.session import ship_package
 
@@ -91,3 +91,8 @@ def link_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_jaccard_join")
 def join_similar_texts(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.similar_documents(table(spark, folder, "documents"))
+
+
+@query("op5_repeats")
+def remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, folder, "documents")).drop("kept")
