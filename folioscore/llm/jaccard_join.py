@@ -30,7 +30,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from folioscore.llm.common import cut, mixed, shingle_hashes
 from folioscore.llm.components import components
@@ -262,10 +262,10 @@ def similar_documents(
     docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, threshold: float = THRESHOLD,
     recall: float = RECALL, levels: int = LEVELS, limit: int = LIMIT, chunk: int = CHUNK, tile: int = TILE,
 ) -> DataFrame:
-    """(doc_id, class_id, n_links) of each row: its class of linked texts and its number of links."""
+    """(doc_id, class_id, n_links, text_key) of each row: its class of linked texts and its number of links."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"))
-    rows = rows.withColumn("key", F.md5(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))))
+    rows = rows.withColumn("key", text_key(F.col("text")))
     spoken = rows.filter(F.col("key") != F.md5(F.lit("")))
     classes = cut(spoken.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     paths = cut(spoken.select("key", "text").mapInArrow(_first_paths(words, runs_for(recall), threshold, levels), ROWS))
@@ -293,5 +293,24 @@ def similar_documents(
     blank = F.col("key") == F.md5(F.lit(""))
     return done.select(
         "doc_id", F.when(blank, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(blank, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+        F.when(blank, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.col("key").alias("text_key"),
     )
+
+
+def text_key(text: Column) -> Column:
+    """Equal for texts with equal words."""
+    return F.md5(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")))
+
+
+def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The rows of `docs` that name their class, one for each class, columns unchanged.
+
+    Texts without a word are in no class: one row of each such id stays.
+    """
+    classes = similar_documents(docs, id_column=id_column, text_column=text_column, **options)
+    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    # Rows of one class and id may still differ in white space or be repeated: the first stays.
+    keyed = docs.withColumn("_text_key", text_key(F.col(text_column)))
+    found = keyed.join(kept, keyed[id_column].eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
+    named = W.partitionBy(id_column, "_text_key").orderBy(*[F.col(c) for c in docs.columns])
+    return found.withColumn("_place", F.row_number().over(named)).filter("_place = 1").select(*docs.columns)
