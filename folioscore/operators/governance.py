@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscore import vocab
+from folioscore.functions.text import utc_timestamp
 from folioscore.operators.onerow import beside
 from folioscore.operators.rules import (
     Rule, is_role, is_sha256, keys_match, optional_number, validate,
@@ -157,8 +158,8 @@ def _checked(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def _validity(days: int, now: Column) -> list[Rule]:
     """An approval that is in force and not longer than `days`."""
-    start = F.try_to_timestamp("approved_at")
-    end = F.try_to_timestamp("expires_at")
+    start = utc_timestamp(F.col("approved_at"))
+    end = utc_timestamp(F.col("expires_at"))
     return [
         Rule("in_force", (start <= now) & (end > now)),
         Rule("validity_window", (end > start) & (end <= start + F.make_dt_interval(F.lit(days)))),
@@ -170,7 +171,8 @@ def _validity(days: int, now: Column) -> list[Rule]:
 
 def contract_rules() -> list[Rule]:
     c = F.col
-    ratios = c("gold.validation_writer_ratio") + c("gold.test_writer_ratio")
+    shares = [c("gold.validation_writer_ratio"), c("gold.test_writer_ratio")]
+    inside = (shares[0] > 0) & (shares[0] < 1) & (shares[1] > 0) & (shares[1] < 1)
     return [
         _exact("schema_version", 1),
         Rule("pilot_id", c("pilot_id").rlike(vocab.PILOT_ID)),
@@ -196,7 +198,7 @@ def contract_rules() -> list[Rule]:
             True,
         ),
         *_flags("approval.consent", ["publication_allowed", "training_allowed"], False),
-        Rule("approval.consent.verified_at", F.try_to_timestamp("approval.consent.verified_at") <= F.current_timestamp()),
+        Rule("approval.consent.verified_at", utc_timestamp(c("approval.consent.verified_at")) <= F.current_timestamp()),
         *_flags(
             "privacy",
             ["direct_identifiers_removed", "visual_identifier_review_complete", "image_metadata_removed"],
@@ -236,7 +238,7 @@ def contract_rules() -> list[Rule]:
         Rule("gold.evaluation_set_version", c("gold.evaluation_set_version").rlike(vocab.EVALUATION_SET_VERSION)),
         Rule("gold.split_seed", c("gold.split_seed").between(0, 2**32 - 1)),
         Rule("gold.minimum_samples_per_writer", c("gold.minimum_samples_per_writer").between(1, 1000)),
-        Rule("gold.writer_ratios", F.abs(ratios - 1.0) <= 1e-9),
+        Rule("gold.writer_ratios", inside & (F.abs(shares[0] + shares[1] - 1.0) <= 1e-9)),
         *_flags("gold", ["writer_isolation_required", "split_locked_before_model_selection"], True),
         *_flags("gold", ["test_set_training_access_allowed", "gold_ready"], False),
     ]
@@ -310,7 +312,7 @@ def check_authorizations(authorizations: DataFrame, bindings: DataFrame, now: Co
         *[Rule(n, c(n) == c(f"want.{n}")) for n in bound],
         Rule("roles", is_role(c("accountable_owner_role")) & is_role(c("operator_role"))),
         Rule("model_artifact_sha256", is_sha256(c("model_artifact_sha256"), fold_case=False)),
-        Rule("model_version", c("model_version").rlike(r"^[A-Za-z0-9_.-]+$")),
+        Rule("model_version", c("model_version").rlike(r"^[A-Za-z0-9_.-]+\z")),
         Rule("device", c("device").isin("cpu", "cuda")),
         *[Rule(f"{config}.{n}", c(f"{config}.{n}") >= 1) for n in ("batch_size", "beam_width", "max_length")],
         *[
@@ -348,7 +350,7 @@ def check_attestations(attestations: DataFrame, bindings: DataFrame, now: Column
         *[Rule(n, is_sha256(c(n), fold_case=False)) for n in digests],
         Rule("approval_reference", c("approval_reference").rlike(vocab.REFERENCE_ID)),
         Rule("role", is_role(c("operator_role"))),
-        Rule("executed_at", F.try_to_timestamp("executed_at") <= now),
+        Rule("executed_at", utc_timestamp(c("executed_at")) <= now),
         *[_exact(n, v) for n, v in ATTESTATION_FLAGS.items()],
     ]
     return _checked(rows, rules)

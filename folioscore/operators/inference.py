@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from folioscore.operators.rules import InvalidRows
 
 
 @dataclass(frozen=True)
 class Prediction:
+    """One answer; without a latency of its own it gets its share of the batch's measured time."""
+
     raw_text: str
     confidence: float
-    latency_ms: float
+    latency_ms: float | None
     is_uncertain: bool
     is_unreadable: bool
     model_version: str
@@ -30,7 +35,7 @@ class Predictor(Protocol):
 
 PREDICTION_COLUMNS = (
     "raw_text string, confidence double, latency_ms double, is_uncertain boolean, "
-    "is_unreadable boolean, model_version string"
+    "is_unreadable boolean, model_version string, batch string"
 )
 
 
@@ -43,31 +48,39 @@ def predict(
 ) -> DataFrame:
     """Runs a model over the rows; `build` is called once per task, `load` once per row.
 
-    Rows keep their `sample_id`; the other columns are joined back by the caller.
+    All columns but the payload pass through, so the answers need no join back to their rows.
+    `batch` names the model call that an answer came from. An empty table needs no model.
     """
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
+    kept = [c for c in inputs.columns if c != payload]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = build()
+        model = None
         read = load or (lambda value: value)
-        for batch in batches:
-            values, results = batch[payload].tolist(), []
+        for frame in batches:
+            model = model or build()
+            values, results, latency, calls = frame[payload].tolist(), [], [], []
             for start in range(0, len(values), batch_size):
-                part = values[start : start + batch_size]
-                answers = model.predict_batch([read(v) for v in part])
+                part = [read(v) for v in values[start : start + batch_size]]
+                began = time.perf_counter()
+                answers = model.predict_batch(part)
+                spent = max((time.perf_counter() - began) * 1000, 1e-6) / len(part)
                 if len(answers) != len(part):
                     raise RuntimeError("the model returned a different number of results")
                 results.extend(answers)
+                latency.extend(spent if a.latency_ms is None else a.latency_ms for a in answers)
+                calls.extend([uuid.uuid4().hex] * len(part))
             # One frame per Arrow batch, however small the model's own batches are.
-            out = pd.DataFrame({f.name: [getattr(r, f.name) for r in results] for f in fields(Prediction)})
-            bounded = out["confidence"].between(0, 1) & (out["latency_ms"] >= 0)
+            out = pd.DataFrame({f.name: pd.Series([getattr(r, f.name) for r in results], dtype=object) for f in fields(Prediction)})
+            out["latency_ms"], out["batch"] = latency, pd.Series(calls, dtype=object)
+            bounded = out["confidence"].astype(float).between(0, 1) & (out["latency_ms"] >= 0)
             if not (bounded & (out["model_version"].str.strip() != "")).all():
                 raise ValueError("the model returned an invalid prediction")
-            out.insert(0, "sample_id", batch["sample_id"].to_numpy())
-            yield out
+            yield pd.concat([frame[kept].reset_index(drop=True), out], axis=1)
 
-    return inputs.select("sample_id", payload).mapInPandas(run, f"sample_id string, {PREDICTION_COLUMNS}")
+    schema = StructType([inputs.schema[c] for c in kept] + StructType.fromDDL(PREDICTION_COLUMNS).fields)
+    return inputs.mapInPandas(run, schema)
 
 
 def transcribe_pages(
@@ -85,9 +98,9 @@ def transcribe_pages(
     return pages.select("page_id", payload).mapInPandas(run, "page_id bigint, raw_output string")
 
 
-def prediction_rows(manifest: DataFrame, predictions: DataFrame) -> DataFrame:
+def prediction_rows(scored: DataFrame) -> DataFrame:
     """Public prediction rows: identity, texts, flags and split, without writer or image path."""
-    return manifest.join(predictions, "sample_id").select(
+    return scored.select(
         F.lit(1).alias("schema_version"),
         "sample_id", "source_sha256", "reference",
         F.col("raw_text").alias("prediction"),

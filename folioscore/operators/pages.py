@@ -8,7 +8,6 @@ from folioscore import vocab
 from folioscore.operators.ordering import position_within
 
 HANDWRITING, PRINTED, MARGIN = "student_handwriting", "printed_text", "margin_insertion"
-BLOCKS_PER_PART = 10_000
 SECONDS_PER_PAGE = 2.5
 
 
@@ -312,17 +311,14 @@ def page_model_confidence(blocks: DataFrame) -> DataFrame:
 def assemble_transcripts(blocks: DataFrame, keep_empty: bool = False) -> DataFrame:
     """Page texts: blocks in reading order without crossed-out ones, joined by newlines.
 
-    A page longer than ten thousand blocks comes as several `part` rows, so no cell and no
-    aggregation buffer grows without bound; an ordinary page is its part 0.
+    One row per page, whatever its length: the text is one value by definition, so a page's
+    blocks meet in one row of an aggregation that can spill.
     """
     kept = blocks.filter(~F.col("crossed_out"))
     if not keep_empty:
         kept = kept.filter(F.col("text") != "")
-    part = F.floor(F.col("reading_order") / BLOCKS_PER_PART).alias("part")
     entries = F.array_sort(F.collect_list(F.struct("reading_order", "block_no", "text")))
-    return kept.groupBy("page_id", part).agg(
-        F.array_join(F.transform(entries, lambda e: e["text"]), "\n").alias("text")
-    )
+    return kept.groupBy("page_id").agg(F.array_join(F.transform(entries, lambda e: e["text"]), "\n").alias("text"))
 
 
 def job_progress(pages: DataFrame, *by: str) -> DataFrame:

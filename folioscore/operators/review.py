@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscore.functions.edits import ratio
 from folioscore.operators.ordering import neighbours
-from folioscore.session import broadcast_within
 
 # Fixed weights of the priority score.
 UNCERTAINTY_WEIGHT, FREQUENCY_WEIGHT, IMPACT_WEIGHT, COST_WEIGHT = 0.4, 0.2, 0.3, 0.1
@@ -18,13 +17,11 @@ DEFAULT_FREQUENCY = 0.5
 def with_frequency(items: DataFrame, frequencies: DataFrame) -> DataFrame:
     """Failure frequency of each item's category; unknown categories get the default.
 
-    A popular category would make the shuffle uneven, so the table of categories is broadcast
-    when a bounded count shows it to be small.
+    The categories are few, so Spark broadcasts them by their size; beyond that its skew join
+    splits a popular category.
     """
     category = F.coalesce("failure_category", F.lit("unknown"))
-    lookup = broadcast_within(
-        frequencies.select(F.col("category").alias("_category"), "frequency"), max_rows=10_000
-    )
+    lookup = frequencies.select(F.col("category").alias("_category"), "frequency")
     return (
         items.withColumn("_category", category)
         .join(lookup, "_category", "left")

@@ -45,8 +45,9 @@ def mod(expr: Column, n: int) -> Column:
     return F.pmod(expr, F.lit(n))
 
 
-def ascii_text(c: Column) -> Column:
-    return F.array_join(F.regexp_extract_all(c, F.lit("[A-Za-z0-9]+"), F.lit(0)), " ")
+def one_line(c: Column) -> Column:
+    """A text with every character but its white space, which becomes single spaces."""
+    return F.trim(F.regexp_replace(c, r"[\x20\x09-\x0D]+", " "))
 
 
 TWELVE_WORDS = "(?:[^ ]+ ){0,11}[^ ]+"
@@ -63,7 +64,16 @@ def hundredths(expr: Column, n: int = 101) -> Column:
     return mod(expr, n).cast("double") / F.lit(100.0)
 
 
-_CLEAN = "trim(regexp_replace({0},'[^A-Za-z0-9]+',' ','g'))"
+def _distance(a: str, b: str) -> str:
+    """SQL for the edit distance in characters of two texts whose distinct characters are `v`.
+
+    The oracle's own function counts bytes, so each character becomes one byte first.
+    """
+    coded = [f"CASE WHEN {x}='' THEN '' ELSE array_to_string(list_transform(string_split({x},''), lambda t: chr(33+list_position(v,t))),'') END" for x in (a, b)]
+    return f"levenshtein({coded[0]},{coded[1]})"
+
+
+_WITH_CHARACTERS = "SELECT *, list_distinct(string_split(prediction||reference,'')) AS v FROM"
 
 _sql(
     "lines",
@@ -71,7 +81,7 @@ _sql(
       sha256(d.doc_sha || ':' || u.i) AS source_sha256,
       array_to_string(d.w[u.i*12+1:u.i*12+12], ' ') AS reference, d.doc_id + u.i AS k
     FROM (SELECT t.doc_id, t.lang, t.source, l.quality, sha256(t.text) AS doc_sha,
-            string_split(trim(regexp_replace(t.text,'[^A-Za-z0-9]+',' ','g')),' ') AS w
+            string_split(trim(regexp_replace(t.text,'[\\x20\\x09-\\x0D]+',' ','g')),' ') AS w
           FROM documents t LEFT JOIN labels l ON t.doc_id = l.doc_id) d,
       unnest(range(0, (len(d.w)+11)//12)) AS u(i)
     WHERE d.w[1] <> ''""",
@@ -99,11 +109,11 @@ _sql("pairs", _pairs_sql(0, 37), "lines")
 _sql("baseline", _pairs_sql(1, 41), "lines")
 _sql(
     "feat",
-    """SELECT *, CASE WHEN trim(prediction)=trim(reference) THEN 0 ELSE levenshtein(trim(prediction),trim(reference)) END AS char_edits,
+    f"""SELECT * EXCLUDE (v), CASE WHEN trim(prediction)=trim(reference) THEN 0 ELSE {_distance("trim(prediction)", "trim(reference)")} END AS char_edits,
       length(trim(reference)) AS ref_chars, trim(prediction)=trim(reference) AS exact,
-      CAST(levenshtein(prediction,reference) AS DOUBLE)/greatest(length(prediction),length(reference),1) AS ned,
-      CAST(levenshtein(trim(prediction),trim(reference)) AS DOUBLE)/length(trim(reference)) AS line_cer
-    FROM pairs""",
+      CAST({_distance("prediction", "reference")} AS DOUBLE)/greatest(length(prediction),length(reference),1) AS ned,
+      CAST({_distance("trim(prediction)", "trim(reference)")} AS DOUBLE)/length(trim(reference)) AS line_cer
+    FROM ({_WITH_CHARACTERS} pairs)""",
     "pairs",
 )
 _sql(
@@ -118,8 +128,8 @@ _sql(
 )
 _sql(
     "bfeat",
-    """SELECT *, levenshtein(trim(prediction),trim(reference)) AS char_edits, length(trim(reference)) AS ref_chars,
-      trim(prediction)=trim(reference) AS exact FROM baseline""",
+    f"""SELECT * EXCLUDE (v), {_distance("trim(prediction)", "trim(reference)")} AS char_edits, length(trim(reference)) AS ref_chars,
+      trim(prediction)=trim(reference) AS exact FROM ({_WITH_CHARACTERS} baseline)""",
     "baseline",
 )
 _sql(
@@ -177,7 +187,7 @@ _sql(
     "corpus_lines",
     """SELECT printf('%04d-%03d', doc_id//25, doc_id%25) || ',' || ((doc_id*7)%300) || ' ' ||
       CASE WHEN doc_id%3=0 THEN substr(t,1,3)||'#'||substr(t,4) ELSE t END AS value
-    FROM (SELECT doc_id, trim(regexp_replace(text,'[^A-Za-z0-9]+',' ','g')) AS t FROM documents)""",
+    FROM (SELECT doc_id, trim(regexp_replace(text,'[\\x20\\x09-\\x0D]+',' ','g')) AS t FROM documents)""",
 )
 _sql(
     "corpus",
@@ -195,7 +205,7 @@ _sql(
       t AS text, CAST((conv_id*31+turn*17)%129 AS DOUBLE)/128 AS confidence, (conv_id+turn)%7=0 AS crossed_out,
       10 AS x1, 40*turn AS y1, 10+8*length(t) AS x2, 40*turn+30 AS y2,
       CAST((conv_id*31+turn*17)%129 AS DOUBLE)/128 < 0.7 AS is_uncertain
-    FROM (SELECT *, trim(regexp_replace(text,'[^A-Za-z0-9]+',' ','g')) AS t FROM conversations)""",
+    FROM (SELECT *, trim(regexp_replace(text,'[\\x20\\x09-\\x0D]+',' ','g')) AS t FROM conversations)""",
 )
 _sql(
     "pixels",
@@ -344,11 +354,11 @@ _sql(
 )
 _sql(
     "instances",
-    """SELECT sample_id AS instance_id, CASE k%6 WHEN 0 THEN 'faint_pencil' WHEN 1 THEN 'joined_cursive' WHEN 2 THEN 'touching_lines'
+    f"""SELECT sample_id AS instance_id, CASE k%6 WHEN 0 THEN 'faint_pencil' WHEN 1 THEN 'joined_cursive' WHEN 2 THEN 'touching_lines'
         WHEN 3 THEN 'crossed_out' WHEN 4 THEN 'heavy_blur' ELSE 'unknown' END AS category,
       'images/'||doc_id||'-'||line_no||'.png' AS image_path, prediction AS predicted_text, reference AS reference_text,
-      confidence, CASE WHEN k%6=5 THEN 0.0::DOUBLE ELSE CAST(levenshtein(trim(prediction),trim(reference)) AS DOUBLE)/length(trim(reference)) END AS cer, model_version
-    FROM (SELECT *, 'v1' AS model_version FROM pairs UNION ALL SELECT *, 'v2' AS model_version FROM baseline)""",
+      confidence, CASE WHEN k%6=5 THEN 0.0::DOUBLE ELSE CAST({_distance("trim(prediction)", "trim(reference)")} AS DOUBLE)/length(trim(reference)) END AS cer, model_version
+    FROM ({_WITH_CHARACTERS} (SELECT *, 'v1' AS model_version FROM pairs UNION ALL SELECT *, 'v2' AS model_version FROM baseline))""",
     "pairs",
     "baseline",
 )
@@ -380,7 +390,7 @@ class Inputs:
     def lines(self) -> DataFrame:
         documents = self.spread(self.table("documents")).select(
             "doc_id", "lang", "source", F.sha2("text", 256).alias("doc_sha"),
-            F.regexp_extract_all(ascii_text(F.col("text")), F.lit(TWELVE_WORDS), F.lit(0)).alias("cut"),
+            F.regexp_extract_all(one_line(F.col("text")), F.lit(TWELVE_WORDS), F.lit(0)).alias("cut"),
         )
         joined = documents.join(self.table("labels").select("doc_id", "quality"), "doc_id", "left")
         rows = joined.select(
@@ -522,7 +532,7 @@ class Inputs:
 
     @cached_property
     def corpus_lines(self) -> DataFrame:
-        t = ascii_text(F.col("text"))
+        t = one_line(F.col("text"))
         doc = F.col("doc_id")
         marked = F.concat(F.substring("t", 1, 3), F.lit("#"), F.substring("t", 4, 1 << 30))
         return self.spread(self.table("documents")).select("doc_id", t.alias("t")).select(
@@ -548,7 +558,7 @@ class Inputs:
             F.col("role") == "assistant", "printed_text"
         ).otherwise("margin_insertion")
         box = F.array(F.lit(10).cast("long"), 40 * turn, 10 + 8 * F.length("t"), 40 * turn + 30)
-        return self.table("conversations").withColumn("t", ascii_text(F.col("text"))).select(
+        return self.table("conversations").withColumn("t", one_line(F.col("text"))).select(
             conv.alias("page_id"), turn.alias("reading_order"), turn.alias("block_no"), kind.alias("type"),
             F.col("t").alias("text"), confidence.alias("confidence"),
             (mod(conv + turn, 7) == 0).alias("crossed_out"), box.cast("array<int>").alias("bbox"),

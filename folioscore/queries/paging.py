@@ -120,10 +120,10 @@ _ESCALATED = "(SELECT page_id, count(*) FILTER (is_uncertain) AS u, count(*) AS
 @query(
     "f25_hybrid_escalation", "blocks",
     sql=f"""SELECT b.page_id, b.reading_order, CASE WHEN e.u>e.n*0.3::DOUBLE THEN 'page' ELSE 'line' END AS block_source,
-      CASE WHEN e.u>e.n*0.3::DOUBLE THEN upper(text) ELSE text END AS text FROM blocks b JOIN {_ESCALATED} e USING (page_id)""",
+      CASE WHEN e.u>e.n*0.3::DOUBLE THEN replace(text,'e','E') ELSE text END AS text FROM blocks b JOIN {_ESCALATED} e USING (page_id)""",
 )
 def f25(t: Inputs) -> DataFrame:
-    page_model = t.blocks.withColumn("text", F.upper("text"))
+    page_model = t.blocks.withColumn("text", F.replace("text", F.lit("e"), F.lit("E")))
     return P.hybrid_blocks(t.blocks, page_model).select("page_id", "reading_order", "block_source", "text")
 
 
@@ -221,7 +221,7 @@ def a37(t: Inputs) -> DataFrame:
     return P.page_model_confidence(t.blocks)
 
 
-@query("a38_transcripts", "blocks", sql=f"SELECT page_id, CAST(0 AS BIGINT) AS part, text FROM {_TEXT}")
+@query("a38_transcripts", "blocks", sql=f"SELECT page_id, text FROM {_TEXT}")
 def a38(t: Inputs) -> DataFrame:
     return P.assemble_transcripts(t.blocks)
 
@@ -260,7 +260,7 @@ def a39(t: Inputs) -> DataFrame:
 
 
 def _pages(t: Inputs) -> DataFrame:
-    texts = P.assemble_transcripts(t.blocks).drop("part")
+    texts = P.assemble_transcripts(t.blocks)
     return P.page_confidence(t.blocks).join(texts, "page_id", "left").select(
         F.concat(F.lit("job-"), mod(F.col("page_id"), 5).cast("string")).alias("job_id"),
         F.col("page_id").alias("page_number"), "text", "confidence_score", "needs_review",

@@ -216,23 +216,44 @@ def selection_spec(spark: SparkSession, path: str, nested: bool = False) -> Data
     return nested_selection(specs) if nested else flat_selection(specs)
 
 
-def file_hashes(spark: SparkSession, path: str, max_bytes: int = 1 << 30) -> DataFrame:
-    """Name, size, SHA-256 and MD5 of the files under a folder.
-
-    The size filter is pushed into the scan, so an oversized file is never loaded; it comes
-    back with null hashes.
+def _streamed_hashes(batches):
+    """SHA-256 and MD5 of files read in chunks; an unreadable file fails the task."""
+    import hashlib
+    from urllib.parse import quote
+
+    import pandas as pd
+    from pyarrow import fs
+
+    for frame in batches:
+        out = []
+        for path in frame["path"]:
+            # Spark gives paths, not encoded URIs.
+            local = path.startswith("file:")
+            system, place = (fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if local else fs.FileSystem.from_uri(quote(path, safe=":/"))
+            digests = hashlib.sha256(), hashlib.md5()
+            with system.open_input_stream(place) as stream:
+                while chunk := stream.read(8 << 20):
+                    for d in digests:
+                        d.update(chunk)
+            out.append([d.hexdigest() for d in digests])
+        yield frame.assign(sha256=pd.Series([o[0] for o in out], dtype=object), md5=pd.Series([o[1] for o in out], dtype=object))
+
+
+def file_hashes(spark: SparkSession, path: str, in_memory_bytes: int = 64 << 20) -> DataFrame:
+    """Name, size, SHA-256 and MD5 of the files under a folder, of any size.
+
+    Files up to `in_memory_bytes` are hashed by Spark from their content. The content column of
+    larger ones is not read: a task streams each of them in chunks.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.element_at(F.split("path", "/"), -1).alias("filename")
-    small = files.filter(F.col("length") <= max_bytes).select(
+    small = files.filter(F.col("length") <= in_memory_bytes).select(
         "path", name, F.col("length").alias("size_bytes"),
         F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"),
     )
-    large = files.filter(F.col("length") > max_bytes).select(
-        "path", name, F.col("length").alias("size_bytes"),
-        F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("string").alias("md5"),
-    )
-    return small.unionByName(large)
+    large = files.filter(F.col("length") > in_memory_bytes).select("path", name, F.col("length").alias("size_bytes"))
+    hashed = large.mapInPandas(_streamed_hashes, "path string, filename string, size_bytes long, sha256 string, md5 string")
+    return small.unionByName(hashed)
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:

@@ -19,7 +19,7 @@ def predict_stream(
     spark = manifest.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = prediction_rows(batch, predict(batch, build, payload))
+        scored = prediction_rows(predict(batch, build, payload))
         scored.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
 
     run_available(manifest, write, f"{path}/checkpoint")

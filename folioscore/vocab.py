@@ -54,22 +54,23 @@ EVENT_TYPES = [WITHDRAWAL_REQUESTED, PRIMARY_DELETED, BACKUP_DELETED, WITHDRAWAL
 ZERO_SHA256 = "0" * 64
 
 # --- patterns --------------------------------------------------------------------------------
-SHA256_HEX = "^[0-9a-f]{64}$"
-REVISION_HEX = "^([0-9a-f]{40}|[0-9a-f]{64})$"
-MD5_HEX = "^[0-9a-f]{32}$"
-SAMPLE_FILENAME = r"^sample-[0-9a-f]{16,64}\.(jpeg|jpg|pgm|png)$"
-WRITER_ID = "^writer-[0-9a-f]{16,64}$"
-ANNOTATOR_ID = "^annotator-[0-9a-f]{12,64}$"
-PILOT_ID = "^pilot-[a-z0-9][a-z0-9-]{7,63}$"
-STORAGE_ID = "^storage-[a-z0-9][a-z0-9-]{7,63}$"
-EVENT_ID = "^evt-[0-9a-f]{32}$"
-ROLE = "^[a-z][a-z0-9_]{7,63}$"
+# They end with \z: a dollar would also match before a final line break.
+SHA256_HEX = r"^[0-9a-f]{64}\z"
+REVISION_HEX = r"^([0-9a-f]{40}|[0-9a-f]{64})\z"
+MD5_HEX = r"^[0-9a-f]{32}\z"
+SAMPLE_FILENAME = r"^sample-[0-9a-f]{16,64}\.(jpeg|jpg|pgm|png)\z"
+WRITER_ID = r"^writer-[0-9a-f]{16,64}\z"
+ANNOTATOR_ID = r"^annotator-[0-9a-f]{12,64}\z"
+PILOT_ID = r"^pilot-[a-z0-9][a-z0-9-]{7,63}\z"
+STORAGE_ID = r"^storage-[a-z0-9][a-z0-9-]{7,63}\z"
+EVENT_ID = r"^evt-[0-9a-f]{32}\z"
+ROLE = r"^[a-z][a-z0-9_]{7,63}\z"
 PLACEHOLDER_ROLES = ["pending", "replace_me"]
-REFERENCE_ID = "^[a-z][a-z0-9_-]{7,127}$"
-EVALUATION_SET_ID = "^pilot-[a-z0-9-]{8,64}-v[1-9][0-9]{0,5}$"
-EVALUATION_SET_VERSION = "^v[1-9][0-9]{0,5}$"
-CORPUS_INDEX_LINE = r"^([0-9]{4}-[0-9]{3}),([0-9]+)\s+(.*)$"
-ZONED_TIMESTAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})$"
+REFERENCE_ID = r"^[a-z][a-z0-9_-]{7,127}\z"
+EVALUATION_SET_ID = r"^pilot-[a-z0-9-]{8,64}-v[1-9][0-9]{0,5}\z"
+EVALUATION_SET_VERSION = r"^v[1-9][0-9]{0,5}\z"
+CORPUS_INDEX_LINE = r"^([0-9]{4}-[0-9]{3}),([0-9]+)\s+(.*)\z"
+ZONED_TIMESTAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})\z"
 
 # --- columns fixed by the data model --------------------------------------------------------
 REVIEW_COLUMNS = [

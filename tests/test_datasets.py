@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscore import schemas
 from folioscore.operators import manifest as M, rules, subset as S
-from folioscore.operators.fingerprints import inventory_digest, table_difference, table_fingerprint
+from folioscore.operators.fingerprints import inventory_digest, ordered_digest, table_difference, table_fingerprint
 from folioscore.operators.ordering import global_position, hash_bucket, neighbours, position_within, running_sums
 from folioscore.plans.dataset import make_manifest
 from folioscore.sources import scans, sinks
@@ -22,7 +22,6 @@ def samples(spark, writers, each):
     [(9, (0.7, 0.15, 0.15), (6, 2, 1)), (3, (0.7, 0.15, 0.15), (1, 1, 1)), (10, (0.8, 0.2, 0.0), (8, 2, 0)), (20, (0.7, 0.15, 0.15), (14, 3, 3))],
 )
 def test_allocation(spark, total, ratios, want):
-    assert M.allocate_counts(total, ratios) == want
     table = M.allocation_table(samples(spark, total, 1), ratios).collect()
     assert tuple({r["split"]: r["count"] for r in table}[s] for s in ("train", "validation", "test")) == want
 
@@ -175,11 +174,43 @@ def test_inventory_digest(spark, tmp_path):
     assert (row["num_files"], row["total_bytes"]) == (2, 5)
 
 
-def test_oversized_files_keep_a_row(spark, tmp_path):
-    (tmp_path / "small").write_bytes(b"1")
-    (tmp_path / "large").write_bytes(b"1" * 100)
-    rows = {r["filename"]: r["sha256"] for r in scans.file_hashes(spark, str(tmp_path), max_bytes=10).collect()}
-    assert rows["large"] is None and rows["small"] == hashlib.sha256(b"1").hexdigest()
+def test_streamed_hashes_equal_loaded_ones(spark, tmp_path):
+    contents = {"small": b"1", "sub/large one": bytes(range(256)) * 90_000}
+    (tmp_path / "sub").mkdir()
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    for limit in (10, 1 << 30):
+        rows = {r["filename"]: r for r in scans.file_hashes(spark, str(tmp_path), in_memory_bytes=limit).collect()}
+        for name, content in contents.items():
+            row = rows[name.split("/")[-1]]
+            assert (row["sha256"], row["md5"], row["size_bytes"]) == (hashlib.sha256(content).hexdigest(), hashlib.md5(content).hexdigest(), len(content))
+
+
+def test_a_file_above_a_gibibyte_is_hashed(spark, tmp_path):
+    size = (1 << 30) + 5
+    with open(tmp_path / "weights.bin", "wb") as out:
+        out.truncate(size)
+    digest = hashlib.sha256()
+    for _ in range(1 << 7):
+        digest.update(bytes(8 << 20))
+    digest.update(bytes(5))
+    row = scans.file_hashes(spark, str(tmp_path)).head()
+    assert row["sha256"] == digest.hexdigest() and row["size_bytes"] == size
+
+
+def test_the_digest_takes_any_number_of_rows(spark):
+    df = spark.range(150_000).selectExpr("lpad(id, 7, '0') AS sample_id")
+    digest = hashlib.sha256()
+    for i in range(150_000):
+        digest.update(f"{i:07d}\n".encode())
+    row = ordered_digest(df.repartition(5), ["sample_id"], F.col("sample_id")).head()
+    assert (row["n_rows"], row["sha256"]) == (150_000, digest.hexdigest())
+    assert ordered_digest(df.limit(0), ["sample_id"], F.col("sample_id")).head()["sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_too_few_writers_for_a_split(spark):
+    with pytest.raises(Exception, match="too few writers"):
+        M.allocation_table(samples(spark, 2, 1), (0.7, 0.15, 0.15)).collect()
 
 
 def test_completeness_and_duplicates(spark):

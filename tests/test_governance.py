@@ -4,6 +4,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from folioscore import vocab
+from folioscore.functions.text import utc_timestamp
 from folioscore.operators import annotation, governance as G, inference as I, rules
 from folioscore.queries import governed
 from folioscore.queries.inputs import Inputs
@@ -111,8 +113,8 @@ def manifest(spark, n):
 
 def test_prediction_resume_and_identity(spark):
     rows = manifest(spark, 20)
-    inputs = rows.withColumnRenamed("reference", "payload")
-    done = I.prediction_rows(rows, I.predict(inputs.limit(7), model(), "payload", batch_size=3))
+    inputs = rows.withColumn("payload", F.col("reference"))
+    done = I.prediction_rows(I.predict(inputs.limit(7), model(), "payload", batch_size=3))
     left = I.resume(rows, done)
     assert left.count() == 13
     assert I.partial_mismatches(done, rows).isEmpty()
@@ -123,6 +125,37 @@ def test_prediction_resume_and_identity(spark):
     assert I.reference_free_rows(done).columns == ["sample_id", "source_sha256", "prediction", "confidence", "latency_ms"]
 
 
+def test_predictions_keep_repeated_rows_and_share_the_time_of_a_batch(spark):
+    class Silent:
+        def predict_batch(self, inputs):
+            return [I.Prediction(v, 0.5, None, True, False, "m") for v in inputs]
+
+    rows = manifest(spark, 5)
+    twice = rows.unionByName(rows).withColumn("payload", F.col("reference")).coalesce(1)
+    done = I.predict(twice, lambda: Silent(), "payload", batch_size=4)
+    assert done.columns[:5] == rows.columns
+    got = done.collect()
+    assert len(got) == 10 and all(r["latency_ms"] > 0 for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r["batch"], set()).add(r["latency_ms"])
+    assert sorted(len(v) for v in by.values()) == [1, 1, 1]
+
+
+@pytest.mark.parametrize("ending", ["", "\n", " "])
+def test_rules_match_whole_values(spark, ending):
+    row = spark.createDataFrame([("a" * 64 + ending, "writer-" + "0" * 16 + ending, "2024-05-01T10:00:00Z" + ending)], "h string, w string, t string")
+    found = row.select(
+        rules.is_sha256(F.col("h")).alias("h"), F.col("w").rlike(vocab.WRITER_ID).alias("w"), utc_timestamp(F.col("t")).isNotNull().alias("t")
+    ).head()
+    assert tuple(found) == (ending == "",) * 3
+
+
+def test_times_need_a_zone(spark):
+    row = spark.createDataFrame([("2024-05-01",)], "t string").select(utc_timestamp(F.col("t")).alias("t")).head()
+    assert row["t"] is None
+
+
 def test_gold_problems(spark):
     gold = manifest(spark, 3)
     rows = [("s0", "a" * 64), ("s0", "a" * 64), ("s1", "b" * 64), ("zz", "a" * 64)]

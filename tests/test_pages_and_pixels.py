@@ -93,9 +93,10 @@ def test_quality_and_routes(spark):
 def test_transcripts(spark):
     rows = [(1, 2, 0, "c", False), (1, 0, 1, "a", False), (1, 1, 2, "x", True), (1, 1, 3, "", False), (1, 25_000, 4, "far", False)]
     df = spark.createDataFrame(rows, "page_id int, reading_order int, block_no int, text string, crossed_out boolean")
-    got = {r["part"]: r["text"] for r in P.assemble_transcripts(df).collect()}
-    assert got == {0: "a\nc", 2: "far"}
-    assert P.assemble_transcripts(df, keep_empty=True).filter("part = 0").head()["text"] == "a\n\nc"
+    assert [r["text"] for r in P.assemble_transcripts(df).collect()] == ["a\nc\nfar"]
+    assert P.assemble_transcripts(df, keep_empty=True).head()["text"] == "a\n\nc\nfar"
+    long = spark.range(25_000).selectExpr("1 AS page_id", "id AS reading_order", "id AS block_no", "cast(id AS string) AS text", "false AS crossed_out")
+    assert [r["text"] for r in P.assemble_transcripts(long).collect()] == ["\n".join(map(str, range(25_000)))]
 
 
 def test_active_learning_scores_and_queue(spark):
