@@ -14,8 +14,8 @@ pivots, and compared chunk by chunk. Comparing only marks candidates and keeps a
 no bucket turns into rows of pairs. Then the texts of each candidate component are compared exactly,
 all pairs of them, in tiles of bounded size: the Jaccard similarity of their shingle sets decides.
 
-Texts with equal words are one class with a number of copies throughout. Words are what ASCII white
-space separates.
+Equal texts are one node with a number of copies throughout. Words are what ASCII white space
+separates.
 
 Defined results: a text that is null or has no word links with nothing; a text with fewer words than
 a shingle has one shingle of all of them; rows that repeat come out as often as they went in and
@@ -149,10 +149,14 @@ def _similar(held: list[bytes], threshold: float) -> np.ndarray:
     sketches = np.frombuffer(b"".join(h[8:8 + SKETCH] for h in held), np.uint8).reshape(len(held), SKETCH)
     fits = np.minimum.outer(sizes, sizes) >= threshold * np.maximum.outer(sizes, sizes)
     some = sketches > 0
-    equal, known = np.zeros(fits.shape, np.int16), np.zeros(fits.shape, np.int16)
-    for j in range(SKETCH):
-        known += some[:, j][:, None] | some[:, j][None, :]
-        equal += (sketches[:, j][:, None] == sketches[:, j][None, :]) & some[:, j][:, None]
+    if len(held) <= 48:
+        known = (some[:, None] | some[None, :]).sum(-1)
+        equal = ((sketches[:, None] == sketches[None, :]) & some[:, None]).sum(-1)
+    else:
+        equal, known = np.zeros(fits.shape, np.int16), np.zeros(fits.shape, np.int16)
+        for j in range(SKETCH):
+            known += some[:, j][:, None] | some[:, j][None, :]
+            equal += (sketches[:, j][:, None] == sketches[:, j][None, :]) & some[:, j][:, None]
     # Few parts filled: the estimate says little, so the exact comparison decides.
     return fits & ((equal >= (threshold - SLACK) * known) | (known < 16))
 
@@ -176,12 +180,17 @@ def _compare(threshold: float):
 
     def run(batches):
         for batch in batches:
-            a, b = [], []
+            a, b, met = [], [], set()
             for keys, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for i, j in _forest(_similar(held, threshold)):
-                    if keys[i] != keys[j]:
-                        a.append(keys[i])
-                        b.append(keys[j])
+                one = dict(zip(keys, held))  # copies of a text are one
+                keys = tuple(sorted(one))
+                # The same texts meet again in other runs.
+                if len(keys) < 2 or keys in met:
+                    continue
+                met.add(keys)
+                for i, j in _forest(_similar([one[k] for k in keys], threshold)):
+                    a.append(keys[i])
+                    b.append(keys[j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
 
     return run
@@ -265,16 +274,19 @@ def similar_documents(
     """(doc_id, class_id, n_links, text_key) of each row: its class of linked texts and its number of links."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"))
-    rows = rows.withColumn("key", text_key(F.col("text")))
-    spoken = rows.filter(F.col("key") != F.md5(F.lit("")))
-    classes = cut(spoken.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
+    rows = rows.withColumn("key", F.md5("text")).withColumn("blank", ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    spoken = rows.filter(~F.col("blank"))
+    # A text's node in the graphs: 64 bits of its digest, which Spark hashes and compares as numbers.
+    node = lambda key: F.xxhash64(key)
+    classes = cut(spoken.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).withColumn("node", node("key")))
     paths = cut(spoken.select("key", "text").mapInArrow(_first_paths(words, runs_for(recall), threshold, levels), ROWS))
-    candidates = components(candidate_edges(paths, threshold, levels, limit, chunk))
+    edges = candidate_edges(paths, threshold, levels, limit, chunk)
+    candidates = components(edges.select(node("a").alias("a"), node("b").alias("b")))
     sizes = candidates.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("m"))
     tiles = F.ceil(F.col("m") / tile).cast("int")
     placed = candidates.join(sizes, F.col("component") == F.col("c")).join(
-        classes.select(F.col("key").alias("id"), "first_id", "copies"), "id"
-    ).select(F.col("id").alias("key"), "component", "first_id", "copies", F.pmod(F.xxhash64("id"), tiles).cast("int").alias("tile"), tiles.alias("tiles"))
+        classes.withColumnRenamed("node", "id"), "id"
+    ).select("key", "component", "first_id", "copies", F.pmod(F.col("id"), tiles).cast("int").alias("tile"), tiles.alias("tiles"))
     # One row with the text for each class; rows that repeat even the id are the same text.
     texts = spoken.join(placed, "key").filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
     met = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
@@ -283,34 +295,30 @@ def similar_documents(
     met = met.dropDuplicates(["component", "low", "high", "key"])
     verified = cut(met.groupBy("component", "low", "high").applyInPandas(_verify(words, threshold), "a string, b string, n long"))
     counts = verified.filter("n > 0").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("linked"))
-    groups = components(verified.filter("n = 0")).select(F.col("id").alias("key"), "component")
-    whole = classes.join(counts, "key", "left").join(groups, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    groups = components(verified.filter("n = 0").select(node("a").alias("a"), node("b").alias("b"))).withColumnRenamed("id", "node")
+    whole = classes.join(counts, "key", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = whole.groupBy("component").agg(F.min("first_id").alias("class_id"))
     of_class = whole.join(names, "component").select(
         "key", "class_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    done = rows.select("doc_id", "key").join(of_class, "key", "left")
-    blank = F.col("key") == F.md5(F.lit(""))
+    done = rows.select("doc_id", "key", "blank").join(of_class, "key", "left")
+    blank = F.col("blank")
     return done.select(
         "doc_id", F.when(blank, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(blank, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.col("key").alias("text_key"),
     )
 
 
-def text_key(text: Column) -> Column:
-    """Equal for texts with equal words."""
-    return F.md5(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")))
-
-
 def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The rows of `docs` that name their class, one for each class, columns unchanged.
 
-    Texts without a word are in no class: one row of each such id stays.
+    Texts without a word are in no class: one row of each such id stays. Different texts of one
+    class that share its smallest id, or have none, all stay.
     """
     classes = similar_documents(docs, id_column=id_column, text_column=text_column, **options)
     kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    # Rows of one class and id may still differ in white space or be repeated: the first stays.
-    keyed = docs.withColumn("_text_key", text_key(F.col(text_column)))
+    # Rows of one id and text may be repeated: the first stays.
+    keyed = docs.withColumn("_text_key", F.md5(F.coalesce(F.col(text_column), F.lit(""))))
     found = keyed.join(kept, keyed[id_column].eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
     named = W.partitionBy(id_column, "_text_key").orderBy(*[F.col(c) for c in docs.columns])
     return found.withColumn("_place", F.row_number().over(named)).filter("_place = 1").select(*docs.columns)
