@@ -151,7 +151,7 @@ def _line_index(t: Inputs) -> DataFrame:
 
 @query(
     "s4_line_index", "lines",
-    sql="""SELECT printf('a%02d-%03du', doc_id%100, doc_id%1000)||'-'||doc_id||'-'||line_no AS line_id, reference AS text, printf('a%02d', doc_id%100) AS writer_id,
+    sql="""SELECT printf('a%02d-%03du', doc_id%100, doc_id%1000)||'-'||doc_id||'-'||line_no AS line_id, replace(reference,'|',' ') AS text, printf('a%02d', doc_id%100) AS writer_id,
       'lines/'||printf('a%02d', doc_id%100)||'/'||printf('a%02d-%03du', doc_id%100, doc_id%1000)||'/'||printf('a%02d-%03du', doc_id%100, doc_id%1000)||'-'||doc_id||'-'||line_no||'.png' AS image_path
       FROM lines WHERE k%50<>7 AND k%9<>0""",
 )
@@ -278,7 +278,7 @@ def _selection(t: Inputs) -> DataFrame:
     doc = F.col("doc_id")
     return t.table("documents").select(
         doc.alias("row_idx"), F.expr("try_cast(substring(source, 4) as bigint)").alias("writer_id"),
-        F.substring_index("text", "\n", 1).alias("reference"),
+        F.col("text").alias("reference"),
         (300 + mod(doc, 400)).cast("int").alias("width"), (80 + mod(doc, 150)).cast("int").alias("height"),
         F.sha2("text", 256).alias("image_sha256"),
     )
@@ -298,7 +298,7 @@ def _source_rows(t: Inputs) -> DataFrame:
 
 @query(
     "s10_flat_selection",
-    sql="""SELECT doc_id AS row_idx, CAST(substr(source,4) AS BIGINT) AS writer_id, split_part(text,chr(10),1) AS reference,
+    sql="""SELECT doc_id AS row_idx, CAST(substr(source,4) AS BIGINT) AS writer_id, text AS reference,
       CAST(300+doc_id%400 AS INT) AS width, CAST(80+doc_id%150 AS INT) AS height, sha256(text) AS image_sha256 FROM documents""",
 )
 def s10(t: Inputs) -> DataFrame:
@@ -314,8 +314,8 @@ def s10(t: Inputs) -> DataFrame:
 @query(
     "j14_pinned_drift",
     sql="""SELECT doc_id AS row_idx, CASE doc_id%13 WHEN 0 THEN 'reference' WHEN 1 THEN 'width' ELSE 'writer_id' END AS field,
-      CASE doc_id%13 WHEN 0 THEN split_part(text,chr(10),1) WHEN 1 THEN CAST(300+doc_id%400 AS VARCHAR) ELSE substr(source,4) END AS expected,
-      CASE doc_id%13 WHEN 0 THEN split_part(text,chr(10),1)||'!' WHEN 1 THEN CAST(301+doc_id%400 AS VARCHAR) ELSE CAST(CAST(substr(source,4) AS INT)+1 AS VARCHAR) END AS actual
+      CASE doc_id%13 WHEN 0 THEN text WHEN 1 THEN CAST(300+doc_id%400 AS VARCHAR) ELSE substr(source,4) END AS expected,
+      CASE doc_id%13 WHEN 0 THEN text||'!' WHEN 1 THEN CAST(301+doc_id%400 AS VARCHAR) ELSE CAST(CAST(substr(source,4) AS INT)+1 AS VARCHAR) END AS actual
       FROM documents WHERE doc_id%13<3""",
 )
 def j14(t: Inputs) -> DataFrame:

@@ -307,7 +307,7 @@ _sql(
 _sql(
     "requests",
     """SELECT event_id, ts, event_type AS endpoint, CASE WHEN CAST(json_extract(props,'$.k') AS INT)>=90 THEN 500 ELSE 200 END AS status,
-      value AS latency_ms, user_id FROM events""",
+      value AS latency_ms, user_id, CASE WHEN event_id%3=0 THEN 'POST' ELSE 'GET' END AS method FROM events""",
 )
 _sql(
     "al_items",
@@ -676,6 +676,7 @@ def as_requests(events: DataFrame) -> DataFrame:
     return events.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("endpoint"),
         F.when(k >= 90, 500).otherwise(200).alias("status"), F.col("value").alias("latency_ms"), "user_id",
+        F.when(mod(F.col("event_id"), 3) == 0, "POST").otherwise("GET").alias("method"),
     )
 
 

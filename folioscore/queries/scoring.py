@@ -71,7 +71,7 @@ def f7(t: Inputs) -> DataFrame:
 
 @query(
     "f8_canonical_digest", "pairs",
-    sql="""SELECT sample_id, sha256('{"doc_id":'||doc_id||',"quality":null,"reference":"'||reference||'","writer_id":"'||writer_id||'"}') AS digest FROM pairs""",
+    sql="""SELECT sample_id, sha256('{"doc_id":'||doc_id||',"quality":null,"reference":'||to_json(reference)||',"writer_id":"'||writer_id||'"}') AS digest FROM pairs""",
 )
 def f8(t: Inputs) -> DataFrame:
     digest = digests.canonical_sha256(
@@ -482,7 +482,7 @@ def a18(t: Inputs) -> DataFrame:
 _LANES = "||':'||".join(
     f"CAST(sum(CAST('0x'||substr(d,{4 * i + 1},4) AS BIGINT)) AS BIGINT)" for i in range(16)
 )
-_LINE = """'{"reference":"'||reference||'","sample_id":"'||sample_id||'","slices":["'||array_to_string(slices,'","')||'"],"source_sha256":"'||source_sha256||'"}'"""
+_LINE = """'{"reference":'||to_json(reference)||',"sample_id":"'||sample_id||'","slices":["'||array_to_string(slices,'","')||'"],"source_sha256":"'||source_sha256||'"}'"""
 
 
 @query(

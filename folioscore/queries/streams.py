@@ -174,7 +174,7 @@ def st4(t: Inputs) -> DataFrame:
     )
     items.write.parquet(path)
     stream = tables.read_files(t.spark, items.schema, path, files_per_trigger=3)
-    kept = tables.KeptTable(t.spark, "item_id string, confidence double, priority_score double", "queue")
+    kept = tables.KeptTable(t.spark, "item_id string, confidence double, priority_score double", staging_path(t.spark, "queue"))
     return work.live_queue(stream, kept, 500, staging_path(t.spark, "queue-checkpoint")).select("item_id", "priority_score")
 
 
@@ -193,11 +193,11 @@ _HOUR = "CAST(epoch_us(ts)//3600000000*3600 AS BIGINT)"
 
 @query(
     "st5_request_counts", "requests",
-    sql=f"SELECT {_HOUR} AS window_start, endpoint, CAST(status AS INT) AS status, count(*) AS requests FROM requests GROUP BY 1,2,3",
+    sql=f"SELECT {_HOUR} AS window_start, method, endpoint, CAST(status AS INT) AS status, count(*) AS requests FROM requests GROUP BY 1,2,3,4",
 )
 def st5(t: Inputs) -> DataFrame:
     counts = counters.request_counts(_event_stream(t))
-    rows = tables.upsert_available(counts, ["window_start", "endpoint", "status"], staging_path(t.spark, "counts"))
+    rows = tables.upsert_available(counts, ["window_start", "method", "endpoint", "status"], staging_path(t.spark, "counts"))
     return _with_start(rows)
 
 
@@ -243,8 +243,8 @@ def st7(t: Inputs) -> DataFrame:
 )
 def st7_jobs(t: Inputs) -> DataFrame:
     status = F.when(F.col("status") == 200, "completed").otherwise("failed")
-    pages = _event_stream(t).select(F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("job_id"), status.alias("status"))
-    return tables.upsert_available(counters.job_counters(pages), ["job_id"], staging_path(t.spark, "jobs"))
+    pages = _event_stream(t).select(F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("job_id"), status.alias("status"), "ts")
+    return counters.job_totals(tables.upsert_available(counters.job_counters(pages), ["window_start", "job_id"], staging_path(t.spark, "jobs")))
 
 
 @query(

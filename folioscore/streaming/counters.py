@@ -14,10 +14,10 @@ def _windowed(df: DataFrame, time: str, size: str, slide: str | None, delay: str
 
 
 def request_counts(requests: DataFrame, size: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Requests per window, endpoint and status; late rows beyond the delay are not counted."""
+    """Requests per window, method, endpoint and status; late rows beyond the delay are not counted."""
     rows, window = _windowed(requests, "ts", size, None, delay)
-    counts = rows.groupBy(window, "endpoint", "status").agg(F.count("*").alias("requests"))
-    return counts.select(F.col("w.start").alias("window_start"), "endpoint", "status", "requests")
+    counts = rows.groupBy(window, "method", "endpoint", "status").agg(F.count("*").alias("requests"))
+    return counts.select(F.col("w.start").alias("window_start"), "method", "endpoint", "status", "requests")
 
 
 def latency_histogram(
@@ -41,10 +41,20 @@ def pages_processed(pages: DataFrame, size: str = "1 hour", delay: str = "10 min
     return counts.select(F.col("w.start").alias("window_start"), "model", "route", "pages")
 
 
-def job_counters(pages: DataFrame) -> DataFrame:
-    """Running totals per job, for update mode."""
-    return pages.groupBy("job_id").agg(
+def job_counters(pages: DataFrame, size: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """Totals per window and job, for update mode; the watermark ends a window's state.
+
+    `job_totals` adds the windows of a job up.
+    """
+    rows, window = _windowed(pages, "ts", size, None, delay)
+    counts = rows.groupBy(window, "job_id").agg(
         F.count("*").alias("pages_total"),
         F.count_if(F.col("status") == "completed").alias("pages_completed"),
         F.count_if(F.col("status") == "failed").alias("pages_failed"),
     )
+    return counts.select(F.col("w.start").alias("window_start"), *[c for c in counts.columns if c != "w"])
+
+
+def job_totals(counters: DataFrame) -> DataFrame:
+    """Running totals per job."""
+    return counters.groupBy("job_id").agg(*[F.sum(c).alias(c) for c in ("pages_total", "pages_completed", "pages_failed")])
