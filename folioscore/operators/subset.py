@@ -50,7 +50,7 @@ def stratified_subset(
     the result has at most writers x per_writer rows, a bound set by the parameters.
     """
     picked = pick_writers(eligible_writers(samples, per_writer, clean, marked), seed, writers)
-    pool = samples.join(F.broadcast(picked.select("writer_id")), "writer_id", "left_semi")
+    pool = samples.join(picked.select("writer_id"), "writer_id", "left_semi")
 
     def first(rows: DataFrame, domain: str, k: int) -> DataFrame:
         rank = rank_hash(seed, domain, F.col("sample_id"))
@@ -66,7 +66,7 @@ def stratified_subset(
     if fill:
         # Of the first per_writer in this order at most clean + marked are taken already.
         candidates = first(pool, "remaining", per_writer)
-        rest = candidates.join(F.broadcast(chosen.select("sample_id")), "sample_id", "left_anti")
+        rest = candidates.join(chosen.select("sample_id"), "sample_id", "left_anti")
         chosen = chosen.unionByName(first(rest, "remaining", fill))
     return chosen
 
