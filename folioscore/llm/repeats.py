@@ -40,7 +40,7 @@ ANCHOR = 24
 PIECE = 64
 BUCKETS = 64
 BUCKET_BYTES = 32_000_000
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 3_000_000
 FIRST = -(2**63)
 ROWS = "block string, bucket int, payload binary"
 
@@ -185,9 +185,15 @@ def anchored_runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, anch
     return first, last, least[first], doc[first]
 
 
+def anchors_of(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> np.ndarray:
+    """The anchor hash of each run, from the bytes of its first string."""
+    at = (np.cumsum(sizes) - sizes)[:, None] + np.arange(length - anchor + 1)
+    return RangeHash(data).of(at, at + anchor).min(1)
+
+
 def _short(hashes: np.ndarray) -> np.ndarray:
-    """40 bits of each hash: what travels. A chance collision only costs a comparison."""
-    return hashes >> np.uint64(24)
+    """32 bits of each hash travel, besides its bucket. A chance collision only costs a comparison."""
+    return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
 def _homes(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -230,14 +236,13 @@ def _anchors(buckets: int):
             block, whole = Block(texts, buckets), _digests(texts)
             lengths = np.array([len(t) for t in texts], np.int64)
             nulls = np.array([i is None for i in ids], np.uint8)
-            rows = [(name, -1, _packed(numbers, nulls, lengths, block.data))]
+            rows = [(name, -1, _packed(numbers, nulls, lengths, block.data, level=4))]
             home = (whole[:, 0] % np.uint64(buckets)).astype(np.int64)
             for b in np.unique(np.concatenate([block.homes, home])).tolist():
                 i, j = np.searchsorted(block.homes, [b, b + 1])
                 s, mine = block.shorts[i:j], np.flatnonzero(home == b)
                 rows.append((name, b, _packed(
-                    (s & np.uint64(0xFFFFFFFF)).astype(np.uint32), (s >> np.uint64(32)).astype(np.uint8),
-                    whole[mine, 0], whole[mine, 1], numbers[mine],
+                    s, whole[mine, 0], whole[mine, 1], numbers[mine],
                 )))
             for at in range(0, len(rows), 16):
                 part = rows[at:at + 16]
@@ -266,17 +271,17 @@ def _anchors(buckets: int):
 def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     """One bucket: a bit for each anchor (other documents have it), a byte for each digest (copy)."""
     parts = [_unpacked(p) for p in rows["payload"]]
-    shorts = [p[0].astype(np.uint64) | (p[1].astype(np.uint64) << np.uint64(32)) for p in parts]
+    shorts = [p[0] for p in parts]
     every = np.sort(np.concatenate(shorts))
     twice = np.unique(every[1:][every[1:] == every[:-1]])
-    whole = pd.DataFrame({"a": np.concatenate([p[2] for p in parts]), "b": np.concatenate([p[3] for p in parts]), "id": np.concatenate([p[4] for p in parts])})
+    whole = pd.DataFrame({"a": np.concatenate([p[1] for p in parts]), "b": np.concatenate([p[2] for p in parts]), "id": np.concatenate([p[3] for p in parts])})
     copy = (whole.groupby(["a", "b"])["id"].transform("min") < whole["id"]).to_numpy().astype(np.uint8)
     out, at = [], 0
     for s, p in zip(shorts, parts):
         place = np.searchsorted(twice, s).clip(0, max(0, len(twice) - 1))
         hit = twice[place] == s if len(twice) else np.zeros(len(s), bool)
-        out.append(_packed(np.packbits(hit), np.array([len(hit)], np.int64), copy[at:at + len(p[4])]))
-        at += len(p[4])
+        out.append(_packed(np.packbits(hit), np.array([len(hit)], np.int64), copy[at:at + len(p[3])]))
+        at += len(p[3])
     return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "payload": pd.Series(out, dtype=object)})
 
 
@@ -325,7 +330,7 @@ def _runs(buckets: int):
             out["block"].append(rows["block"].iloc[0])
             out["bucket"].append(b)
             out["payload"].append(_packed(
-                block.hashes[mine], ids[d], d.astype(np.uint32), (start - begin[d]).astype(np.int64), size.astype(np.uint8), taken,
+                ids[d], d.astype(np.uint32), (start - begin[d]).astype(np.int64), size.astype(np.uint8), taken, level=5,
             ))
         return pd.DataFrame({k: pd.Series(v, dtype=object if k != "bucket" else np.int32) for k, v in out.items()})
 
@@ -441,7 +446,8 @@ def _joined(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _decide(rows: pd.DataFrame) -> pd.DataFrame:
     """One bucket: the stretches of its runs that smaller documents hold too, by block."""
     parts = [_unpacked(p) for p in rows["payload"]]
-    hashes, owners, doc, start, size, data = (np.concatenate([p[i] for p in parts]) for i in range(6))
+    owners, doc, start, size, data = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    hashes = anchors_of(data, size.astype(np.int64))
     block = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     run, first, end = repeated_strings(hashes, owners, size, data)
     order = np.argsort(block[run], kind="stable")
@@ -450,23 +456,22 @@ def _decide(rows: pd.DataFrame) -> pd.DataFrame:
     out = [
         _packed(doc[run[i:j]], start[run[i:j]] + first[i:j], start[run[i:j]] + end[i:j]) for i, j in zip(cuts[:-1], cuts[1:])
     ]
-    return pd.DataFrame({"block": rows["block"], "bucket": np.int32(-2), "payload": pd.Series(out, dtype=object)})
+    return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "payload": pd.Series(out, dtype=object)})
 
 
 def _removed(buckets: int):
     """One block: what is left of each document."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame, stretches: pd.DataFrame) -> pd.DataFrame:
         times = int((rows["bucket"] == -1).sum())
         ids, nulls, texts, lengths = _opened(rows)
         copy = _copies(rows, texts, buckets)
         begin = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(texts) else np.empty(0, np.int64)
         step = np.zeros(int(lengths.sum()) + 1, np.int32)
-        for b, p in zip(rows["bucket"], rows["payload"]):
-            if b == -2:
-                doc, first, end = _unpacked(p)
-                np.add.at(step, begin[doc] + first, 1)
-                np.add.at(step, begin[doc] + end, -1)
+        for p in stretches["payload"]:
+            doc, first, end = _unpacked(p)
+            np.add.at(step, begin[doc] + first, 1)
+            np.add.at(step, begin[doc] + end, -1)
         gone = np.cumsum(step)[:-1] > 0
         out = []
         for i, text in enumerate(texts):
@@ -495,7 +500,8 @@ def without_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     asked = texts.unionByName(bits)
     runs = asked.groupBy("block").applyInPandas(_runs(buckets), ROWS)
     stretches = runs.groupBy("bucket").applyInPandas(_decide, ROWS)
-    done = asked.unionByName(stretches).groupBy("block").applyInPandas(
+    # The texts' shuffle is the one that the runs came from, so Spark reads it again.
+    done = asked.groupBy("block").cogroup(stretches.groupBy("block")).applyInPandas(
         _removed(buckets), "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
     return done.withColumn("doc_id", F.col("doc_id").cast("long"))

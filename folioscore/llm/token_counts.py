@@ -31,10 +31,10 @@ BLOCK_CHARS = 12_000_000
 ROWS = "block string, bucket int, payload binary"
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
+def _packed(*arrays: np.ndarray, level: int = 1) -> bytes:
     head = json.dumps([[a.dtype.str, len(a)] for a in arrays]).encode()
     body = b"".join(a.tobytes() for a in arrays)
-    return zlib.compress(len(head).to_bytes(4, "little") + head + body, 1)
+    return zlib.compress(len(head).to_bytes(4, "little") + head + body, level)
 
 
 def _unpacked(payload: bytes) -> list[np.ndarray]:
