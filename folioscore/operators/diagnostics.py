@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from folioscore.functions.digests import task_id
 from folioscore.functions.edits import ratio, row_cer, with_char_features
@@ -145,41 +145,43 @@ def _threshold_step(confidence: Column) -> Column:
     return reached
 
 
-def threshold_sweep(records: DataFrame) -> DataFrame:
-    """Accepted samples, coverage and risk at the thresholds 0, 0.05, ..., 1.
+def _sweep(records: DataFrame) -> DataFrame:
+    """The sweep with the number of all records, in one pass.
 
-    Rows are summed per step first; each of those at most 21 sums then counts for all lower
-    thresholds, instead of pairing every row with every threshold.
+    Rows are summed per step first, those without a confidence under step -1; each of the at most
+    22 sums then counts for all lower thresholds, instead of pairing every row with every threshold.
     """
-    rows = with_char_features(records).filter(F.col("confidence").isNotNull())
-    per_step = rows.groupBy(_threshold_step(F.col("confidence")).alias("_reached")).agg(
+    reached = F.when(F.col("confidence").isNull(), -1).otherwise(_threshold_step(F.col("confidence")))
+    per_step = with_char_features(records).groupBy(reached.alias("_reached")).agg(
         F.count("*").alias("n"),
         F.sum("char_edits").alias("edits"),
         F.sum("ref_chars").alias("chars"),
         F.count_if(~F.col("exact")).alias("wrong"),
     )
-    total = records.agg(F.count("*")).scalar()
-    steps = per_step.withColumn("step", F.explode(F.sequence(F.lit(0), F.col("_reached"))))
-    return steps.groupBy("step").agg(
+    counted = per_step.withColumn("total", F.sum("n").over(W.partitionBy(F.lit(0)))).filter("_reached >= 0")
+    steps = counted.withColumn("step", F.explode(F.sequence(F.lit(0), F.col("_reached"))))
+    return steps.groupBy("step", "total").agg(
         F.sum("n").alias("accepted_samples"),
         ratio(F.sum("edits"), F.sum("chars")).alias("selective_cer"),
         ratio(F.sum("wrong"), F.sum("n")).alias("exact_error_rate"),
     ).withColumns(
         {
             "threshold": F.col("step") / F.lit(float(STEPS)),
-            "coverage": ratio(F.col("accepted_samples"), total),
+            "coverage": ratio(F.col("accepted_samples"), F.col("total")),
         }
     )
 
 
+def threshold_sweep(records: DataFrame) -> DataFrame:
+    """Accepted samples, coverage and risk at the thresholds 0, 0.05, ..., 1."""
+    return _sweep(records).drop("total")
+
+
 def select_policy(
     records: DataFrame, min_coverage: float = 0.5, max_selective_cer: float = 0.1
 ) -> DataFrame:
     """The eligible threshold with the best coverage, then CER, then threshold; always one row."""
-    total = records.agg(F.count("*")).scalar()
-    sweep = threshold_sweep(records).withColumn(
-        "minimum_accepted_samples", F.ceil(total * F.lit(min_coverage))
-    )
+    sweep = _sweep(records).withColumn("minimum_accepted_samples", F.ceil(F.col("total") * F.lit(min_coverage)))
     eligible = (F.col("accepted_samples") >= F.col("minimum_accepted_samples")) & (
         F.col("selective_cer") <= max_selective_cer
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscore import vocab
+from folioscore.functions.digests import canonical_sha256
 from folioscore.functions.text import utc_timestamp
 from folioscore.operators.onerow import beside
 from folioscore.operators.rules import (
@@ -450,16 +451,22 @@ def changed_inputs(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def attestation_rows(authorizations: DataFrame, executed_at: Column) -> DataFrame:
-    """One attestation row per authorised run, bound by hashes to what was run."""
-    return authorizations.select(
-        "pilot_id",
-        F.lit(1).alias("schema_version"),
-        F.lit("approved_self_hosted").alias("execution_environment"),
-        executed_at.alias("executed_at"),
-        F.sha2("document", 256).alias("inference_authorization_sha256"),
-        F.sha2(F.to_json(F.from_json("document", AUTHORIZATION_SCHEMA)["inference_config"]), 256).alias(
-            "inference_config_sha256"
-        ),
-        "predictions_sha256",
-        *[F.lit(v).alias(n) for n, v in ATTESTATION_FLAGS.items()],
-    )
+    """One attestation per authorised run: every field of the allow-list, bound by hashes.
+
+    `authorizations` has `pilot_id`, the authorisation's `document` and `predictions_sha256`. What
+    the run was allowed to use is what it attests; the configuration's digest is over its keys in
+    sorted order.
+    """
+    parsed = authorizations.withColumn("_auth", F.from_json("document", AUTHORIZATION_SCHEMA))
+    auth = F.col("_auth")
+    config = [f.name for f in parsed.schema["_auth"].dataType["inference_config"].dataType.fields]
+    values = {
+        "schema_version": F.lit(1),
+        "execution_environment": F.lit("approved_self_hosted"),
+        "executed_at": executed_at,
+        "inference_authorization_sha256": F.sha2("document", 256),
+        "inference_config_sha256": canonical_sha256(**{n: auth["inference_config"][n] for n in config}),
+        "predictions_sha256": F.col("predictions_sha256"),
+        **{n: F.lit(v) for n, v in ATTESTATION_FLAGS.items()},
+    }
+    return parsed.select("pilot_id", *[(values[n] if n in values else auth[n]).alias(n) for n in ATTESTATION_FIELDS])

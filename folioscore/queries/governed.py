@@ -446,17 +446,26 @@ def s26(t: Inputs) -> DataFrame:
 
 @query(
     "s27_attestation_rows",
-    sql="""SELECT 'pilot-customer-'||c_custkey AS pilot_id, sha256('predictionspilot-customer-'||c_custkey) AS predictions_sha256, 'approved_self_hosted' AS execution_environment, true AS bound FROM customer""",
+    sql="""SELECT p AS pilot_id, p||'-v1' AS evaluation_set_id, 'storage_operator' AS operator_role, 'approval-ref-1' AS approval_reference,
+      'model-v1' AS model_version, sha256('model'||p) AS model_artifact_sha256, sha256(CASE WHEN d=1 THEN 'other' ELSE 'manifest' END||p) AS manifest_sha256,
+      sha256('control'||p) AS storage_control_sha256, sha256('head'||p) AS lifecycle_ledger_head_sha256, sha256('predictions'||p) AS predictions_sha256,
+      sha256('{"abstention_threshold":'||CASE WHEN d=3 THEN '0.8' ELSE '0.4' END||',"batch_size":8,"beam_width":4,"confidence_threshold":0.7,"dtype":"'
+        ||CASE WHEN d=4 THEN 'float16' ELSE 'float32' END||'","max_length":'||CASE WHEN d=2 THEN '0' ELSE '64' END||'}') AS inference_config_sha256,
+      CASE WHEN d=1 THEN 'manifest_sha256' ELSE '' END AS errors
+      FROM (SELECT 'pilot-customer-'||c_custkey AS p, c_custkey%9 AS d FROM customer)""",
 )
 def s27(t: Inputs) -> DataFrame:
+    """The rows as documents pass the attestation rules, but for the one authorised wrongly."""
     rows = G.attestation_rows(
-        _authorizations(t).join(_bindings(t).select("pilot_id", "predictions_sha256"), "pilot_id"), F.lit(NOW)
+        _authorizations(t).join(_bindings(t).select("pilot_id", "predictions_sha256"), "pilot_id"), F.lit("2024-05-25T00:00:00Z")
+    )
+    documents = rows.select("pilot_id", F.to_json(F.struct(*G.ATTESTATION_FIELDS)).alias("document"))
+    checked = G.check_attestations(documents, _bindings(t), now()).select("pilot_id", "errors")
+    return rows.join(checked, "pilot_id").select(
+        "pilot_id", "evaluation_set_id", "operator_role", "approval_reference", "model_version", "model_artifact_sha256",
+        "manifest_sha256", "storage_control_sha256", "lifecycle_ledger_head_sha256", "predictions_sha256",
+        "inference_config_sha256", "errors",
     )
-    hashes = ["inference_authorization_sha256", "inference_config_sha256"]
-    bound = F.lit(True)
-    for h in hashes:
-        bound = bound & F.col(h).rlike(vocab.SHA256_HEX)
-    return rows.select("pilot_id", "predictions_sha256", "execution_environment", bound.alias("bound"))
 
 
 @query(
