@@ -250,13 +250,20 @@ def check_contracts(contracts: DataFrame, raw: str = "document") -> DataFrame:
     return _checked(_parse(contracts, raw, CONTRACT_SCHEMA), contract_rules())
 
 
-def check_controls(controls: DataFrame, contracts: DataFrame, now: Column) -> DataFrame:
-    """Storage controls against the contract of the same pilot; both have `pilot_id`, `document`."""
+def check_controls(controls: DataFrame, contracts: DataFrame, stores: DataFrame, now: Column) -> DataFrame:
+    """Storage controls against the contract and the store of the same pilot.
+
+    Controls and contracts have `pilot_id` and `document`; stores have `pilot_id` and what is really
+    there: `root_identity_sha256`, `operator_uid` and `operator_gid`.
+    """
     terms = contracts.select(
         F.col("pilot_id").alias("key_pilot_id"),
         F.from_json("document", CONTRACT_SCHEMA).alias("contract"),
     )
-    rows = _parse(controls, "document", CONTROL_SCHEMA).join(terms, "key_pilot_id", "left")
+    there = stores.select(
+        F.col("pilot_id").alias("key_pilot_id"), F.struct("root_identity_sha256", "operator_uid", "operator_gid").alias("store")
+    )
+    rows = _parse(controls, "document", CONTROL_SCHEMA).join(terms, "key_pilot_id", "left").join(there, "key_pilot_id", "left")
     c = F.col
     agreed = F.struct(*[c(f"contract.storage.{n}").alias(n) for n in RETENTION_LIMITS])
     rules = [
@@ -265,7 +272,11 @@ def check_controls(controls: DataFrame, contracts: DataFrame, now: Column) -> Da
         Rule("storage_id", c("storage_id").rlike(vocab.STORAGE_ID)),
         Rule("pilot_id", (c("pilot_id") == c("key_pilot_id")) & c("pilot_id").rlike(vocab.PILOT_ID)),
         _exact("platform", "self_hosted_posix"),
-        Rule("root_identity_sha256", is_sha256(c("root_identity_sha256"), fold_case=False)),
+        Rule(
+            "root_identity_sha256",
+            is_sha256(c("root_identity_sha256"), fold_case=False) & (c("root_identity_sha256") == c("store.root_identity_sha256")),
+        ),
+        Rule("execution_principal", (c("operator_uid") == c("store.operator_uid")) & (c("operator_gid") == c("store.operator_gid"))),
         Rule("accountable_owner_role", is_role(c("accountable_owner_role")) & (c("accountable_owner_role") == c("contract.approval.accountable_owner_role"))),
         Rule("operator_role", is_role(c("operator_role"))),
         Rule(

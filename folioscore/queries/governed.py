@@ -293,10 +293,16 @@ def _controls(t: Inputs) -> DataFrame:
 @query(
     "p15_storage_control",
     sql="""SELECT 'pilot-customer-'||c_custkey AS pilot_id, CASE c_custkey%9 WHEN 1 THEN 'accountable_owner_role|approved' WHEN 2 THEN 'validity_window' WHEN 3 THEN 'operator_role'
-      WHEN 4 THEN 'controls.public_access_allowed' WHEN 5 THEN 'retention.raw_source_retention_days' WHEN 6 THEN 'retention' WHEN 7 THEN 'fields' ELSE '' END AS errors FROM customer""",
+      WHEN 4 THEN 'controls.public_access_allowed' WHEN 5 THEN 'retention.raw_source_retention_days' WHEN 6 THEN 'retention' WHEN 7 THEN 'fields'
+      WHEN 8 THEN CASE c_custkey%2 WHEN 0 THEN 'root_identity_sha256' ELSE 'execution_principal' END ELSE '' END AS errors FROM customer""",
 )
 def p15(t: Inputs) -> DataFrame:
-    return G.check_controls(_controls(t), _contracts(t), now()).select("pilot_id", "errors")
+    moved, other = (F.col("d") == 8) & (mod(F.col("c_custkey"), 2) == 0), (F.col("d") == 8) & (mod(F.col("c_custkey"), 2) == 1)
+    stores = _customers(t).select(
+        "pilot_id", F.when(moved, F.lit("1" * 64)).otherwise(F.lit("0" * 64)).alias("root_identity_sha256"),
+        F.when(other, 1001).otherwise(1000).alias("operator_uid"), F.lit(1000).alias("operator_gid"),
+    )
+    return G.check_controls(_controls(t), _contracts(t), stores, now()).select("pilot_id", "errors")
 
 
 def _sha(tag: str) -> Column:
