@@ -64,8 +64,8 @@ class RangeHash:
     def __init__(self, data: np.ndarray):
         n = len(data) + 1
         if len(RangeHash._up) < n:
-            RangeHash._up = powers(n * 2)
-            RangeHash._down = powers(n * 2, BASE_INVERSE)
+            RangeHash._up = powers(n)
+            RangeHash._down = powers(n, BASE_INVERSE)
         self.down = RangeHash._down
         with np.errstate(over="ignore"):
             self.prefix = np.zeros(n, np.uint64)

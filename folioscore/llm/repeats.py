@@ -38,6 +38,7 @@ from folioscore.llm.token_counts import _packed, _unpacked
 LENGTH = 50
 ANCHOR = 24
 PIECE = 64
+AT_ONCE = 8192  # runs whose bytes are hashed at a time
 BUCKETS = 64
 BUCKET_BYTES = 32_000_000
 BLOCK_BYTES = 3_000_000
@@ -187,8 +188,13 @@ def anchored_runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, anch
 
 def anchors_of(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> np.ndarray:
     """The anchor hash of each run, from the bytes of its first string."""
-    at = (np.cumsum(sizes) - sizes)[:, None] + np.arange(length - anchor + 1)
-    return RangeHash(data).of(at, at + anchor).min(1)
+    begin, out = np.cumsum(sizes) - sizes, []
+    for i in range(0, len(sizes), AT_ONCE):
+        first = begin[i:i + AT_ONCE]
+        part = data[first[0]:first[-1] + sizes[i:i + AT_ONCE][-1]]
+        at = (first - first[0])[:, None] + np.arange(length - anchor + 1)
+        out.append(RangeHash(part).of(at, at + anchor).min(1))
+    return np.concatenate(out)
 
 
 def _short(hashes: np.ndarray) -> np.ndarray:
@@ -377,10 +383,15 @@ def repeated_strings(hashes: np.ndarray, owners: np.ndarray, sizes: np.ndarray,
     size = sizes[place[some]].astype(np.int64)
     strings = size - LENGTH + 1
     flat = rows[place[some], :width].ravel()
-    run = np.repeat(np.arange(len(some)), strings)
-    offset = np.arange(len(run)) - np.repeat(np.cumsum(strings) - strings, strings)
-    at = run * width + offset
-    keys = RangeHash(flat).of(at, at + LENGTH) ^ anchor[some][run]
+    del rows
+    parts = []
+    for i in range(0, len(some), AT_ONCE):
+        k = strings[i:i + AT_ONCE]
+        run = np.repeat(np.arange(len(k)), k)
+        at = run * width + np.arange(len(run)) - np.repeat(np.cumsum(k) - k, k)
+        parts.append(RangeHash(flat[i * width:(i + len(k)) * width]).of(at, at + LENGTH) ^ anchor[some][i:i + AT_ONCE][run])
+    keys = np.concatenate(parts)
+    offset = (np.arange(len(keys)) - np.repeat(np.cumsum(strings) - strings, strings)).astype(np.int32)
     by = np.argsort(keys, kind="stable")
     same = keys[by][1:] == keys[by][:-1]
     maybe = np.zeros(len(keys), bool)
