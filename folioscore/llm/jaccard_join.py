@@ -4,17 +4,22 @@ In each run a text picks, at random but alike for all texts, about 1 / threshold
 a shingle of a text with k shingles is picked if its hash in this run is below 1 / (threshold * k).
 Texts that pick the same shingle meet in a bucket. A bucket above `limit` is split again: its
 texts pick among all their shingles anew, by a hash that depends on the path so far. A pair at the
-threshold is expected to share at least one pick at every level, so it stays together with a
-probability of at least 1 - 1/e in each run; `runs_for` repeats runs until the target recall. Texts
-that share only a frequent passage part at the next level, as their picks rarely fall into it.
-
-Buckets up to `limit` are compared by brute force over 64-byte sketches. Buckets that splitting
-leaves large are groups of close copies: they are dealt into chunks, each with the bucket's few
-pivots, and compared chunk by chunk. Comparing only marks candidates and keeps a forest of them, so
-no bucket turns into rows of pairs. Then the texts of each candidate component are compared exactly,
+threshold is expected to share at least one pick at every level, so in each run it stays together with
+a probability of at least 1 - 1/e = 0.63 at the first level, 0.47 at the second and 0.37 at the third;
+`runs_for` repeats runs until the target recall at the deepest level used. Texts that share only a
+frequent passage part at the next level, as their picks rarely fall into it.
+
+There are two rounds, each of which may miss half of what the recall allows. The first has one level:
+a pair that meets in a small bucket is compared there. A pair that meets in large buckets only has both
+texts in the second round, with runs of its own for `levels` levels over the texts of large buckets.
+
+Buckets up to `limit` are compared by brute force over 64-byte sketches. In buckets that splitting
+leaves large, texts that resemble the same one of a few pivots are candidates by way of it; all other
+pairs are compared in tiles, one pair of chunks at a time. Comparing only marks candidates and keeps a
+forest of them, so no bucket turns into rows of pairs. Then the texts of each candidate component are compared exactly,
 all pairs of them, in tiles of bounded size: the Jaccard similarity of their shingle sets decides.
 
-Equal texts are one node with a number of copies throughout. Words are what ASCII white space
+Equal texts are one node with a number of copies throughout, and one row of each takes part. Words are what ASCII white space
 separates.
 
 Defined results: a text that is null or has no word links with nothing; a text with fewer words than
@@ -48,9 +53,15 @@ TILE = 256
 ROWS = "path long, key string, held binary"
 
 
-def runs_for(recall: float) -> int:
-    """Runs after which a pair at the threshold is missed with probability 1 - recall at most."""
-    return max(1, math.ceil(math.log(1 - recall) / -1.0))
+def runs_for(recall: float, levels: int = 1) -> int:
+    """Runs after which a pair at the threshold is missed at `levels` levels with probability 1 - recall at most.
+
+    A pair shares one pick or more at a level, as a Poisson number, and each must survive the levels below.
+    """
+    stays = 1.0
+    for _ in range(levels):
+        stays = 1 - math.exp(-stays)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - stays)))
 
 
 def sketch_of(hashes: np.ndarray) -> np.ndarray:
@@ -72,8 +83,8 @@ def _picks(hashes: np.ndarray, salts: np.ndarray, threshold: float) -> list[np.n
     return [row[row <= bar] for row in drawn]
 
 
-def paths_of(hashes: np.ndarray, runs: int, threshold: float, levels: int) -> list[tuple[int, bytes]]:
-    """(path of the first level, its deeper paths as nested [count, path, ...] numbers)."""
+def paths_of(hashes: np.ndarray, runs: int, threshold: float, levels: int, start: int = 1) -> list[tuple[int, bytes]]:
+    """(path of the first level, its deeper paths as nested [count, path, ...] numbers), runs numbered from `start`."""
 
     def below(paths: np.ndarray, level: int) -> list[list]:
         if level > levels or not len(paths):
@@ -90,7 +101,7 @@ def paths_of(hashes: np.ndarray, runs: int, threshold: float, levels: int) -> li
             out.append(flat)
         return out
 
-    first = np.concatenate(_picks(hashes, np.arange(1, runs + 1, dtype=np.uint64), threshold))
+    first = np.concatenate(_picks(hashes, np.arange(start, start + runs, dtype=np.uint64), threshold))
     return [(p, np.array(kids, np.uint64).tobytes()) for p, kids in zip(first.tolist(), below(first, 2))]
 
 
@@ -99,16 +110,29 @@ def _batch(paths: list, keys: list, held: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(signed), pa.array(keys, pa.string()), pa.array(held, pa.binary())], ["path", "key", "held"])
 
 
-def _first_paths(words: int, runs: int, threshold: float, levels: int):
+def _first_of_each(batches):
+    """One row of each key in this task."""
+    seen = set()
+    for batch in batches:
+        fresh = []
+        for i, key in enumerate(batch.column(0).to_pylist()):
+            digest = bytes.fromhex(key)
+            if digest not in seen:
+                seen.add(digest)
+                fresh.append(i)
+        yield batch if len(fresh) == batch.num_rows else batch.take(pa.array(fresh, pa.int64()))
+
+
+def _first_paths(words: int, runs: int, threshold: float, levels: int, start: int):
     def run(batches):
-        for batch in batches:
+        for batch in _first_of_each(batches):
             paths, keys, held = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hashes = shingle_hashes(text, words)
                 if not len(hashes):
                     continue
                 head = len(hashes).to_bytes(8, "little") + sketch_of(hashes).tobytes()
-                for path, kids in paths_of(hashes, runs, threshold, levels):
+                for path, kids in paths_of(hashes, runs, threshold, levels, start):
                     paths.append(path)
                     keys.append(key)
                     held.append(head + kids)
@@ -182,7 +206,7 @@ def _compare(threshold: float):
         for batch in batches:
             a, b, met = [], [], set()
             for keys, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                one = dict(zip(keys, held))  # copies of a text are one
+                one = dict(zip(keys, held))  # a text may pick a path twice
                 keys = tuple(sorted(one))
                 # The same texts meet again in other runs.
                 if len(keys) < 2 or keys in met:
@@ -201,18 +225,27 @@ def _listed(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.collect_list(F.struct("key", "held")).alias("m")).select(F.col("m.key").alias("keys"), F.col("m.held").alias("held"))
 
 
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """Rows of buckets with two or more, with their number `n`."""
+    counts = rows.groupBy(F.col("path").alias("k")).agg(F.count("*").alias("n")).filter("n > 1")
+    return rows.join(counts, F.col("path") == F.col("k")).drop("k")
+
+
+def _compared(buckets: DataFrame, threshold: float) -> DataFrame:
+    return buckets.mapInArrow(_compare(threshold), "a string, b string")
+
+
 def candidate_edges(rows: DataFrame, threshold: float, levels: int, limit: int, chunk: int) -> DataFrame:
     """Pairs of keys that may be similar: a forest of every bucket's."""
     edges = None
     for level in range(1, levels + 1):
-        counts = rows.groupBy(F.col("path").alias("k")).agg(F.count("*").alias("n")).filter("n > 1")
-        tagged = rows.join(counts, F.col("path") == F.col("k")).drop("k")
-        found = _listed(tagged.filter(F.col("n") <= limit), "path").mapInArrow(_compare(threshold), "a string, b string")
+        tagged = _bucketed(rows)
+        found = _compared(_listed(tagged.filter(F.col("n") <= limit), "path"), threshold)
         edges = found if edges is None else edges.unionByName(found)
         large = tagged.filter(F.col("n") > limit)
         if level < levels:
             rows = cut(large.drop("n").mapInArrow(_next_paths, ROWS))
-    # Whatever no splitting made small. Copies go first: the count of a bucket is then that of its texts.
+    # Whatever no splitting made small.
     once = cut(large.groupBy("path", "key").agg(F.first("held").alias("held")))
     sizes = once.groupBy(F.col("path").alias("k")).agg(F.count("*").alias("n"))
     dealt = once.join(sizes, F.col("path") == F.col("k")).drop("k")
@@ -221,7 +254,23 @@ def candidate_edges(rows: DataFrame, threshold: float, levels: int, limit: int,
     pivots = dealt.groupBy("path", "n", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(PIVOTS)).alias("p")).agg(F.min(F.struct("key", "held")).alias("r"))
     pivots = pivots.select("path", "r.key", "r.held", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
     parts = members.select("path", "key", "held", "chunk").unionByName(pivots)
-    return edges.unionByName(_listed(parts, "path", "chunk").mapInArrow(_compare(threshold), "a string, b string"))
+    return edges.unionByName(_compared(_listed(parts, "path", "chunk"), threshold))
+
+
+def candidates_of(texts: DataFrame, words: int, threshold: float, recall: float, levels: int, limit: int, chunk: int) -> DataFrame:
+    """Pairs that may be similar, from (key, text) rows of which many may share a key."""
+    half = 1 - (1 - recall) / 2
+    first = runs_for(half)
+    texts = texts.mapInArrow(_first_of_each, "key string, text string")
+
+    def paths(rows: DataFrame, runs: int, depth: int, start: int) -> DataFrame:
+        return cut(rows.repartition("key").mapInArrow(_first_paths(words, runs, threshold, depth, start), ROWS))
+
+    tagged = _bucketed(paths(texts, first, 1, 1))
+    edges = _compared(_listed(tagged.filter(F.col("n") <= limit), "path"), threshold)
+    crowded = cut(tagged.filter(F.col("n") > limit).select("key").distinct())
+    rows = paths(texts.join(crowded, "key", "left_semi"), runs_for(half, levels), levels, first + 1)
+    return edges.unionByName(candidate_edges(rows, threshold, levels, limit, chunk))
 
 
 def exact_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -279,8 +328,7 @@ def similar_documents(
     # A text's node in the graphs: 64 bits of its digest, which Spark hashes and compares as numbers.
     node = lambda key: F.xxhash64(key)
     classes = cut(spoken.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).withColumn("node", node("key")))
-    paths = cut(spoken.select("key", "text").mapInArrow(_first_paths(words, runs_for(recall), threshold, levels), ROWS))
-    edges = candidate_edges(paths, threshold, levels, limit, chunk)
+    edges = candidates_of(spoken.select("key", "text"), words, threshold, recall, levels, limit, chunk)
     candidates = components(edges.select(node("a").alias("a"), node("b").alias("b")))
     sizes = candidates.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("m"))
     tiles = F.ceil(F.col("m") / tile).cast("int")

@@ -92,3 +92,30 @@ def test_one_of_each(spark, messy):
     assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == sorted(wanted)
     ids = [r.doc_id for r in J.one_of_each(messy).collect()]
     assert sorted(ids, key=str) == sorted([0, 1, 2, 3, 4, 6, 8, 9, 10, None, 12, 13] + [7] * (7 in ids), key=str)
+
+
+def test_runs_for_the_deepest_level():
+    assert J.runs_for(0.9995, 2) == 13 and J.runs_for(0.9995, 3) == 17
+
+
+def test_copies_do_not_crowd_a_bucket_and_near_copies_are_found(spark):
+    rnd = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows = []
+    for g in range(60):
+        base = rnd.choices(vocabulary, k=205)
+        near = list(base)
+        for at in range(5, 160, 46):  # 4 separate words: 20 of about 201 shingles
+            near[at] = "other"
+        rows += [" ".join(base)] * (300 if g < 3 else 1) + [" ".join(near)]
+    rows = list(enumerate(rows))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    spoken = frame.selectExpr("md5(text) AS key", "text")
+    seen = list(J._first_of_each(iter([b for b in [spoken.toArrow().to_batches()[0]]])))
+    assert seen[0].num_rows == len(set(seen[0].column(0).to_pylist()))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.similar_documents(frame).collect()}
+    sets = {t: shingles(t) for t in {t for _, t in rows}}
+    for g, (i, near) in enumerate([r for r in rows if "other" in r[1]]):
+        base = rows[i - 1][1]
+        assert len(sets[base] & sets[near]) >= 0.8 * len(sets[base] | sets[near])
+        assert got[i][1] == (300 if g < 3 else 1)
