@@ -10,12 +10,12 @@ a probability of at least 1 - 1/e = 0.63 at the first level, 0.47 at the second
 frequent passage part at the next level, as their picks rarely fall into it.
 
 There are two rounds, each of which may miss half of what the recall allows. The first has one level:
-a pair that meets in a small bucket is compared there. A pair that meets in large buckets only has both
-texts in the second round, with runs of its own for `levels` levels over the texts of large buckets.
+a pair that meets in a bucket that is compared whole is found there. A pair that meets in other buckets
+only has both texts in the second round, with runs of its own for `levels` levels over their texts.
 
-Buckets up to `limit` are compared by brute force over 64-byte sketches. In buckets that splitting
-leaves large, texts that resemble the same one of a few pivots are candidates by way of it; all other
-pairs are compared in tiles, one pair of chunks at a time. Comparing only marks candidates and keeps a
+Buckets up to `limit` are compared by brute force over 64-byte sketches. In larger ones, texts that
+resemble the same one of a few pivots are candidates by way of it; all other pairs are compared in
+tiles, one pair of chunks at a time, if they are few or if no level is left to split the bucket. Comparing only marks candidates and keeps a
 forest of them, so no bucket turns into rows of pairs. Then the texts of each candidate component are compared exactly,
 all pairs of them, in tiles of bounded size: the Jaccard similarity of their shingle sets decides.
 
@@ -242,19 +242,72 @@ def candidate_edges(rows: DataFrame, threshold: float, levels: int, limit: int,
         tagged = _bucketed(rows)
         found = _compared(_listed(tagged.filter(F.col("n") <= limit), "path"), threshold)
         edges = found if edges is None else edges.unionByName(found)
-        large = tagged.filter(F.col("n") > limit)
+        found, rest = large_edges(tagged.filter(F.col("n") > limit).drop("n"), threshold, limit if level < levels else None, chunk)
+        edges = edges.unionByName(found)
         if level < levels:
-            rows = cut(large.drop("n").mapInArrow(_next_paths, ROWS))
-    # Whatever no splitting made small.
-    once = cut(large.groupBy("path", "key").agg(F.first("held").alias("held")))
+            rows = cut(rest.mapInArrow(_next_paths, ROWS))
+    return edges
+
+
+def _labelled(threshold: float):
+    """Each row is one chunk of a bucket and its pivots: members that resemble a pivot get the number of the
+    first pivot that similar pivots connect it with, others -1."""
+
+    def run(batches):
+        for batch in batches:
+            for path, keys, held, heads, pivots in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                near = _similar(pivots + held, threshold)
+                among = near[:len(pivots), :len(pivots)]
+                root = np.arange(len(pivots))
+                for _ in pivots:
+                    root = np.minimum(root, np.where(among, root[None, :], len(pivots)).min(1))
+                near = near[len(pivots):, :len(pivots)]
+                label = np.where(near.any(1), root[near.argmax(1)], -1)
+                # A pivot belongs to its own connected pivots, whatever else it resembles.
+                own = {k: root[i] for i, k in enumerate(heads)}
+                label = np.array([own.get(k, old) for k, old in zip(keys, label.tolist())], np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([path] * len(keys), pa.int64()), pa.array(keys, pa.string()), pa.array(held, pa.binary()),
+                    pa.array(label), pa.array([heads[i] if i >= 0 else None for i in label.tolist()], pa.string()),
+                ], ["path", "key", "held", "label", "pivot"])
+
+    return run
+
+
+def large_edges(rows: DataFrame, threshold: float, limit: int | None, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(edges of large buckets, rows of those that are left to split).
+
+    Members that pivots connect are candidates by way of them. The other pairs meet in tiles, all of
+    them, in every bucket where they are at most `limit` for each member; without a limit, in every one.
+    """
+    once = cut(rows.groupBy("path", "key").agg(F.first("held").alias("held")))
     sizes = once.groupBy(F.col("path").alias("k")).agg(F.count("*").alias("n"))
     dealt = once.join(sizes, F.col("path") == F.col("k")).drop("k")
-    chunks = F.ceil(F.col("n") / chunk).cast("int")
-    members = dealt.withColumn("chunk", F.pmod(F.xxhash64("key"), chunks).cast("int"))
-    pivots = dealt.groupBy("path", "n", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(PIVOTS)).alias("p")).agg(F.min(F.struct("key", "held")).alias("r"))
-    pivots = pivots.select("path", "r.key", "r.held", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
-    parts = members.select("path", "key", "held", "chunk").unionByName(pivots)
-    return edges.unionByName(_compared(_listed(parts, "path", "chunk"), threshold))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / chunk)).cast("int"))
+    pivots = once.groupBy(F.col("path").alias("k"), F.pmod(F.xxhash64("key", F.lit(3)), F.lit(PIVOTS)).alias("p")).agg(F.min(F.struct("key", "held")).alias("r"))
+    pivots = pivots.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("p", "r"))).alias("r"))
+    lists = dealt.groupBy("path", "chunk").agg(F.collect_list(F.struct("key", "held")).alias("m")).join(pivots, F.col("path") == F.col("k"))
+    labelled = cut(lists.select(
+        "path", F.col("m.key").alias("keys"), F.col("m.held").alias("held"), F.col("r.r.key").alias("heads"), F.col("r.r.held").alias("pivots"),
+    ).mapInArrow(_labelled(threshold), "path long, key string, held binary, label int, pivot string"))
+    by_pivot = labelled.filter("pivot IS NOT NULL AND pivot != key").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
+    counts = labelled.groupBy(F.col("path").alias("k"), F.col("label").alias("l")).agg(F.count("*").alias("m"))
+    # Chunks of members with the same label; two chunks of one pivot need no tile.
+    part = F.struct(F.col("l").alias("label"), F.ceil(F.col("m") / chunk).cast("int").alias("parts"), F.col("m").alias("m"))
+    counts = counts.groupBy("k").agg(
+        F.sum("m").alias("n"), F.sum(F.when(F.col("l") >= 0, F.col("m") * F.col("m")).otherwise(0)).alias("joined"), F.collect_list(part).alias("labels"),
+    )
+    few = F.lit(True) if limit is None else F.col("n") * F.col("n") - F.col("joined") <= 2 * limit * F.col("n")
+    placed = labelled.join(counts.withColumn("few", few), F.col("path") == F.col("k")).drop("k")
+    rest = placed.filter(~F.col("few")).select("path", "key", "held")
+    mine = F.filter("labels", lambda x: x.label == F.col("label"))[0].parts
+    others = F.flatten(F.transform("labels", lambda x: F.transform(
+        F.sequence(F.lit(0), x.parts - 1), lambda c: F.struct(x.label.alias("label"), c.alias("c"))
+    )))
+    met = placed.filter("few").withColumn("own", F.struct("label", F.pmod(F.xxhash64("key", F.lit(5)), mine).cast("int").alias("c")))
+    met = met.withColumn("other", F.explode(F.filter(others, lambda o: (F.col("label") < 0) | (o.label != F.col("label")))))
+    met = met.select("path", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "key", F.substring("held", 1, 8 + SKETCH).alias("held"))
+    return by_pivot.unionByName(_compared(_listed(met, "path", "low", "high"), threshold)), rest
 
 
 def candidates_of(texts: DataFrame, words: int, threshold: float, recall: float, levels: int, limit: int, chunk: int) -> DataFrame:
@@ -268,9 +321,10 @@ def candidates_of(texts: DataFrame, words: int, threshold: float, recall: float,
 
     tagged = _bucketed(paths(texts, first, 1, 1))
     edges = _compared(_listed(tagged.filter(F.col("n") <= limit), "path"), threshold)
-    crowded = cut(tagged.filter(F.col("n") > limit).select("key").distinct())
+    found, rest = large_edges(tagged.filter(F.col("n") > limit).drop("n"), threshold, limit, chunk)
+    crowded = cut(rest.select("key").distinct())
     rows = paths(texts.join(crowded, "key", "left_semi"), runs_for(half, levels), levels, first + 1)
-    return edges.unionByName(candidate_edges(rows, threshold, levels, limit, chunk))
+    return edges.unionByName(found).unionByName(candidate_edges(rows, threshold, levels, limit, chunk))
 
 
 def exact_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:

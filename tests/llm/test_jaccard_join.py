@@ -119,3 +119,20 @@ def test_copies_do_not_crowd_a_bucket_and_near_copies_are_found(spark):
         base = rows[i - 1][1]
         assert len(sets[base] & sets[near]) >= 0.8 * len(sets[base] | sets[near])
         assert got[i][1] == (300 if g < 3 else 1)
+
+
+def test_pairs_meet_in_a_leftover_bucket_that_no_pivot_resembles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows, pairs = [], set()
+    for i in range(200):  # pairs of near texts, each far from all others
+        one = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+        two = np.r_[one[:285], rng.integers(0, 1 << 63, 15).astype(np.uint64)]
+        for name, hashes in ((f"{i}a", one), (f"{i}b", two)):
+            rows.append((1, name, bytearray(len(hashes).to_bytes(8, "little") + J.sketch_of(hashes).tobytes())))
+        pairs.add((f"{i}a", f"{i}b"))
+    edges, rest = J.large_edges(spark.createDataFrame(rows, J.ROWS), 0.8, None, 16)
+    assert {tuple(sorted(r)) for r in edges.collect()} == pairs and not rest.count()
+    edges, rest = J.large_edges(spark.createDataFrame(rows, J.ROWS), 0.8, 64, 16)
+    assert rest.count() == 400
