@@ -7,7 +7,13 @@ back inside. So a pseudonym has the same length, separators, letter case and che
 equal values get equal pseudonyms in all documents: they stay linked, with no table of values.
 
 Kinds: payment cards (Luhn), IBANs (mod 97), social security numbers, telephone numbers, IPv4
-addresses, calendar dates (1900 to 2099), e-mail addresses, access keys and secret strings.
+addresses, calendar dates (1900 to 2099, in digits or with an English month name), e-mail addresses,
+access keys and secret strings.
+
+Cards and IBANs may stand next to other digits or capitals: every admissible stretch between group
+boundaries is validated and the longest valid one holds (an IBAN of its country's length before
+others), then the rest is searched. Part of a longer row of digit groups is a card only if its groups,
+the last aside, have four digits or more; other rows of small numbers would pass by chance.
 
 Defined results: a null text stays null, with no spans; an empty one stays empty; invalid numbers
 stay as they are; of overlapping finds the one that starts first, then the longer one, holds;
@@ -32,20 +38,31 @@ DIGITS, LOWER, UPPER, HEX, HEX_UPPER = (
 )
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), 73049  # to 2099-12-31
 
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+MONTH = "|".join([*MONTHS, *(m[:3] for m in MONTHS), "sept"])
+# Lengths by country; other countries' IBANs may have any length.
+IBAN_LENGTHS = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS",
+    23: "AE GI IL TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ CY DO GT HU LB PL",
+    29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC",
+}.items() for country in countries.split()}
+
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9_.+-]*[A-Za-z0-9_+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "card": r"(?<![\d.])(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)(?!\.\d)",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "card": r"(?<![\d.])\d(?:[ -]?\d){12,}+",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?=((?: ?[A-Z0-9]){11,30}))",
     "phone": r"(?<![\d.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d])|(?<![\d+])\+\d(?:[ .()-]{0,2}\d){7,14}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d])(?!\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d/-])",
+    "written": rf"(?i)(?<![\d./-])(?P<d>\d{{1,2}})(?:st|nd|rd|th)?\.?(?: of)?[ -](?P<m>{MONTH})\b\.?,?[ -](?P<y>\d{{4}})(?!\d)"
+               rf"|\b(?P<m2>{MONTH})\b\.? (?P<d2>\d{{1,2}})(?:st|nd|rd|th)?,? (?P<y2>\d{{4}})(?!\d)",
     "key": r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9_])(?:gh[pousr]_|sk-|xox[abp]-)[A-Za-z0-9-]{16,}",
     "secret": r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}(?![A-Za-z0-9])",
     "named": r"(?i)\b(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key)\b[^\w\n]{1,8}([A-Za-z0-9+/_-]{16,})",
 }
 FOUND = {kind: re.compile(p) for kind, p in PATTERNS.items()}
-NUMERIC = ("card", "iban", "phone", "ssn", "ip", "date")
+NUMERIC = ("card", "iban", "phone", "ssn", "ip", "date", "written")
 DIGIT = re.compile(r"\d")
 
 
@@ -170,6 +187,30 @@ def _date(text: str, key: bytes) -> str | None:
     return None
 
 
+def _written(text: str, key: bytes) -> str | None:
+    m = FOUND["written"].fullmatch(text)
+    names = ("d", "m", "y") if m["d"] else ("d2", "m2", "y2")
+    day, name, year = (m[n] for n in names)
+    month = next(i for i, full in enumerate(MONTHS, 1) if full.startswith(name.lower()[:3]))
+    try:
+        number = datetime.date(int(year), month, int(day)).toordinal() - FIRST_DAY
+    except ValueError:
+        return None
+    if not 0 <= number < DAYS:
+        return None
+    new = datetime.date.fromordinal(FIRST_DAY + permuted(number, DAYS, key, "date"))
+    word = MONTHS[new.month - 1] if name.lower() in MONTHS and name.lower() != "may" else MONTHS[new.month - 1][:3]
+    word = word.upper() if name.isupper() else word if name.islower() else word.capitalize()
+    put = dict(zip(names, (str(new.day).zfill(len(day)), word, str(new.year))))
+    out, at = [], 0
+    for n in sorted(names, key=m.start):
+        out += [text[at:m.start(n)], put[n]]
+        at = m.end(n)
+    done = "".join([*out, text[at:]])
+    suffix = "th" if 11 <= new.day <= 13 else {1: "st", 2: "nd", 3: "rd"}.get(new.day % 10, "th")
+    return re.sub(r"(?i)(?<=\d)(?:st|nd|rd|th)\b", lambda o: suffix.upper() if o[0].isupper() else suffix, done)
+
+
 def _email(text: str, key: bytes) -> str | None:
     local, host = text.split("@", 1)
     new = swapped(local, key, "email")
@@ -191,11 +232,59 @@ def _secret(text: str, key: bytes) -> str | None:
 
 
 MAKE = {
-    "email": _email, "card": _card, "iban": _iban, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date,
+    "email": _email, "card": _card, "iban": _iban, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date, "written": _written,
     "key": _key, "secret": _secret, "named": _secret,
 }
 
 
+def _cards(text: str):
+    """(start, end) of the valid cards in each row of digit groups: the longest first, then the first."""
+    for m in FOUND["card"].finditer(text):
+        groups = [(m.start() + g.start(), m.start() + g.end()) for g in re.finditer(r"\d+", m[0])]
+        whole, valid = sum(b - a for a, b in groups), []
+        # The digits of an IBAN's form are no card, valid or not.
+        head = text[max(0, m.start() - 2):m.start()] if groups[0][1] - groups[0][0] == 2 else ""
+        inside = IBAN_LENGTHS.get(head, 0) - 2
+        for i, (start, _) in enumerate(groups):
+            n = 0
+            if sum(b - a for a, b in groups[:i]) < inside:
+                continue
+            for j in range(i, len(groups)):
+                a, end = groups[j]
+                n += end - a
+                if n > 19 or (j > i and whole > n and groups[j - 1][1] - groups[j - 1][0] < 4):
+                    break
+                if n < 13 or re.match(r"\.\d", text[end:end + 2]):
+                    continue
+                digits = re.sub(r"\D", "", text[start:end])
+                if luhn_digit(digits[:-1]) == digits[-1]:
+                    marks = {text[b] for _, b in groups[i:j]}
+                    # A dash or slash around a number with other separators belongs to its neighbour, as in a date.
+                    torn = (i > 0 and text[start - 1] == "-" and "-" not in marks) or (text[end:end + 1] in ("-", "/") and text[end] not in marks and text[end + 1:end + 2].isdigit())
+                    valid.append((torn or len(marks) > 1, -n, start, end))
+        taken = []
+        for *_, start, end in sorted(valid):
+            if all(end <= a or start >= b for a, b in taken):
+                taken.append((start, end))
+        yield from taken
+
+
+def _ibans(text: str):
+    """(start, end) of the IBAN at each place where one may begin."""
+    for m in FOUND["iban"].finditer(text):
+        tail, n, ends = m[1], 4, []
+        for i, c in enumerate(tail):
+            n += c != " "
+            end = m.end() + i + 1
+            if c != " " and n >= 15 and not re.match("[A-Za-z0-9]", text[end:end + 1]):
+                ends.append((n != IBAN_LENGTHS.get(m[0][:2]), -n, end))
+        for *_, end in sorted(ends):
+            plain = text[m.start():end].replace(" ", "")
+            if _iban_number(plain[4:] + plain[:4]) % 97 == 1:
+                yield m.start(), end
+                break
+
+
 def finds(text: str):
     """(start, end, kind) of everything that has the form of a value."""
     kinds = ["email"] * ("@" in text)
@@ -204,6 +293,9 @@ def finds(text: str):
     if "IA" in text or "_" in text or "-" in text:
         kinds.append("key")
     for kind in kinds:
+        if kind in ("card", "iban"):
+            yield from ((start, end, kind) for start, end in (_cards if kind == "card" else _ibans)(text))
+            continue
         for m in FOUND[kind].finditer(text):
             start, end = m.span(1 if kind == "named" else 0)
             yield start, end, kind
@@ -215,14 +307,14 @@ def replaced(text: str | None, key: bytes, kinds=tuple(MAKE)) -> tuple[str | Non
         return text, []
     out, spans, at, length = [], [], 0, 0
     for start, end, kind in sorted(finds(text), key=lambda f: (f[0], -f[1], f[2])):
-        if start < at or kind not in kinds:
+        if start < at or ("date" if kind == "written" else kind) not in kinds:
             continue
         new = MAKE[kind](text[start:end], key)
         if new is None:
             continue
         out += [text[at:start], new]
         length += start - at + len(new)
-        spans.append({"kind": "secret" if kind == "named" else kind, "start": start, "end": end, "new_end": length})
+        spans.append({"kind": {"named": "secret", "written": "date"}.get(kind, kind), "start": start, "end": end, "new_end": length})
         at = end
     return ("".join([*out, text[at:]]) if spans else text), spans
 

@@ -76,3 +76,25 @@ def test_frame(messy, empty):
     assert set(rows[0].asDict()) == set(renamed.columns)
     assert max(len(r.pii_spans) for r in rows) == 3000
     assert P.pseudonymised(empty, KEY).collect() == []
+
+
+CARD, IBAN = VALID["card"], VALID["iban"]
+
+
+@pytest.mark.parametrize("text,values", [
+    (f"{CARD} 123", [CARD]), (f"{CARD} 12/26", [CARD]), (f"7 {CARD}", [CARD]), (f"{CARD} 5500 0000 0000 0004", [CARD, "5500 0000 0000 0004"]),
+    (f"no. 12 {CARD}-2", [CARD]), (f"{IBAN} BIC", [IBAN]), (f"{IBAN} 2024-01-01", [IBAN, "2024-01-01"]), (f"IBAN {IBAN} COBADEFF", [IBAN]),
+    ("4111111111111111 123", ["4111111111111111"]), ("on 29 February 2024.", ["29 February 2024"]), ("on Mar 3rd, 2021 it", ["Mar 3rd, 2021"]),
+])
+def test_values_beside_other_digits(text, values):
+    done, spans = P.replaced(f"before {text} after", KEY)
+    assert [f"before {text} after"[s["start"]:s["end"]] for s in spans] == values
+    assert not any(v in done for v in values)
+
+
+def test_written_dates_are_linked_and_checked():
+    new = [P.replaced(t, KEY)[0] for t in ("2024-02-29", "29 February 2024", "February 29, 2024")]
+    days = [datetime.datetime.strptime(t, f) for t, f in zip(new, ("%Y-%m-%d", "%d %B %Y", "%B %d, %Y"))]
+    assert len(set(days)) == 1
+    for text in ("30 February 2024", "in March 2024", " ".join(map(str, range(1, 60)))):
+        assert P.replaced(text, KEY) == (text, [])
