@@ -7,13 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscore.llm import embedding_dedup, fingerprints, jaccard_join, language, mixing, packing, pseudonyms, quality, repeats, token_counts
+from folioscore.llm import (
+    bpe, divergence, embedding_dedup, fingerprints, jaccard_join, language, merkle, mixing, packing, pseudonyms, quality, repeats, token_counts,
+)
 from folioscore.llm.common import crc_bucket
 from folioscore.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 VOCABULARY = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 # A demonstration key; real use takes one from a secret store.
 KEY = b"registered query"
 
@@ -96,3 +99,29 @@ def join_similar_texts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_repeats")
 def remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.without_repeats(table(spark, folder, "documents")).drop("kept")
+
+
+@query("op11_bpe_round_trip")
+def encode_and_decode(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path(RANKS)
+    both = bpe.decoded(bpe.encoded(table(spark, folder, "documents").select("doc_id", "text"), ranks), ranks)
+    return both.select(
+        "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op12_merkle_manifest", merkle.ORACLE)
+def verify_documents(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    # A tampered row differs in its text only: capital ASCII letters become small.
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.leaf_of(docs, text=merkle.small_letters(F.col("text"))))
+    proofs = merkle.merkle_manifest(docs, tampered)
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+@query("op13_divergence_audit", divergence.ORACLE)
+def audit_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence_audit(table(spark, folder, "documents"))
