@@ -184,12 +184,15 @@ def _matrix(row) -> tuple[list[str], np.ndarray]:
 
 def _cell(rows: pd.DataFrame) -> pd.DataFrame:
     """Partial divergences of one cell: from each group of a slice to each of the other, both ways."""
+    same = rows["low"].iloc[0] == rows["high"].iloc[0]
+    if not same and len(rows) == 1:
+        # No group was dealt into the other block.
+        return pd.DataFrame({"lang": [], "source": [], "item": [], "value": []}).astype({"lang": str, "source": str, "item": str, "value": "int64"})
     sides = [_matrix(r) for r in rows.sort_values("group_block").itertuples()]
     names: list[tuple[str, str]] = []
     values: list[np.ndarray] = []
     left_names, left = sides[0]
     right_names, right = sides[-1]
-    same = len(sides) == 1
     for i, source in enumerate(left_names):
         gap = left[i] - right
         gap *= gap
