@@ -35,6 +35,7 @@ MIN_DOCUMENTS = 3
 TOP_TERMS = 200
 GROUP_BLOCK = 32
 TERM_BLOCK = 4096
+PARTS = 256
 # A map task hands its counts on when it holds this many: a bound on memory, not on results.
 HELD = 400_000
 STRETCH = 1_000_000
@@ -121,9 +122,13 @@ def kept_terms(counts: DataFrame, min_documents: int = MIN_DOCUMENTS, term_block
     """lang, term, lang_n, block and number of the term, terms in its block, kept terms of the language."""
     terms = counts.filter("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
     terms = terms.filter(F.col("docs") >= min_documents).drop("docs")
-    kept = terms.groupBy("lang").agg(F.count("*").alias("kept"))
+    # A language's number of terms goes to its terms by (language, part), so that no task gets a language.
+    kept = terms.groupBy("lang").agg(F.count("*").alias("kept")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     block = W.partitionBy("lang", "term_block")
-    dealt = terms.join(kept, "lang").withColumn("term_block", F.pmod(F.xxhash64("term"), F.ceil(F.col("kept") / term_block)).cast("int"))
+    parted = terms.withColumn("part", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(PARTS)).cast("int"))
+    dealt = parted.join(kept, ["lang", "part"]).drop("part").withColumn(
+        "term_block", F.pmod(F.xxhash64("term"), F.ceil(F.col("kept") / term_block)).cast("int")
+    )
     return cut(dealt.withColumns({
         "term_no": (F.row_number().over(block.orderBy("term")) - 1).cast("int"), "terms": F.count("*").over(block).cast("int"),
     }))
