@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from folioscore.operators import inference as I, pages as P
-from folioscore.operators.ledger import open_withdrawals
 from folioscore.operators.review import score_items
 from folioscore.queries.inputs import Inputs, as_items, as_requests, mod
 from folioscore.queries.paging import _page_model_text
@@ -97,14 +96,31 @@ def s21(t: Inputs) -> DataFrame:
 # --- ledger streams ----------------------------------------------------------------------------
 
 
-def _ledger_stream(t: Inputs, files: int | None = None) -> DataFrame:
-    columns = [
-        "pilot_id", "sequence", "event_id", "event_type", "subject_token_sha256", "scope_sha256", "occurred_at"
-    ]
-    path = staging_path(t.spark, "ledger-events")
-    events = t.ledger.select(*columns)
-    events.write.parquet(path)
-    return tables.read_files(t.spark, events.schema, path, files)
+# Every slice is written as so many files and read as one micro-batch.
+SLICES, FILES = 3, 4
+EVENT_COLUMNS = [
+    "pilot_id", "sequence", "event_id", "event_type", "subject_token_sha256", "scope_sha256", "event_sha256",
+    "previous_event_sha256", "occurred_at", "recorded_at",
+]
+
+
+def _sliced(rows: DataFrame, name: str) -> DataFrame:
+    """A stream over rows whose column `slice` says with which micro-batch they arrive."""
+    spark = rows.sparkSession
+    kept, source = staged(rows, name), staging_path(spark, f"{name}-source")
+    for k in range(SLICES):
+        kept.filter(F.col("slice") == k).drop("slice").repartition(FILES).write.mode("append").parquet(source)
+    return tables.read_files(spark, kept.drop("slice").schema, source, FILES)
+
+
+def _by_day(late: str = "sequence") -> Column:
+    """Ten days a slice; every other event of a day comes one day late, so slices overlap."""
+    day = F.datediff(F.col("occurred_at"), F.lit("2024-01-01")) + mod(F.col(late), 2)
+    return F.least(F.floor(day / 10), F.lit(SLICES - 1)).cast("int")
+
+
+# The same slice in SQL.
+_DAY_SLICE = "CAST(least((date_diff('day', DATE '2024-01-01', CAST(occurred_at AS DATE)) + sequence%2)//10, 2) AS INT)"
 
 
 # A subject has at most four events here, so the accepted state unrolls into three joins.
@@ -125,25 +141,67 @@ _REPLAY = f"""(WITH RECURSIVE ev AS (SELECT *, row_number() OVER (PARTITION BY p
   SELECT * FROM st)"""
 
 
+# An event's place against the event numbered one less in `{rows}`.
+_FAULTS = """SELECT *, concat_ws('|', CASE WHEN gap THEN 'gap' END,
+    CASE WHEN previous_event_sha256 <> CASE WHEN sequence=1 THEN repeat('0',64) ELSE coalesce(head,'') END THEN 'chain_broken' END,
+    CASE WHEN occurred_at>recorded_at THEN 'occurred_after_recorded' END, CASE WHEN occurred_at<prev_occurred THEN 'occurred_regressed' END,
+    CASE WHEN recorded_at<prev_recorded THEN 'recorded_regressed' END) AS faults
+  FROM (SELECT a.*, b.event_sha256 AS head, b.occurred_at AS prev_occurred, b.recorded_at AS prev_recorded, b.sequence IS NULL AND a.sequence>1 AS gap
+    FROM {rows} a LEFT JOIN {rows} b ON b.pilot_id=a.pilot_id AND b.sequence=a.sequence-1)"""
+
+
 @query(
     "st1_ledger_stream", "ledger",
-    sql=f"SELECT pilot_id, subject_token_sha256, sequence, event_id, reason='' AS accepted, reason FROM {_REPLAY} WHERE rn>0",
+    sql=f"""SELECT r.pilot_id, r.subject_token_sha256, r.sequence, r.event_id, reason='' AS accepted, reason, faults
+      FROM {_REPLAY} r JOIN ({_FAULTS.format(rows="ledger")}) f USING (event_id) WHERE rn>0""",
 )
 def st1(t: Inputs) -> DataFrame:
-    verdicts = SL.ledger_verdicts(_ledger_stream(t))
-    rows = tables.append_available(verdicts, staging_path(t.spark, "verdicts")).drop("batch")
-    return rows.withColumn("reason", F.coalesce("reason", F.lit("")))
+    """Events arrive shuffled over all slices, and are judged as if they had come in order."""
+    rows = t.ledger.select(*EVENT_COLUMNS, mod(F.crc32("event_id"), SLICES).alias("slice"))
+    verdicts = SL.ledger_verdicts(_sliced(rows, "ledger"), delay="60 days")
+    return tables.append_available(verdicts, staging_path(t.spark, "verdicts")).drop("batch").withColumn("reason", F.coalesce("reason", F.lit("")))
+
+
+_GAPPY = f"""SELECT *, {_DAY_SLICE} AS slice FROM ledger WHERE sequence%211<>0"""
+# Released: no gap before an event is still waiting when the stream ends.
+_RELEASED = """SELECT * FROM (SELECT *, coalesce(max(CASE WHEN gap THEN epoch_us(occurred_at)//1000 END) OVER (PARTITION BY pilot_id ORDER BY sequence), 0)+3600000
+    <= (SELECT epoch_us(max(occurred_at))//1000 FROM ledger)-2*86400000 AS free,
+    count(*) FILTER (gap) OVER (PARTITION BY pilot_id ORDER BY sequence)=0 AS whole FROM ({}))
+  WHERE free OR whole"""
+
+
+@query(
+    "st1_ledger_gaps", "ledger",
+    sql=f"""SELECT r.pilot_id, r.subject_token_sha256, r.sequence, r.event_id, reason='' AS accepted, reason, faults
+        FROM {_REPLAY.replace("FROM ledger", f"FROM ({_RELEASED.format(_FAULTS.format(rows=f'({_GAPPY})'))})")} r
+        JOIN ({_RELEASED.format(_FAULTS.format(rows=f"({_GAPPY})"))}) f USING (event_id) WHERE rn>0
+      UNION ALL SELECT pilot_id, subject_token_sha256, sequence, event_id, false, 'repeated_sequence', 'repeated_sequence'
+        FROM ({_GAPPY}) WHERE sequence%149=0""",
+)
+def st1_gaps(t: Inputs) -> DataFrame:
+    """Some events never come, some come twice, and the last slice brings some of the first again,
+    too late to count; gaps are given up when the watermark has passed them by an hour."""
+    rows = t.ledger.select(*EVENT_COLUMNS).filter(mod(F.col("sequence"), 211) != 0).withColumn("slice", _by_day())
+    twice = rows.filter(mod(F.col("sequence"), 149) == 0)
+    late = rows.filter((F.col("slice") == 0) & (mod(F.col("sequence"), 97) == 0)).withColumn("slice", F.lit(SLICES - 1))
+    verdicts = SL.ledger_verdicts(_sliced(rows.unionByName(twice).unionByName(late), "gaps"), delay="2 days")
+    return tables.append_available(verdicts, staging_path(t.spark, "verdicts")).drop("batch").withColumn("reason", F.coalesce("reason", F.lit("")))
 
 
 @query(
     "st2_deadline_alarm", "ledger",
-    sql=f"""SELECT pilot_id, subject_token_sha256, epoch_us(requested_at)//1000 AS requested_ms FROM (SELECT pilot_id, subject_token_sha256, max(requested_at) AS requested_at, bool_or(cl) AS cl FROM {_REPLAY} GROUP BY 1,2)
-      WHERE requested_at IS NOT NULL AND NOT cl AND epoch_us(requested_at)//1000 + 5*86400000 <= (SELECT epoch_us(max(occurred_at))//1000 FROM ledger) - 3600000""",
+    sql=f"""SELECT * FROM (WITH placed AS (SELECT pilot_id, sequence, event_id, max({_DAY_SLICE}) OVER (PARTITION BY pilot_id ORDER BY sequence) AS released FROM ledger),
+      marks AS (SELECT s, (SELECT epoch_us(max(occurred_at))//1000 FROM ledger WHERE {_DAY_SLICE}<=s)-2*86400000 AS mark FROM range({SLICES}) x(s)),
+      ends AS (SELECT r.pilot_id, r.subject_token_sha256, epoch_us(max(r.requested_at))//1000 AS requested_ms, min(p.released) FILTER (r.cl) AS closed
+        FROM {_REPLAY} r LEFT JOIN placed p USING (event_id) GROUP BY 1,2)
+      SELECT pilot_id, subject_token_sha256, requested_ms FROM ends
+      WHERE coalesce(closed,{SLICES}) > (SELECT CASE WHEN min(s) IS NOT NULL THEN least(min(s)+1, {SLICES - 1}) END FROM marks WHERE mark>=requested_ms+5*86400000))""",
 )
 def st2(t: Inputs) -> DataFrame:
-    alarms = SL.deadline_alarms(_ledger_stream(t), days=5)
-    rows = tables.append_available(alarms, staging_path(t.spark, "alarms"))
-    return rows.select(
+    """A withdrawal that is closed by the micro-batch in which its timer fires raises no alarm."""
+    rows = t.ledger.select(*EVENT_COLUMNS).withColumn("slice", _by_day())
+    alarms = SL.deadline_alarms(_sliced(rows, "deadlines"), days=5, delay="2 days")
+    return tables.append_available(alarms, staging_path(t.spark, "alarms")).select(
         "pilot_id", "subject_token_sha256", F.unix_millis(F.col("requested_at").cast("timestamp")).alias("requested_ms")
     )
 
@@ -223,6 +281,30 @@ def st6_sliding(t: Inputs) -> DataFrame:
     return _with_start(tables.upsert_available(histogram, ["window_start", "endpoint"], staging_path(t.spark, "sliding")))
 
 
+@query(
+    "st6_latency_quantiles", "requests",
+    sql=f"SELECT {_HOUR.replace('3600000000*3600', '86400000000*86400')} AS window_start, endpoint, count(*) AS n, true AS p50_within, true AS p95_within FROM requests GROUP BY 1,2",
+)
+def st6_quantiles(t: Inputs) -> DataFrame:
+    """Sketches of six hours come from the stream, merge into days, and their medians and 95th
+    percentiles are placed among the exact latencies of the table."""
+    sketches = counters.latency_sketches(_event_stream(t), size="6 hours")
+    kept = tables.upsert_available(sketches, ["window_start", "endpoint"], staging_path(t.spark, "sketches"))
+    days = staged(counters.merged_sketches(kept, "1 day"), "day-sketches")
+    found = counters.sketch_quantiles(days, {"p50": 0.5, "p95": 0.95})
+    rows = t.requests.select(F.window("ts", "1 day")["start"].alias("window_start"), "endpoint", "latency_ms")
+    placed = rows.join(found, ["window_start", "endpoint"]).groupBy("window_start", "endpoint", "n", "p50", "p95").agg(
+        *[F.count_if(F.col("latency_ms") < F.col(p)).alias(f"{p}_below") for p in ("p50", "p95")],
+        *[F.count_if(F.col("latency_ms") <= F.col(p)).alias(f"{p}_upto") for p in ("p50", "p95")], F.count("*").alias("rows"),
+    )
+
+    def within(p: str, q: float) -> Column:
+        slack = counters.RANK_ERROR * F.col("rows") + 1
+        return (F.col("n") == F.col("rows")) & (F.col(f"{p}_below") <= q * F.col("rows") + slack) & (F.col(f"{p}_upto") >= q * F.col("rows") - slack)
+
+    return _with_start(placed.select("window_start", "endpoint", F.col("rows").alias("n"), within("p50", 0.5).alias("p50_within"), within("p95", 0.95).alias("p95_within")))
+
+
 @query(
     "st7_pages_processed", "requests",
     sql=f"SELECT {_HOUR} AS window_start, 'model-'||(user_id%3) AS model, CASE event_id%4 WHEN 0 THEN 'trocr_fast' WHEN 1 THEN 'hybrid' WHEN 2 THEN 'vlm_fallback' ELSE 'human_only' END AS route, count(*) AS pages FROM requests GROUP BY 1,2,3",
@@ -263,11 +345,28 @@ def st8(t: Inputs) -> DataFrame:
 
 
 @query(
-    "st9_consent_stream", "milestones",
-    sql="""SELECT event_id, sequence FROM ledger WHERE subject_token_sha256 NOT IN
-      (SELECT subject_token_sha256 FROM milestones WHERE first_request IS NOT NULL AND first_close IS NULL)""",
+    "st9_consent_stream", "ledger",
+    sql=f"""SELECT * FROM (WITH accepted AS (SELECT l.subject_token_sha256, l.event_type, l.occurred_at, l.sequence FROM {_REPLAY} r JOIN ledger l USING (event_id) WHERE reason='')
+      SELECT l.event_id AS sample_id, coalesce((SELECT arg_max(a.event_type, a.sequence) FROM accepted a
+          WHERE a.subject_token_sha256=l.subject_token_sha256 AND a.occurred_at <= l.occurred_at + INTERVAL 3 HOUR), 'withdrawal_closed')='withdrawal_closed' AS allowed
+      FROM ledger l WHERE date_diff('day', DATE '2024-01-01', CAST(l.occurred_at + INTERVAL 3 HOUR AS DATE))>=8)""",
 )
 def st9(t: Inputs) -> DataFrame:
-    withdrawals = staged(open_withdrawals(t.ledger), "withdrawals")
-    rows = work.consent_stream(_ledger_stream(t), withdrawals, staging_path(t.spark, "consented"))
-    return rows.select("event_id", "sequence")
+    """Withdrawals of the first eight days are the state to start from; then samples and
+    withdrawals arrive side by side, in three micro-batches."""
+    spark = t.spark
+    day = lambda c: F.datediff(F.col(c), F.lit("2024-01-01"))
+    events = staged(t.ledger.select(*EVENT_COLUMNS), "consent-events")
+    three = F.expr("INTERVAL 3 HOURS")
+    samples = staged(
+        events.select("subject_token_sha256", F.col("event_id").alias("sample_id"), (F.col("occurred_at") + three).alias("arrived_at")), "consent-samples"
+    )
+    started = staged(SL.withdrawal_states(events.filter(day("occurred_at") < 8)), "started")
+    folder = staging_path(spark, "consent-source")
+    for low, high in ((8, 15), (15, 22), (22, 99)):
+        for name, rows, at in (("events", events, "occurred_at"), ("samples", samples, "arrived_at")):
+            rows.filter((day(at) >= low) & (day(at) < high)).repartition(FILES).write.mode("append").parquet(f"{folder}/{name}")
+    gate = SL.consent_gate(
+        tables.read_files(spark, samples.schema, f"{folder}/samples", FILES), tables.read_files(spark, events.schema, f"{folder}/events", FILES), started,
+    )
+    return tables.append_available(gate, staging_path(spark, "consented")).select("sample_id", "allowed")

@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def read_files(spark: SparkSession, schema, path: str, files_per_trigger: int | None = None, name: str | None = None) -> DataFrame:
     """A stream over the Parquet files of a folder; `name` keeps only matching files."""
@@ -24,13 +27,20 @@ def run_available(
     mode: str = "append",
 ) -> None:
     """Process everything that is there, then stop; the checkpoint lets a later run go on."""
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE, None)
+    # Keyed state needs this store, off the heap; a query takes its settings along when it starts.
+    conf.set(STATE_STORE, ROCKSDB)
+    try:
+        query = (
+            stream.writeStream.outputMode(mode)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .foreachBatch(write)
+            .start()
+        )
+    finally:
+        conf.set(STATE_STORE, before) if before else conf.unset(STATE_STORE)
     query.awaitTermination()
 
 

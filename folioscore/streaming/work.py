@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from folioscore.operators.inference import Predictor, predict, prediction_rows
-from folioscore.operators.ledger import consented
 from folioscore.operators.review import annotation_queue
 from folioscore.streaming.tables import KeptTable, append_available, run_available
 
@@ -44,8 +43,3 @@ def correction_counts(corrections: DataFrame, path: str, delay: str = "1 day") -
     category = F.coalesce("failure_category", F.lit("unknown")).alias("category")
     rows = append_available(once.select(category, "item_id", "ts"), path)
     return rows.groupBy("category").agg(F.count("*").alias("n"))
-
-
-def consent_stream(samples: DataFrame, withdrawals: DataFrame, path: str) -> DataFrame:
-    """Incoming samples without those whose subject has an open withdrawal."""
-    return append_available(consented(samples, withdrawals), path).drop("batch")
