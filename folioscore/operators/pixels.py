@@ -6,7 +6,7 @@ sides even when one page holds most of the pixels.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -96,8 +96,11 @@ def text_lines(profile: DataFrame, min_height: int = 15, max_height: int = 200)
 def augmentation_plan(samples: DataFrame, seed: str = "42") -> DataFrame:
     """Which augmentations each sample gets and how strong, from hash-seeded uniform numbers."""
     digest = F.sha2(F.concat_ws("\0", F.lit("augment"), F.lit(seed), F.col("sample_id")), 256)
-    rows = samples.select("sample_id", digest.alias("d"))
+    more = F.sha2(F.concat_ws("\0", F.lit("augment-colour"), F.lit(seed), F.col("sample_id")), 256)
+    rows = samples.select("sample_id", digest.alias("d"), more.alias("e"))
     u = lambda i: hash_uniform(F.col("d"), 1 + 6 * i, 6)
+    # A second digest: no two strengths share a draw.
+    w = lambda i: hash_uniform(F.col("e"), 1 + 6 * i, 6)
     on = u(0) <= 0.5
 
     def pick(gate: int, probability: float, value: Column) -> Column:
@@ -110,8 +113,8 @@ def augmentation_plan(samples: DataFrame, seed: str = "42") -> DataFrame:
         pick(3, 0.3, -5.0 + u(4) * 10.0).alias("rotation_degrees"),
         pick(5, 0.2, 5.0 + u(6) * 10.0).alias("noise_sigma"),
         pick(7, 0.2, (30 + F.floor(u(8) * 41)).cast("int")).alias("jpeg_quality"),
-        pick(9, 0.3, 0.7 + u(8) * 0.6).alias("brightness_factor"),
-        pick(9, 0.3, 0.7 + u(4) * 0.6).alias("contrast_factor"),
+        pick(9, 0.3, 0.7 + w(0) * 0.6).alias("brightness_factor"),
+        pick(9, 0.3, 0.7 + w(1) * 0.6).alias("contrast_factor"),
     )
 
 
@@ -202,31 +205,3 @@ def crop_lines(images: DataFrame, boxes: DataFrame) -> DataFrame:
 
     cuts = joined.mapInPandas(cut, "path string, line_no int, content binary")
     return cuts.withColumn("sha256", F.sha2("content", 256))
-
-
-def augment_images(images: DataFrame, plan: DataFrame, transform: Callable | None = None) -> DataFrame:
-    """Applies noise, brightness and contrast of a plan; `transform(pixels, row)` can replace it.
-
-    `images` has `sample_id` and `content`. Noise is seeded by the sample, so a retried task
-    gives the same bytes.
-    """
-    joined = images.join(plan, "sample_id")
-
-    def default(pixels: np.ndarray, row: dict) -> np.ndarray:
-        out = pixels.astype(np.float64)
-        if pd.notna(row["noise_sigma"]):
-            rng = np.random.default_rng(int(row["sample_id"][:15], 16))
-            out = out + rng.normal(0, row["noise_sigma"], out.shape)
-        if pd.notna(row["brightness_factor"]):
-            out = out * row["brightness_factor"]
-            out = out.mean() + (out - out.mean()) * row["contrast_factor"]
-        return np.clip(out, 0, 255).astype(np.uint8)
-
-    change = transform or default
-
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            done = [write_pgm(change(read_pgm(r["content"]), r)) for r in batch.to_dict("records")]
-            yield pd.DataFrame({"sample_id": batch["sample_id"], "content": done})
-
-    return joined.mapInPandas(apply, "sample_id string, content binary")

@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from folioscore import schemas
 from folioscore.functions.edits import ratio
 from folioscore.functions.text import normalize_slices
-from folioscore.operators import manifest as M, rules, subset as S
+from folioscore.operators import manifest as M, reconcile, rules, subset as S, tree_digest
 from folioscore.operators.fingerprints import inventory_digest, table_difference
 from folioscore.operators.governance import changed_inputs
 from folioscore.queries.inputs import Inputs, choose, mod
-from folioscore.queries.registry import query
+from folioscore.queries.registry import query, tree_sql
 from folioscore.session import staging_path
 from folioscore.sources import scans, sinks
 
@@ -545,6 +545,55 @@ def u4(t: Inputs) -> DataFrame:
     return table_difference(t.pairs.select(ID, "prediction"), t.baseline.select(ID, "prediction"))
 
 
+_DRIFTED = """SELECT sample_id, CASE WHEN k%197=0 THEN prediction||'?' ELSE prediction END AS prediction FROM pairs WHERE k%211<>0
+      UNION ALL SELECT sample_id, prediction FROM pairs WHERE k%223=0"""
+
+
+def _drifted(t: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Predictions, and a copy with some changed, some missing and some twice."""
+    k = F.col("k")
+    whole = t.pairs.select("k", ID, "prediction")
+    changed = whole.withColumn("prediction", F.when(mod(k, 197) == 0, F.concat("prediction", F.lit("?"))).otherwise(F.col("prediction")))
+    drifted = changed.filter(mod(k, 211) != 0).unionByName(whole.filter(mod(k, 223) == 0))
+    return whole.drop("k"), drifted.drop("k")
+
+
+@query(
+    "u4_reconciled_rows", "pairs",
+    sql=f"""SELECT sample_id, prediction, CAST(sum(s) AS BIGINT) AS surplus FROM (SELECT sample_id, prediction, 1 AS s FROM pairs
+      UNION ALL SELECT sample_id, prediction, -1 FROM ({_DRIFTED})) GROUP BY 1,2 HAVING sum(s)<>0""",
+)
+def u4_reconciled(t: Inputs) -> DataFrame:
+    """The same rows as a full comparison finds, from sketches and the rows they point at."""
+    return reconcile.differing_rows(*_drifted(t))
+
+
+@query(
+    "s25_stored_sketch", "manifest",
+    sql="""SELECT sample_id, writer_id, CAST(sum(s) AS BIGINT) AS surplus FROM (SELECT sample_id, writer_id, 1 AS s FROM manifest
+      UNION ALL SELECT sample_id, CASE WHEN sample_id LIKE '%abc' THEN 'someone else' ELSE writer_id END, -1 FROM manifest) GROUP BY 1,2 HAVING sum(s)<>0""",
+)
+def s25_sketch(t: Inputs) -> DataFrame:
+    """A frozen manifest keeps its sketch; a later one is compared with the sketch, not the rows."""
+    path = staging_path(t.spark, "frozen")
+    rows = t.manifest.select(ID, "writer_id")
+    sinks.freeze(rows, f"{path}/rows")
+    reconcile.sketch(rows).write.parquet(f"{path}/sketch")
+    frozen, kept = t.spark.read.parquet(f"{path}/rows"), t.spark.read.parquet(f"{path}/sketch")
+    other = F.when(F.col(ID).endswith("abc"), F.lit("someone else")).otherwise(F.col("writer_id"))
+    found = reconcile.differing_rows(frozen, frozen.withColumn("writer_id", other), left_sketch=kept)
+    return found.select(ID, "writer_id", "surplus")
+
+
+_INVENTORY_LINE = """'{"path":'||to_json(filename)||',"sha256":"'||source_sha256||'","size_bytes":'||k||'}'"""
+
+
+@query("s23_inventory_tree", "label_rows", sql=tree_sql(_INVENTORY_LINE, "filename", "label_rows"))
+def s23_tree(t: Inputs) -> DataFrame:
+    files = t.label_rows.select(F.col("filename").alias("path"), F.col("source_sha256").alias("sha256"), F.col("k").alias("size_bytes"))
+    return tree_digest.inventory_tree(files)
+
+
 @query(
     "s24_evaluation_document", "feat",
     sql="""SELECT 'evaluated' AS status, count(*) AS num_records, round(CAST(sum(char_edits) AS DOUBLE)/sum(ref_chars),6) AS cer,

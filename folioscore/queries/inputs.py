@@ -573,6 +573,15 @@ class Inputs:
             F.greatest(F.lit(0), F.least(F.lit(255), level)).cast("int").alias("v"),
         )
 
+    @cached_property
+    def pixel_rows(self) -> DataFrame:
+        """The same images with an array per row."""
+        level = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(127.5 + 400 * v.cast("double")))).cast("int")
+        rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.slice("embedding", y * 8 + 1, 8))
+        return self.table("embeddings").select(F.col("vec_id").alias("page_id"), F.posexplode(rows).alias("y", "r")).select(
+            "page_id", F.col("y").cast("long").alias("y"), F.transform("r", level).alias("levels")
+        )
+
     @cached_property
     def measurements(self) -> DataFrame:
         p = F.col("page_id")

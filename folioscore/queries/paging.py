@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folioscore.operators import pages as P, pixels as X, review as R
+from folioscore.operators import augmentation, pages as P, pages_index as index, pixels as X, review as R, row_images as RI
 from folioscore.plans.transcribe import page_results
 from folioscore.queries.inputs import Inputs, mod
 from folioscore.queries.registry import query
@@ -317,6 +317,37 @@ def t5(t: Inputs) -> DataFrame:
     return R.page_of_results(t.blocks.select("page_id", "reading_order"), ["page_id", "reading_order"], 3, 50)
 
 
+_KEYS = ["page_id", "reading_order"]
+
+
+def _ranked(t: Inputs) -> str:
+    path = staging_path(t.spark, "ranked")
+    index.store_ranked(t.blocks.select(*_KEYS), _KEYS, path, range_rows=120)
+    return path
+
+
+@query(
+    "t5_indexed_pages", "blocks",
+    sql="""SELECT page_id, reading_order, position FROM (SELECT page_id, reading_order, row_number() OVER (ORDER BY page_id, reading_order) AS position FROM blocks)
+      WHERE position BETWEEN 101 AND 150 OR position BETWEEN 951 AND 1050""",
+)
+def t5_indexed(t: Inputs) -> DataFrame:
+    """A page inside a range and one over two ranges."""
+    path = _ranked(t)
+    return index.page(t.spark, path, 3, 50).unionByName(index.page(t.spark, path, 20, 50)).unionByName(index.page(t.spark, path, 21, 50))
+
+
+@query(
+    "t5_keyset_page", "blocks",
+    sql="""SELECT page_id, reading_order, row_number() OVER (ORDER BY page_id, reading_order) AS place FROM (SELECT page_id, reading_order FROM blocks
+      WHERE page_id>17 OR (page_id=17 AND reading_order>1) ORDER BY page_id, reading_order LIMIT 200)""",
+)
+def t5_keyset(t: Inputs) -> DataFrame:
+    """The rows after a key, whether or not it is there."""
+    rows = index.page_after(t.spark, _ranked(t), _KEYS, (17, 1), 200)
+    return rows.select(*_KEYS, (F.col("position") - rows.agg(F.min("position")).scalar() + 1).alias("place"))
+
+
 def _mode(name: str, key: str) -> None:
     @query(
         f"t6_review_queue_{name}", "blocks",
@@ -340,7 +371,7 @@ _mode("active_learning", "(1-confidence)*length(text) DESC")
       round(CAST(count(*) FILTER (v>250) AS DOUBLE)/count(*),6) AS saturated_share, CAST(count(*) FILTER (v>250) AS DOUBLE)/count(*)>0.05 AS has_glare FROM pixels GROUP BY 1""",
 )
 def a44(t: Inputs) -> DataFrame:
-    return X.exposure(t.pixels)
+    return RI.row_exposure(t.pixel_rows)
 
 
 _PROFILE = "(SELECT page_id, y, count(*) FILTER (v<100) AS ink, min(x) FILTER (v<100) AS x_first, max(x) FILTER (v<100) AS x_last, max(x)+1 AS width FROM pixels GROUP BY 1,2)"
@@ -349,7 +380,7 @@ _PROFILE = "(SELECT page_id, y, count(*) FILTER (v<100) AS ink, min(x) FILTER (v
 @query("a45_row_profile", "pixels", sql=f"SELECT page_id, y, ink, coalesce(x_first,-1) AS x_first, coalesce(x_last,-1) AS x_last, width FROM {_PROFILE}")
 def a45(t: Inputs) -> DataFrame:
     none = F.lit(-1).cast("long")
-    profile = X.row_profile(t.pixels)
+    profile = RI.row_ink(t.pixel_rows)
     return profile.withColumns({c: F.coalesce(F.col(c), none) for c in ("x_first", "x_last")})
 
 
@@ -360,7 +391,7 @@ def a45(t: Inputs) -> DataFrame:
         SELECT *, y - row_number() OVER (PARTITION BY page_id ORDER BY y) AS g FROM (SELECT *, max(y) OVER (PARTITION BY page_id) AS b FROM {_PROFILE}) WHERE ink > width*0.01) GROUP BY 1,2) WHERE y2-y1 BETWEEN 1 AND 200""",
 )
 def w7(t: Inputs) -> DataFrame:
-    return X.text_lines(X.row_profile(t.pixels), min_height=1)
+    return RI.row_text_lines(RI.row_ink(t.pixel_rows), min_height=1)
 
 
 @query(
@@ -370,7 +401,7 @@ def w7(t: Inputs) -> DataFrame:
       FROM pixels WINDOW r AS (PARTITION BY page_id, y ORDER BY x), c AS (PARTITION BY page_id, x ORDER BY y)) GROUP BY 1""",
 )
 def w14(t: Inputs) -> DataFrame:
-    return X.blur_variance(t.pixels)
+    return RI.row_blur_variance(t.pixel_rows)
 
 
 # --- registry --------------------------------------------------------------------------------------------------------
@@ -444,8 +475,30 @@ def x6(t: Inputs) -> DataFrame:
     )
 
 
-@query("x4_augmented_images", sql="SELECT sha256(CAST(vec_id AS VARCHAR)) AS sample_id, CAST(64+length('P5 8 8 255 ') AS BIGINT) AS n_bytes FROM embeddings")
+# Draws of the plan, and levels after brightness and contrast where nothing else was drawn.
+_DRAW = "CAST(CAST('0x'||substr({},{},6) AS BIGINT) AS DOUBLE)/16777216"
+_PLAN = f"""(SELECT vec_id, sample_id, u0<=0.5 AS on_, u0<=0.5 AND u9<0.3 AS colour, u0<=0.5 AND (u1<0.3 OR u3<0.3 OR u5<0.2 OR u7<0.2) AS other,
+    0.7::DOUBLE+w0*0.6::DOUBLE AS brightness, 0.7::DOUBLE+w1*0.6::DOUBLE AS contrast FROM (SELECT vec_id, sample_id, {', '.join(f"{_DRAW.format('d', 1 + 6 * i)} AS u{i}" for i in (0, 1, 3, 5, 7, 9))},
+      {', '.join(f"{_DRAW.format('e', 1 + 6 * i)} AS w{i}" for i in (0, 1))}
+    FROM (SELECT vec_id, sample_id, sha256('augment'||chr(0)||'42'||chr(0)||sample_id) AS d, sha256('augment-colour'||chr(0)||'42'||chr(0)||sample_id) AS e
+      FROM (SELECT vec_id, sha256(CAST(vec_id AS VARCHAR)) AS sample_id FROM embeddings))))"""
+
+
+@query(
+    "x4_augmented_images", "pixels",
+    sql=f"""SELECT sample_id, CAST(64+length('P5 8 8 255 ') AS BIGINT) AS n_bytes, CASE WHEN NOT other THEN ink END AS ink FROM
+      (SELECT sample_id, other, CAST(sum(CASE WHEN colour THEN greatest(0,least(255,round_even(m+(b-m)*contrast,0))) ELSE v END) AS BIGINT) AS ink FROM
+        (SELECT *, avg(b) OVER (PARTITION BY vec_id) AS m FROM
+          (SELECT l.*, v, greatest(0.0,least(255.0,round_even(v*brightness,0))) AS b FROM {_PLAN} l JOIN pixels ON page_id=vec_id)) GROUP BY 1,2)""",
+)
 def x4(t: Inputs) -> DataFrame:
+    """All changes of the plan; the oracle follows the levels of images without blur, rotation,
+    noise and compression, which the tests compare with plain loops."""
     images = _images(t)
-    changed = X.augment_images(images.select("sample_id", "content"), X.augmentation_plan(images))
-    return changed.select("sample_id", F.length("content").cast("long").alias("n_bytes"))
+    plan = X.augmentation_plan(images)
+    changed = augmentation.augment(images, plan).join(plan, "sample_id")
+    cells = F.substring(F.hex("content"), 2 * 11 + 1, 128)
+    values = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(cells, 2 * i + 1, 2), 16, 10).cast("long"))
+    other = F.coalesce("blur_radius", "rotation_degrees", "noise_sigma", F.col("jpeg_quality").cast("double"))
+    ink = F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
+    return changed.select("sample_id", F.length("content").cast("long").alias("n_bytes"), F.when(other.isNull(), ink).alias("ink"))

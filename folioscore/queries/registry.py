@@ -36,3 +36,12 @@ def query(name: str, *needs: str, sql: str | None = None):
         return fn
 
     return register
+
+
+def tree_sql(line: str, key: str, table: str, fanout: int = 256) -> str:
+    """n_rows and root of a hash tree over the lines of a table in the order of a key."""
+    return f"""SELECT * FROM (WITH RECURSIVE n(level, place, h) AS (
+        SELECT 0::BIGINT, row_number() OVER (ORDER BY {key}, d)-1, d FROM (SELECT {key}, sha256({line}) AS d FROM {table})
+        UNION ALL SELECT level+1, place//{fanout}, sha256(string_agg(h, '' ORDER BY place))
+          FROM (SELECT *, count(*) OVER () AS c FROM n) WHERE c>1 GROUP BY level, place//{fanout})
+      SELECT (SELECT count(*) FROM {table}) AS n_rows, h AS root FROM n ORDER BY level DESC LIMIT 1)"""

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from folioscore.functions import digests, edits, text
-from folioscore.operators import fingerprints, gate, metrics, rules
+from folioscore.operators import fingerprints, gate, metrics, rules, tree_digest
 from folioscore.plans import evaluate
 from folioscore.queries.inputs import Inputs, mod
-from folioscore.queries.registry import query
+from folioscore.queries.registry import query, tree_sql
 from folioscore.session import staged
 
 ID = "sample_id"
@@ -493,6 +493,23 @@ def a19(t: Inputs) -> DataFrame:
     return fingerprints.evaluation_set_fingerprint(t.pairs)
 
 
+@query("a19_tree_digest", "pairs", sql=tree_sql(_LINE, "sample_id", "pairs"))
+def a19_tree(t: Inputs) -> DataFrame:
+    """The digest that depends on the order of the rows and is still shared by all tasks."""
+    return tree_digest.evaluation_set_tree(t.pairs)
+
+
+@query(
+    "a19_changed_places", "pairs",
+    sql="SELECT place FROM (SELECT k, row_number() OVER (ORDER BY sample_id)-1 AS place FROM pairs) WHERE k%97=0",
+)
+def a19_changed(t: Inputs) -> DataFrame:
+    """Places of changed rows, found by going down two trees."""
+    altered = F.when(F.pmod("k", F.lit(97)) == 0, F.concat("reference", F.lit("."))).otherwise(F.col("reference"))
+    sides = [tree_digest.tree_levels(rows, ["sample_id"], fingerprints.evaluation_line())[0] for rows in (t.pairs, t.pairs.withColumn("reference", altered))]
+    return tree_digest.changed_places(*sides)
+
+
 @query(
     "w16_risk_coverage", "feat",
     sql="""SELECT round(confidence,6) AS confidence, CAST(sum(n) OVER w AS BIGINT) AS accepted_samples,

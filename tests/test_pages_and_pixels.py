@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscore.operators import pages as P, pixels as X, review as R
+from folioscore.operators import augmentation as A, pages as P, pixels as X, review as R, row_images as RI
 
 
 def pixel_table(spark, images):
@@ -45,7 +45,7 @@ def test_crops_and_augmentation_are_stable(spark):
     assert got == {1: X.write_pgm(page[:3]), 2: X.write_pgm(page[3:, 2:6])}
     images = spark.range(20).select(F.sha2(F.col("id").cast("string"), 256).alias("sample_id")).crossJoin(files.select("content"))
     plan = X.augmentation_plan(images)
-    once, twice = ({r[0]: bytes(r[1]) for r in X.augment_images(images, plan).collect()} for _ in range(2))
+    once, twice = ({r[0]: bytes(r[1]) for r in A.augment(images, plan).collect()} for _ in range(2))
     assert once == twice and len(set(once.values())) > 1
 
 
