@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from folioscore import vocab
 from folioscore.functions.digests import canonical_sha256
 from folioscore.functions.text import utc_timestamp
+from folioscore.operators import rule_table as R
 from folioscore.operators.onerow import beside
 from folioscore.operators.rules import (
     Rule, is_role, is_sha256, keys_match, optional_number, validate,
@@ -481,3 +482,54 @@ def attestation_rows(authorizations: DataFrame, executed_at: Column) -> DataFram
         **{n: F.lit(v) for n, v in ATTESTATION_FLAGS.items()},
     }
     return parsed.select("pilot_id", *[(values[n] if n in values else auth[n]).alias(n) for n in ATTESTATION_FIELDS])
+
+
+# --- the contract's rules as rows ------------------------------------------------------------------
+
+
+def contract_rule_rows() -> list[R.Row]:
+    """The rules of `contract_rules` for a rule table (`rule_table.check_documents`)."""
+    def flags(prefix: str, value: bool, *names: str) -> list[R.Row]:
+        return [R.Row(f"{prefix}.{n}", str(value).lower()) for n in names]
+
+    def texts(prefix: str, **values: str) -> list[R.Row]:
+        return [R.Row(f"{prefix}{n}", "text", v) for n, v in values.items()]
+
+    role = rf"^(?!(?:{"|".join(vocab.PLACEHOLDER_ROLES)})\z){vocab.ROLE[1:]}"
+    ratios = ["gold.validation_writer_ratio", "gold.test_writer_ratio"]
+    return [
+        R.Row("schema_version", "number", low=1), R.Row("pilot_id", "pattern", vocab.PILOT_ID),
+        *texts("", data_stage="normalized_line_gold_candidate", jurisdiction="AU-VIC"),
+        *texts("approval.", privacy_review_status="approved", educator_approval_status="approved"),
+        R.Row("approval.privacy_review_reference", "pattern", vocab.REFERENCE_ID),
+        R.Row("approval.educator_approval_reference", "pattern", vocab.REFERENCE_ID),
+        R.Row("approval.accountable_owner_role", "pattern", role),
+        *texts("approval.consent.", status="active", collection_purpose="handwriting_ocr_shadow_evaluation"),
+        R.Row("approval.consent.authority", "one_of", options=["participant", "parent_guardian", "participant_and_parent_guardian"]),
+        *flags("approval.consent", True, "capacity_assessment_complete", "evaluation_allowed", "withdrawal_process_documented",
+               "consent_records_separate_from_dataset"),
+        *flags("approval.consent", False, "publication_allowed", "training_allowed"),
+        R.Row("approval.consent.verified_at", "past"),
+        *flags("privacy", True, "direct_identifiers_removed", "visual_identifier_review_complete", "image_metadata_removed"),
+        *texts("privacy.", filename_policy="opaque_sample_id", writer_id_policy="opaque_pseudonym"),
+        R.Row("privacy.allowed_demographics", "json", '["age_band"]'),
+        *flags("privacy", False, "public_repository_allowed", "github_actions_allowed", "third_party_ai_upload_allowed",
+               "automated_education_decisions_allowed"),
+        *texts("storage.", location_class="approved_private", access_control="named_least_privilege", cross_border_disclosure="none",
+               deletion_method="verified_secure_deletion_or_deidentification"),
+        *flags("storage", True, "encryption_at_rest", "encryption_in_transit", "audit_logging", "backup_copies_in_retention_scope"),
+        *[R.Row(f"storage.{n}", "whole", low=1, high=limit) for n, limit in RETENTION_LIMITS.items()],
+        R.Row("storage.deletion_verification_owner_role", "pattern", role),
+        *texts("annotation.", review_filename="annotation_review.csv", guideline_version=ANNOTATION_GUIDELINE),
+        R.Row("annotation.independent_annotators_per_sample", "number", low=2),
+        *flags("annotation", True, "blind_first_passes", "adjudication_required_on_disagreement", "adjudicator_must_be_independent",
+               "crop_boundary_review_required"),
+        *flags("annotation", False, "model_preannotations_allowed"),
+        R.Row("gold.minimum_distinct_writers", "whole", low=3, high=float(2**53)),
+        R.Row("gold.evaluation_set_version", "pattern", vocab.EVALUATION_SET_VERSION),
+        R.Row("gold.split_seed", "whole", low=0, high=2**32 - 1), R.Row("gold.minimum_samples_per_writer", "whole", low=1, high=1000),
+        *[R.Row(r, "inside", low=0, high=1, code="gold.writer_ratios") for r in ratios],
+        R.Row("gold.writer_ratios", "sum", low=1, options=ratios),
+        *flags("gold", True, "writer_isolation_required", "split_locked_before_model_selection"),
+        *flags("gold", False, "test_set_training_access_allowed", "gold_ready"),
+    ]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscore import vocab
 from folioscore.functions.text import utc_timestamp
-from folioscore.operators import governance as G, ledger as L
+from folioscore.operators import governance as G, ledger as L, rule_table
 from folioscore.operators.rules import keys_match
 from folioscore.queries.inputs import Inputs, mod
 from folioscore.queries.registry import query
@@ -265,6 +265,61 @@ def p13(t: Inputs) -> DataFrame:
     return G.check_contracts(_contracts(t)).select("pilot_id", "errors")
 
 
+def _own_contracts(t: Inputs) -> DataFrame:
+    """Contracts whose terms come from all columns of a customer; some have keys of their own."""
+    cents = F.round(F.col("c_acctbal") * 100).cast("long")
+    name, nation = F.col("c_mktsegment"), F.col("c_nationkey")
+    share = (1 + mod(cents, 9)).cast("double") / 10
+    own = {
+        "approval": dict(
+            accountable_owner_role=F.when(mod(nation, 5) == 0, name).otherwise(F.lower(name)),
+            consent=dict(
+                status=F.when(cents < 0, "withdrawn").otherwise("active"), publication_allowed=mod(cents, 13) == 0,
+                verified_at=F.when(mod(nation, 7) == 0, "2024-01-01 00:00:00").otherwise("2024-01-01T00:00:00Z"),
+            ),
+        ),
+        "storage": dict(raw_source_retention_days=nation + 8),
+        "gold": dict(
+            split_seed=cents, validation_writer_ratio=share, test_writer_ratio=F.when(mod(cents, 11) == 0, share).otherwise(1 - share),
+            gold_ready=F.when(mod(cents, 17) == 0, "false").otherwise(None),
+        ),
+    }
+    base = F.from_json(_contract(), G.CONTRACT_SCHEMA)
+    fields = {f: base[f] for f in ("schema_version", "pilot_id", "data_stage", "jurisdiction", "approval", "privacy", "storage", "annotation", "gold")}
+    consent = fields["approval"]["consent"]
+    for key, value in own["approval"]["consent"].items():
+        consent = consent.withField(key, value)
+    fields["approval"] = fields["approval"].withField("accountable_owner_role", own["approval"]["accountable_owner_role"]).withField("consent", consent)
+    fields["storage"] = fields["storage"].withField("raw_source_retention_days", own["storage"]["raw_source_retention_days"]).withField(
+        "note", F.struct(F.when(name == "MACHINERY", F.col("c_name")).alias("from"))
+    )
+    for key, value in own["gold"].items():
+        if key != "gold_ready":
+            fields["gold"] = fields["gold"].withField(key, value)
+    # Text instead of a truth value.
+    fields["gold"] = F.when(mod(cents, 17) == 0, F.to_json(fields["gold"].withField("gold_ready", F.lit("false")))).otherwise(F.to_json(fields["gold"]))
+    rest = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items() if n != "gold"], F.when(name == "BUILDING", F.col("c_name")).alias("remark")))
+    document = F.concat(F.substring(rest, 1, F.length(rest) - 1), F.lit(',"gold":'), fields["gold"], F.lit("}"))
+    return t.table("customer").select(
+        "*", F.lit(0).alias("d"), F.format_string("pilot-customer-%d", "c_custkey").alias("pilot_id")
+    ).select("pilot_id", F.when(mod(cents, 101) == 0, F.lit("[1]")).otherwise(document).alias("document"))
+
+
+@query(
+    "p13_rule_table",
+    sql="""SELECT pilot_id, CASE WHEN cents%101=0 THEN 'document' ELSE concat_ws('|', CASE WHEN c_nationkey%5=0 THEN 'approval.accountable_owner_role' END,
+        CASE WHEN cents%13=0 THEN 'approval.consent.publication_allowed' END, CASE WHEN cents<0 THEN 'approval.consent.status' END,
+        CASE WHEN c_nationkey%7=0 THEN 'approval.consent.verified_at' END, CASE WHEN cents%17=0 THEN 'gold.gold_ready' END,
+        CASE WHEN cents<0 THEN 'gold.split_seed' END, CASE WHEN cents%11=0 AND abs(2*share-1)>1e-9 THEN 'gold.writer_ratios' END,
+        CASE WHEN c_nationkey+8>30 THEN 'storage.raw_source_retention_days' END) END AS errors,
+      CASE WHEN cents%101=0 THEN '' ELSE concat_ws('|', CASE WHEN c_mktsegment='BUILDING' THEN 'remark' END, 'storage.note') END AS unknown
+      FROM (SELECT *, 'pilot-customer-'||c_custkey AS pilot_id, CAST(1+((cents%9)+9)%9 AS DOUBLE)/10 AS share FROM (SELECT *, CAST(round(c_acctbal*100) AS BIGINT) AS cents FROM customer))""",
+)
+def p13_table(t: Inputs) -> DataFrame:
+    """The same rules as rows, over documents whose values come from every column."""
+    return rule_table.check_documents(_own_contracts(t), rule_table.rule_frame(t.spark, G.contract_rule_rows()))
+
+
 def _controls(t: Inputs) -> DataFrame:
     document = _json(
         **_consts(schema_version=1),
