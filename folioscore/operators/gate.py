@@ -58,18 +58,27 @@ def release_gate(
     `p95_latency_ms`, `cost_per_page_usd` and `valid_output_rate`; `sets_match` is one row
     with `passed`. All of them are aggregates of a few rows.
     """
-    limits = {**vocab.RELEASE_GATE, **(thresholds or {})}
     both = compare_slices(candidate_slices, baseline_slices)
+    measured = operations.select("p95_latency_ms", "cost_per_page_usd", "valid_output_rate")
+    row = beside(both.agg(*slice_checks()), measured, sets_match.select(F.col("passed").alias("sets_match")))
+    return gate_checks(row, thresholds)
+
+
+def slice_checks() -> list[Column]:
+    """What the gate needs of the slices of both sides, as aggregates over `compare_slices`."""
     tags = F.col("slice") != ALL
-    overall = both.agg(
+    return [
         F.max(F.when(~tags, F.col("baseline_cer") - F.col("candidate_cer"))).alias("improvement"),
         F.coalesce(F.max(F.when(tags, F.col("regression"))), F.lit(0.0)).alias("regression"),
         F.count_if(tags & F.col("baseline_cer").isNotNull()).alias("required"),
         F.count_if(tags & F.col("candidate_cer").isNull()).alias("missing"),
         F.max(F.when(~tags, F.col("false_confidence_rate"))).alias("false_confidence_rate"),
-    )
-    measured = operations.select("p95_latency_ms", "cost_per_page_usd", "valid_output_rate")
-    row = beside(overall, measured, sets_match.select(F.col("passed").alias("sets_match")))
+    ]
+
+
+def gate_checks(row: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
+    """The seven checks of one row with `slice_checks`, the operations and `sets_match`."""
+    limits = {**vocab.RELEASE_GATE, **(thresholds or {})}
 
     def check(name: str, actual: Column, expected: str, passed: Column) -> Column:
         return F.struct(

@@ -168,12 +168,13 @@ def _value_bucket(value: Column) -> Column:
 
 
 def exact_percentiles(
-    df: DataFrame, value: str, percentages: dict[str, float], *by: str
+    df: DataFrame, value: str, percentages: dict[str, float], *by: str, mean: str | None = None
 ) -> DataFrame:
     """Exact linearly interpolated percentiles without one task holding a group.
 
     Equal values are counted first. Bucket totals then locate the ranks that are wanted, and
-    only the buckets that hold one of them are sorted.
+    only the buckets that hold one of them are sorted. `mean` names a column for the mean, which
+    the counts give as well.
     """
     keys = list(by)
     # A bucket that can never be null spares an inferred filter, so both uses share one shuffle.
@@ -184,9 +185,10 @@ def exact_percentiles(
         .withColumn("_b", F.coalesce(_value_bucket(F.col("_v")), F.lit(0)))
     )
     one = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    buckets = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
+    buckets = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"), F.sum(F.col("_v") * F.col("_n")).alias("_bs"))
     buckets = buckets.withColumns(
         {
+            "_sum": F.sum("_bs").over(one),
             "_before": F.coalesce(
                 F.sum("_bn").over(one.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)),
                 F.lit(0),
@@ -206,7 +208,8 @@ def exact_percentiles(
         wanted, lambda w: (F.ceil(w["at"]) >= F.col("_before")) & (F.floor(w["at"]) < end)
     )
     targets = buckets.withColumn("_w", inside).filter(F.size("_w") > 0).select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_k_b"), "_before", "_w"
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_k_b"), "_before", "_w",
+        (F.col("_sum") / F.col("_total")).alias("_mean"),
     )
     match = F.col("_b") == F.col("_k_b")
     for k in keys:
@@ -214,41 +217,37 @@ def exact_percentiles(
     kept = counts.join(targets, match)
     local = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
     kept = kept.withColumn("_end", F.sum("_n").over(local) + F.col("_before"))
-    hit = kept.select(*keys, "_v", "_n", "_end", F.explode("_w").alias("w"))
+    hit = kept.select(*keys, "_v", "_n", "_end", "_mean", F.explode("_w").alias("w"))
     start = F.col("_end") - F.col("_n")
 
     def value_at(rank: Column) -> Column:
         return F.max(F.when((rank >= start) & (rank < F.col("_end")), F.col("_v")))
 
     per_name = hit.groupBy(*keys, F.col("w.name").alias("_name"), F.col("w.at").alias("_at")).agg(
-        value_at(F.floor("w.at")).alias("_lo"), value_at(F.ceil("w.at")).alias("_hi")
+        value_at(F.floor("w.at")).alias("_lo"), value_at(F.ceil("w.at")).alias("_hi"), F.max("_mean").alias("_mean"),
     )
     share = F.col("_at") - F.floor("_at")
     per_name = per_name.withColumn("_p", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share)
     return per_name.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == n, F.col("_p"))).alias(n) for n in percentages]
+        *[F.max(F.when(F.col("_name") == n, F.col("_p"))).alias(n) for n in percentages],
+        *([F.max("_mean").alias(mean)] if mean else []),
     )
 
 
 def latency_summary(df: DataFrame, *by: str) -> DataFrame:
-    """p50, p95 and samples per minute (null when the mean latency is 0)."""
-    keys = list(by)
-    mean = df.groupBy(*keys).agg(
-        ratio(F.lit(60000.0), F.avg("latency_ms")).alias("samples_per_minute")
-    )
-    percentiles = exact_percentiles(
-        df, "latency_ms", {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95}, *keys
+    """p50, p95 and samples per minute (null when the mean latency is 0), from one pass; a group
+    without any latency has no row."""
+    found = exact_percentiles(
+        df, "latency_ms", {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95}, *by, mean="_latency"
     )
-    if keys:
-        return percentiles.join(mean, keys)
-    return beside(percentiles, mean)
+    return found.withColumn("samples_per_minute", ratio(F.lit(60000.0), F.col("_latency"))).drop("_latency")
 
 
 # --- the full bundle -----------------------------------------------------------------------------
 
 
-def _partial_sums(df: DataFrame, keys: Sequence[Column | str]) -> DataFrame:
-    """Everything the bundle needs, per key and confidence bin."""
+def _partial_sums(df: DataFrame, keys: Sequence[Column | str], more: Sequence[Column] = ()) -> DataFrame:
+    """Everything the bundle needs, and `more` sums, per key and confidence bin."""
     rows = with_row_features(df).withColumn("_bin", confidence_bin(F.col("confidence")))
     confidence = F.col("confidence")
     high, held, ok = confidence >= HIGH_CONFIDENCE, confidence < ABSTAIN_BELOW, F.col("exact")
@@ -266,10 +265,11 @@ def _partial_sums(df: DataFrame, keys: Sequence[Column | str]) -> DataFrame:
         F.count_if(high & ~ok).alias("high_wrong"),
         F.count_if(held).alias("held"),
         F.count_if(held & ~ok).alias("held_wrong"),
+        *more,
     )
 
 
-def _bundle(parts: DataFrame, *by: str) -> DataFrame:
+def _bundle(parts: DataFrame, *by: str, more: Sequence[str] = ()) -> DataFrame:
     """Combine partial sums; confidence metrics are null when no confidence exists."""
     per_bin = parts.groupBy(*by, "_bin").agg(
         *[F.sum(c).alias(c) for c in parts.columns if c not in {*by, "_bin"}]
@@ -295,6 +295,7 @@ def _bundle(parts: DataFrame, *by: str) -> DataFrame:
             "unnecessary_abstentions"
         ),
         confident(ratio(F.sum("conf"), F.sum("n"))).alias("mean_confidence"),
+        *[F.sum(name).alias(name) for name in more],
     )
 
 
@@ -303,17 +304,21 @@ def full_metrics(df: DataFrame) -> DataFrame:
     return _bundle(_partial_sums(df, []))
 
 
-def slice_metrics(df: DataFrame, slices: str = "slices", overall: str = ALL) -> DataFrame:
+def slice_metrics(
+    df: DataFrame, slices: str = "slices", overall: str = ALL, more: dict[str, Column] | None = None
+) -> DataFrame:
     """The bundle over all rows and per tag of a multi-valued slice column.
 
     Rows are summed per distinct tag set and bin first; only those sums are exploded, so a
-    row with many tags is never copied, and a popular tag never concentrates rows.
+    row with many tags is never copied, and a popular tag never concentrates rows. `more` names
+    further aggregates that add up, such as sums and counts.
     """
+    more = more or {}
     tagged = df.withColumn("_tags", normalize_slices(F.col(slices)))
-    parts = _partial_sums(tagged, ["_tags"])
+    parts = _partial_sums(tagged, ["_tags"], [c.alias(n) for n, c in more.items()])
     tags = F.concat(F.array(F.lit(overall)), F.col("_tags"))
     exploded = parts.withColumn("slice", F.explode(tags)).drop("_tags")
-    return _bundle(exploded, "slice")
+    return _bundle(exploded, "slice", more=list(more))
 
 
 # --- selective risk --------------------------------------------------------------------------------

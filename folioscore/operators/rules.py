@@ -21,10 +21,15 @@ class Rule:
     holds: Column
 
 
-def validate(df: DataFrame, rules: Sequence[Rule], errors: str = "errors") -> DataFrame:
-    """Adds the sorted codes of the broken rules; a null predicate counts as broken."""
+def broken_rules(rules: Sequence[Rule]) -> Column:
+    """The sorted codes of the broken rules; a null predicate counts as broken."""
     broken = [F.when(~F.coalesce(r.holds, F.lit(False)), F.lit(r.code)) for r in rules]
-    return df.withColumn(errors, F.array_sort(F.array_compact(F.array(*broken))))
+    return F.array_sort(F.array_compact(F.array(*broken)))
+
+
+def validate(df: DataFrame, rules: Sequence[Rule], errors: str = "errors") -> DataFrame:
+    """Adds the sorted codes of the broken rules."""
+    return df.withColumn(errors, broken_rules(rules))
 
 
 def valid_rows(checked: DataFrame, errors: str = "errors") -> DataFrame:

@@ -193,9 +193,9 @@ _sql(
     "corpus",
     r"""SELECT sample_id, split_part(sample_id,'-',1) AS writer_id, reference, contains(reference,'#') AS marked,
       trim(regexp_replace(replace(reference,'#',''),'\s+',' ','g')) AS normalized_reference, threshold
-    FROM (SELECT regexp_extract(value,'^([0-9]{4}-[0-9]{3}),([0-9]+)\s+(.*)$',1) AS sample_id,
-      TRY_CAST(regexp_extract(value,'^([0-9]{4}-[0-9]{3}),([0-9]+)\s+(.*)$',2) AS INT) AS threshold,
-      regexp_extract(value,'^([0-9]{4}-[0-9]{3}),([0-9]+)\s+(.*)$',3) AS reference FROM corpus_lines)""",
+    FROM (SELECT regexp_extract(value,'^([0-9]{4,}-[0-9]{3}),([0-9]+)\s+(.*)$',1) AS sample_id,
+      TRY_CAST(regexp_extract(value,'^([0-9]{4,}-[0-9]{3}),([0-9]+)\s+(.*)$',2) AS INT) AS threshold,
+      regexp_extract(value,'^([0-9]{4,}-[0-9]{3}),([0-9]+)\s+(.*)$',3) AS reference FROM corpus_lines)""",
     "corpus_lines",
 )
 _sql(
@@ -547,7 +547,8 @@ class Inputs:
     def corpus(self) -> DataFrame:
         from folioscore.sources.scans import corpus_index
 
-        return corpus_index(self.corpus_lines)
+        # Writers count on beyond four digits, so that every document has an id.
+        return corpus_index(self.corpus_lines, vocab.CORPUS_INDEX_LINE.replace("{4}", "{4,}"))
 
     @cached_property
     def blocks(self) -> DataFrame:
