@@ -8,6 +8,7 @@ from folioscore.operators import annotation, diagnostics as D, inference, review
 from folioscore.operators.ordering import global_position
 from folioscore.queries.inputs import Inputs, mod
 from folioscore.queries.registry import query
+from folioscore.sources.buckets import store_by_key
 
 ID = "sample_id"
 MANIFEST_SHA = "a" * 64
@@ -397,6 +398,33 @@ def j3(t: Inputs) -> DataFrame:
     return inference.partial_mismatches(_completed(t), t.pairs)
 
 
+# The same joins over tables stored by sample id, which then move no rows.
+
+
+def _by_id(df: DataFrame, name: str, *more: str) -> DataFrame:
+    return store_by_key(df, [ID, *more], name, buckets=8)
+
+
+@query("j1_bucketed_gold", "pairs", sql="SELECT sample_id, reference, prediction, array_to_string(slices,'|') AS slices FROM pairs")
+def j1_bucketed(t: Inputs) -> DataFrame:
+    rows, gold = _by_id(inference.reference_free_rows(t.pairs), "predictions", "source_sha256"), _by_id(t.pairs, "gold", "source_sha256")
+    return inference.join_gold(rows, gold).select(ID, "reference", "prediction", "slices")
+
+
+@query("j2_bucketed_remaining", "pairs", sql="SELECT sample_id FROM pairs WHERE k%30=1")
+def j2_bucketed(t: Inputs) -> DataFrame:
+    return inference.remaining(_by_id(t.pairs.select(ID, "source_sha256"), "selected"), _by_id(_completed(t), "completed")).select(ID)
+
+
+@query(
+    "j3_bucketed_identity", "pairs",
+    sql="SELECT CASE WHEN k%30=1 THEN 'x' ELSE '' END||sample_id AS sample_id, CASE WHEN k%30=1 THEN 'unknown_sample' ELSE 'identity_mismatch' END AS problem FROM pairs WHERE k%30 IN (1,2)",
+)
+def j3_bucketed(t: Inputs) -> DataFrame:
+    manifest = _by_id(t.pairs.select(ID, "source_sha256", "reference"), "manifest")
+    return inference.partial_mismatches(_by_id(_completed(t), "partial"), manifest)
+
+
 @query(
     "j21_reusable_runs", "pairs",
     sql="""SELECT doc_id, split, n AS num_records, doc_id%4=0 AS reusable FROM (SELECT doc_id, split, count(*) AS n FROM pairs GROUP BY 1,2)""",

@@ -236,9 +236,19 @@ def st4(t: Inputs) -> DataFrame:
     return work.live_queue(stream, kept, 500, staging_path(t.spark, "queue-checkpoint")).select("item_id", "priority_score")
 
 
+def _event_slices(t: Inputs) -> DataFrame:
+    """Events with the micro-batch they arrive in: ten days each."""
+    events = t.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    day = F.datediff("ts", F.lit("2024-01-01"))
+    return events.withColumn("slice", F.least(F.floor(day / 10), F.lit(SLICES - 1)).cast("int"))
+
+
 def _event_stream(t: Inputs) -> DataFrame:
-    schema = t.table("events").schema
-    return as_requests(tables.read_files(t.spark, schema, t.folder, name="events.parquet"))
+    """Requests in three micro-batches; the last one brings some of the first five days again, weeks
+    too late to count."""
+    rows = _event_slices(t)
+    late = rows.filter((F.datediff("ts", F.lit("2024-01-01")) < 5) & (mod(F.col("event_id"), 97) == 0)).withColumn("slice", F.lit(SLICES - 1))
+    return as_requests(_sliced(rows.unionByName(late), "events"))
 
 
 def _with_start(rows: DataFrame) -> DataFrame:
@@ -334,14 +344,12 @@ def st7_jobs(t: Inputs) -> DataFrame:
     sql="SELECT event_type AS category, count(*) AS n FROM events GROUP BY 1",
 )
 def st8(t: Inputs) -> DataFrame:
-    """Every event arrives twice as a correction and counts once."""
-    schema = t.table("events").schema
-    once = tables.read_files(t.spark, schema, t.folder, name="events.parquet").select(
-        F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("string").alias("item_id"),
-        F.col("event_type").alias("failure_category"),
+    """Every event arrives twice as a correction, the second time a micro-batch later, and counts once."""
+    rows = _event_slices(t).select(
+        "ts", F.col("event_id").cast("string").alias("item_id"), F.col("event_type").alias("failure_category"), "slice"
     )
-    twice = once.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    return work.correction_counts(twice, staging_path(t.spark, "corrections"))
+    again = rows.withColumn("slice", F.least(F.col("slice") + 1, F.lit(SLICES - 1)))
+    return work.correction_counts(_sliced(rows.unionByName(again), "corrections"), staging_path(t.spark, "corrections"))
 
 
 @query(
