@@ -24,11 +24,11 @@ def severity(cer: Column) -> Column:
     return F.when(cer >= 0.25, SEVERE).when(cer >= 0.1, MODERATE).otherwise(MINOR)
 
 
-def failure_records(
+def with_failure_categories(
     records: DataFrame, high_confidence: float = 0.9, marker_slice: str = "publisher_hash_marker"
 ) -> DataFrame:
-    """Rows that are not an exact match, each with its sorted failure categories."""
-    rows = with_char_features(records).filter(~F.col("exact"))
+    """Records with `exact`, `line_cer` and the sorted failure categories that a failure would have."""
+    rows = with_char_features(records)
     rows = rows.withColumn("line_cer", row_cer(F.col("char_edits"), F.col("ref_chars")))
     categories = F.array(
         severity(F.col("line_cer")),
@@ -37,7 +37,15 @@ def failure_records(
         F.when(F.col("is_uncertain"), UNCERTAIN),
         F.when(F.col("is_unreadable"), UNREADABLE),
     )
-    return rows.withColumn("categories", F.array_sort(F.array_compact(categories))).select(
+    return rows.withColumn("categories", F.array_sort(F.array_compact(categories)))
+
+
+def failure_records(
+    records: DataFrame, high_confidence: float = 0.9, marker_slice: str = "publisher_hash_marker"
+) -> DataFrame:
+    """Rows that are not an exact match, each with its sorted failure categories."""
+    rows = with_failure_categories(records, high_confidence, marker_slice).filter(~F.col("exact"))
+    return rows.select(
         "sample_id", "source_sha256", "split", "reference", "prediction", "confidence",
         "line_cer", "categories", "slices", "is_uncertain", "is_unreadable",
     )
@@ -274,6 +282,14 @@ def queue_source(validation: DataFrame, failures: DataFrame) -> DataFrame:
     return joined.withColumn("priority", F.coalesce("priority", F.lit(-1.0)))
 
 
+def queue_source_of(records: DataFrame, high_confidence: float = 0.9) -> DataFrame:
+    """`queue_source` of records whose failures are their own: no join, one pass."""
+    rows = with_failure_categories(records.filter(F.col("split") == "validation"), high_confidence)
+    return rows.select(
+        "sample_id", "source_sha256", F.when(F.col("exact"), F.lit(-1.0)).otherwise(labelling_priority()).alias("priority")
+    )
+
+
 def blind_queue(
     source: DataFrame,
     manifest_sha256: Column,

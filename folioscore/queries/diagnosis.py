@@ -206,7 +206,7 @@ def u6(t: Inputs) -> DataFrame:
 
 
 def _source(t: Inputs) -> DataFrame:
-    return D.queue_source(t.validation, _failures(t))
+    return D.queue_source_of(t.pairs)
 
 
 @query("j12_queue_source", "prioritised", sql="SELECT sample_id, source_sha256, round(priority,6) AS priority FROM prioritised")
