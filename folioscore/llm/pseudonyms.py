@@ -3,11 +3,11 @@
 Values are found by pattern and kept only if they are valid (check digits, ranges, calendar).
 Each valid value is a number in the finite set of its format, and a Feistel network with a keyed
 round function permutes that set; numbers that leave the set are permuted again until they are
-back inside. So a pseudonym has the same length, separators, letter case and check digits, and
-equal values get equal pseudonyms in all documents: they stay linked, with no table of values.
+back inside. So a pseudonym has the same separators, letter case and check digits, and the same
+length but for the numbers of IPv4 addresses and the names of months, and equal values get equal pseudonyms in all documents: they stay linked, with no table of values.
 
-Kinds: payment cards (Luhn), IBANs (mod 97), social security numbers, telephone numbers, IPv4
-addresses, calendar dates (1900 to 2099, in digits or with an English month name), e-mail addresses,
+Kinds: payment cards (Luhn), IBANs (mod 97), social security numbers, telephone numbers, IPv4 and
+IPv6 addresses, calendar dates (1900 to 2099, in digits or with an English month name), e-mail addresses,
 access keys and secret strings.
 
 Cards and IBANs may stand next to other digits or capitals: every admissible stretch between group
@@ -25,14 +25,18 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 import uuid
+from bisect import bisect
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 SPAN = "array<struct<kind:string,start:int,end:int,new_end:int>>"
 ROUNDS = 10
+STRETCH = 256
 DIGITS, LOWER, UPPER, HEX, HEX_UPPER = (
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef", "0123456789ABCDEF",
 )
@@ -48,13 +52,14 @@ IBAN_LENGTHS = {country: n for n, countries in {
 }.items() for country in countries.split()}
 
 PATTERNS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9_.+-]*[A-Za-z0-9_+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![\w.+%'-])[\w.+%'-]*+(?<=[\w+%-])@[\w-]+(?:\.[\w-]+)+",
     "card": r"(?<![\d.])\d(?:[ -]?\d){12,}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?=((?: ?[A-Z0-9]){11,30}))",
     "phone": r"(?<![\d.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d])|(?<![\d+])\+\d(?:[ .()-]{0,2}\d){7,14}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d])(?!\.\d)",
-    "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d/-])",
+    "ip6": r"(?<![\w:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:)[0-9A-Fa-f:]{6,39}(?![\w:.])",
+    "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d/-])",
     "written": rf"(?i)(?<![\d./-])(?P<d>\d{{1,2}})(?:st|nd|rd|th)?\.?(?: of)?[ -](?P<m>{MONTH})\b\.?,?[ -](?P<y>\d{{4}})(?!\d)"
                rf"|\b(?P<m2>{MONTH})\b\.? (?P<d2>\d{{1,2}})(?:st|nd|rd|th)?,? (?P<y2>\d{{4}})(?!\d)",
     "key": r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9_])(?:gh[pousr]_|sk-|xox[abp]-)[A-Za-z0-9-]{16,}",
@@ -62,7 +67,7 @@ PATTERNS = {
     "named": r"(?i)\b(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key)\b[^\w\n]{1,8}([A-Za-z0-9+/_-]{16,})",
 }
 FOUND = {kind: re.compile(p) for kind, p in PATTERNS.items()}
-NUMERIC = ("card", "iban", "phone", "ssn", "ip", "date", "written")
+NUMERIC = ("card", "iban", "phone", "ssn", "ip", "ip6", "date", "written")
 DIGIT = re.compile(r"\d")
 
 
@@ -83,7 +88,12 @@ def permuted(value: int, size: int, key: bytes, tweak: str) -> int:
 
 
 def swapped(text: str, key: bytes, tweak: str, hexadecimal: bool = False) -> str:
-    """Digits, small and capital letters permuted inside their classes, other characters kept."""
+    """Digits, small and capital letters permuted inside their classes, other characters kept.
+
+    Very long values are permuted in stretches, as the work grows with the square of a number's length.
+    """
+    if len(text) > STRETCH:
+        return "".join(swapped(text[i:i + STRETCH], key, f"{tweak}@{i}", hexadecimal) for i in range(0, len(text), STRETCH))
     if hexadecimal:
         classes = [HEX_UPPER if any(c in "ABCDEF" for c in text) else HEX]
     else:
@@ -167,6 +177,15 @@ def _ip(text: str, key: bytes) -> str | None:
     return ".".join(map(str, number.to_bytes(4, "big")))
 
 
+def _ip6(text: str, key: bytes) -> str | None:
+    """Hexadecimal digits permuted; short forms keep their form."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    return swapped(text, key, "ip6", hexadecimal=True) if sum(c != ":" for c in text) >= 4 and text in (text.lower(), text.upper()) else None
+
+
 def _date(text: str, key: bytes) -> str | None:
     parts = re.split(r"\D", text)
     mark = re.sub(r"\d", "", text)[0]
@@ -232,7 +251,7 @@ def _secret(text: str, key: bytes) -> str | None:
 
 
 MAKE = {
-    "email": _email, "card": _card, "iban": _iban, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date, "written": _written,
+    "email": _email, "card": _card, "iban": _iban, "phone": _phone, "ssn": _ssn, "ip": _ip, "ip6": _ip6, "date": _date, "written": _written,
     "key": _key, "secret": _secret, "named": _secret,
 }
 
@@ -241,13 +260,14 @@ def _cards(text: str):
     """(start, end) of the valid cards in each row of digit groups: the longest first, then the first."""
     for m in FOUND["card"].finditer(text):
         groups = [(m.start() + g.start(), m.start() + g.end()) for g in re.finditer(r"\d+", m[0])]
-        whole, valid = sum(b - a for a, b in groups), []
+        before = [0, *accumulate(b - a for a, b in groups)]
+        whole, valid = before[-1], []
         # The digits of an IBAN's form are no card, valid or not.
         head = text[max(0, m.start() - 2):m.start()] if groups[0][1] - groups[0][0] == 2 else ""
         inside = IBAN_LENGTHS.get(head, 0) - 2
         for i, (start, _) in enumerate(groups):
             n = 0
-            if sum(b - a for a, b in groups[:i]) < inside:
+            if before[i] < inside:
                 continue
             for j in range(i, len(groups)):
                 a, end = groups[j]
@@ -262,10 +282,11 @@ def _cards(text: str):
                     # A dash or slash around a number with other separators belongs to its neighbour, as in a date.
                     torn = (i > 0 and text[start - 1] == "-" and "-" not in marks) or (text[end:end + 1] in ("-", "/") and text[end] not in marks and text[end + 1:end + 2].isdigit())
                     valid.append((torn or len(marks) > 1, -n, start, end))
-        taken = []
+        taken: list[tuple[int, int]] = []  # apart from each other and in order
         for *_, start, end in sorted(valid):
-            if all(end <= a or start >= b for a, b in taken):
-                taken.append((start, end))
+            at = bisect(taken, (start, end))
+            if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= end):
+                taken.insert(at, (start, end))
         yield from taken
 
 
@@ -307,14 +328,14 @@ def replaced(text: str | None, key: bytes, kinds=tuple(MAKE)) -> tuple[str | Non
         return text, []
     out, spans, at, length = [], [], 0, 0
     for start, end, kind in sorted(finds(text), key=lambda f: (f[0], -f[1], f[2])):
-        if start < at or ("date" if kind == "written" else kind) not in kinds:
+        if start < at or {"written": "date", "ip6": "ip"}.get(kind, kind) not in kinds:
             continue
         new = MAKE[kind](text[start:end], key)
         if new is None:
             continue
         out += [text[at:start], new]
         length += start - at + len(new)
-        spans.append({"kind": {"named": "secret", "written": "date"}.get(kind, kind), "start": start, "end": end, "new_end": length})
+        spans.append({"kind": {"named": "secret", "written": "date", "ip6": "ip"}.get(kind, kind), "start": start, "end": end, "new_end": length})
         at = end
     return ("".join([*out, text[at:]]) if spans else text), spans
 

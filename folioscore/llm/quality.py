@@ -6,7 +6,7 @@ chunk keeps each filter's maximum, and the document keeps the mean and the maxim
 which one logistic layer turns into a probability. Numpy only, inside Spark tasks.
 
 The network is fitted on a bounded sample: `max_rows` labelled documents with the lowest hashes of
-their ids, at most `max_blocks` blocks of each, spread over its text. Scoring reads everything.
+their ids, their texts whole. Training and scoring take a bounded number of blocks at a time.
 
 Defined results: null and empty texts are one block of padding and get that block's score; without
 any labelled row every score is 0.5; repeated rows score alike; an empty table gives an empty
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 BLOCK, WIDTH, STRIDE, EMBEDDED, FILTERS = 256, 9, 3, 5, 24
 PAD = 256
-MAX_ROWS, MAX_BLOCKS, EPOCHS, BATCH, RATE = 2000, 12, 8, 24, 0.01
+MAX_ROWS, EPOCHS, BATCH, RATE = 2000, 8, 24, 0.01
 STEPS = np.arange(0, BLOCK, STRIDE)
 
 
@@ -111,15 +111,18 @@ class Network:
         left = iter(done)
         return [p if p.shape[1] == FILTERS else next(left) for p in parts]
 
-    def gradients(self, blocks: list[np.ndarray], labels: np.ndarray) -> dict:
+    def gradients(self, blocks: list[np.ndarray], labels: np.ndarray, at_once: int = 512) -> dict:
+        """Two passes over slices of the blocks: what each filter sees best, then what flows back to it."""
         sizes = np.array([len(b) for b in blocks])
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         owner = np.repeat(np.arange(len(blocks)), sizes)
         symbols = np.concatenate(blocks)
-        inputs = windows_of(symbols, self.embedding)
-        linear = inputs @ self.filters
-        best = linear.argmax(axis=1)
-        maxima = np.maximum(np.take_along_axis(linear, best[:, None], 1)[:, 0] + self.bias, 0)
+        slices = [slice(i, i + at_once) for i in range(0, len(symbols), at_once)]
+        best, maxima = np.empty((len(symbols), FILTERS), np.int64), np.empty((len(symbols), FILTERS), self.filters.dtype)
+        for part in slices:
+            linear = windows_of(symbols[part], self.embedding) @ self.filters
+            best[part] = linear.argmax(axis=1)
+            maxima[part] = np.maximum(np.take_along_axis(linear, best[part][:, None], 1)[:, 0] + self.bias, 0)
         chunks, mean, most = pooled(maxima, starts)
         features = np.concatenate([mean, most], 1)
         wrong = (sigmoid(features @ self.out + self.offset) - labels).astype(np.float32) / len(labels)
@@ -134,13 +137,16 @@ class Network:
         passed = to_chunk * ~own
         to_block[1:] += passed[:-1]
         to_block *= maxima > 0
-        rows = np.arange(len(symbols))[:, None]
-        taken = inputs[rows, best]  # (blocks, FILTERS, WIDTH * EMBEDDED)
-        filters = np.einsum("bf,bfk->kf", to_block, taken)
-        to_input = (to_block[:, :, None] * self.filters.T).reshape(len(symbols), FILTERS, WIDTH, EMBEDDED)
-        places = symbols[rows[:, :, None], STEPS[best][:, :, None] + np.arange(WIDTH)]
-        embedding = np.zeros_like(self.embedding)
-        np.add.at(embedding, places, to_input)
+        filters, embedding = np.zeros_like(self.filters), np.zeros_like(self.embedding)
+        for part in slices:
+            seen, flow, at = symbols[part], to_block[part], best[part]
+            rows = np.arange(len(seen))[:, None]
+            places = seen[rows[:, :, None], STEPS[at][:, :, None] + np.arange(WIDTH)]  # (blocks, FILTERS, WIDTH)
+            taken = self.embedding[places].reshape(len(seen), FILTERS, WIDTH * EMBEDDED)
+            filters += np.einsum("bf,bfk->kf", flow, taken)
+            to_input = (flow[:, :, None] * self.filters.T).reshape(-1, EMBEDDED)
+            for k in range(EMBEDDED):
+                embedding[:, k] += np.bincount(places.ravel(), to_input[:, k], PAD + 1).astype(embedding.dtype)
         return {
             "embedding": embedding, "filters": filters, "bias": to_block.sum(0), "out": features.T @ wrong, "offset": wrong.sum(keepdims=True),
         }
@@ -159,16 +165,10 @@ class Network:
         return net
 
 
-def trained(texts: list, labels: np.ndarray, epochs: int = EPOCHS, max_blocks: int = MAX_BLOCKS) -> Network:
+def trained(texts: list, labels: np.ndarray, epochs: int = EPOCHS) -> Network:
     """Adam on the logistic loss; deterministic for a given order of rows."""
     net, rng = Network(), np.random.default_rng(11)
-    samples = []
-    for text in texts:
-        blocks = blocks_of(text)
-        if len(blocks) > max_blocks:  # pairs of neighbours, so that chunks keep their meaning
-            first = np.linspace(0, len(blocks) - 2, max_blocks // 2).astype(int)
-            blocks = blocks[np.unique(np.concatenate([first, first + 1]))]
-        samples.append(blocks)
+    samples = [blocks_of(text) for text in texts]
     moments = {n: [np.zeros_like(getattr(net, n)) for _ in range(2)] for n in net.NAMES}
     step = 0
     total = epochs * -(-len(samples) // BATCH)
@@ -188,22 +188,23 @@ def trained(texts: list, labels: np.ndarray, epochs: int = EPOCHS, max_blocks: i
 
 def fit(
     docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality",
-    max_rows: int = MAX_ROWS, epochs: int = EPOCHS, max_blocks: int = MAX_BLOCKS,
+    max_rows: int = MAX_ROWS, epochs: int = EPOCHS,
 ) -> Network | None:
     """A network from at most `max_rows` labelled documents; None if there are none.
 
-    Conflicting labels of a document are averaged and rounded. The sample is drawn before
-    texts are read, and the fit is one task's work of bounded size.
+    Conflicting labels of a document are averaged and rounded; of several texts with one id the
+    first in order counts. The sample is drawn before texts are read, and the fit is one task's work.
     """
     known = labels.filter(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("id"))
     drawn = known.agg(F.round(F.avg(label_column)).cast("double").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     # At most max_rows ids and numbers: the broadcast is bounded by the parameter.
-    sample = texts.join(F.broadcast(drawn), "id").select("id", "text", "label", F.lit(0).alias("one"))
+    # Rows that repeat an id fall together before they reach the task that fits.
+    sample = texts.join(F.broadcast(drawn), "id").groupBy("id", "label").agg(F.min("text").alias("text")).withColumn("one", F.lit(0))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("id").sort_values("id")
-        net = trained(rows["text"].tolist(), rows["label"].to_numpy(np.float32), epochs, max_blocks)
+        rows = rows.sort_values("id")
+        net = trained(rows["text"].tolist(), rows["label"].to_numpy(np.float32), epochs)
         return pd.DataFrame({"weights": [net.packed()]})
 
     found = sample.groupBy("one").applyInPandas(run, "weights binary").collect()

@@ -98,3 +98,31 @@ def test_written_dates_are_linked_and_checked():
     assert len(set(days)) == 1
     for text in ("30 February 2024", "in March 2024", " ".join(map(str, range(1, 60)))):
         assert P.replaced(text, KEY) == (text, [])
+
+
+def test_rows_of_numbers_take_linear_time():
+    import time
+
+    numbers = " ".join(str(i * 7919 % 10) for i in range(100_000))
+    start = time.perf_counter()
+    assert P.replaced(numbers, KEY) == (numbers, [])
+    cards, spans = P.replaced("4111 1111 1111 1111 " * 5_000, KEY)
+    hexes, _ = P.replaced("ab12" * 50_000, KEY)
+    assert len(spans) == 5_000 and len(set(cards.strip().split("  "))) >= 1 and len(hexes) == 200_000
+    assert time.perf_counter() - start < 20
+
+
+@pytest.mark.parametrize("value,kind", [
+    ("josé@example.com", "email"), ("o'neil%x@example.com", "email"), ("2024/01/02", "date"),
+    ("2001:0db8:85a3:0000:0000:8a2e:0370:7334", "ip"), ("fe80::1ff:fe23:4567:890a", "ip"),
+])
+def test_further_formats(value, kind):
+    text = f"see {value} there"
+    new, spans = P.replaced(text, KEY)
+    assert [s["kind"] for s in spans] == [kind] and (spans[0]["start"], spans[0]["end"]) == (4, 4 + len(value))
+    assert new != text and len(new) == len(text) and P.replaced(f"{value}, again", KEY)[0].startswith(new[4:4 + len(value)])
+
+
+def test_what_only_looks_like_an_address_stays():
+    for text in ("at 12:30:45 today", "std::vector<int> x::y", "a: b: c:", "ratio 1:2:3"):
+        assert P.replaced(text, KEY) == (text, [])

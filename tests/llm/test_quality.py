@@ -88,3 +88,39 @@ def test_registered_query(spark, small):
     rows = QUERIES["op8_quality"](spark, small).collect()
     assert len({r.doc_id for r in rows}) == len(rows) == spark.read.parquet(f"{small}/documents.parquet").count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3) for r in rows)
+
+
+def test_a_step_over_slices_is_a_step_over_all_blocks():
+    net = quality.Network(5)
+    blocks = [quality.blocks_of(text(i, i % 2) * (1 + 3 * i)) for i in range(5)]
+    labels = np.array([1.0, 0, 1, 0, 1], np.float32)
+    whole, sliced = net.gradients(blocks, labels, 10**6), net.gradients(blocks, labels, 7)
+    assert all(np.allclose(whole[n], sliced[n], atol=1e-5) for n in net.NAMES)
+
+
+def test_whole_texts_are_learned():
+    """What tells the classes apart stands behind the first three kilobytes only."""
+    start = "some plain words of no meaning at all " * 100
+    texts = [start + ("good end of text " if i % 2 else "#!%& 00 ~~ ") * 40 for i in range(60)]
+    labels = np.array([i % 2 for i in range(60)], np.float32)
+    scores = quality.trained(texts, labels).scores(texts)
+    assert scores[labels == 1].min() > scores[labels == 0].max()
+
+
+def test_a_whole_text_against_a_plain_forward_pass():
+    net, sample = quality.Network(9), text(3, True) * 5
+    data = [*sample.encode()]
+    n = -(-len(data) // quality.BLOCK)
+    data += [quality.PAD] * (n * quality.BLOCK + quality.WIDTH - len(data))
+    blocks = []
+    for b in range(n):
+        outs = []
+        for s in range(0, quality.BLOCK, quality.STRIDE):
+            at = b * quality.BLOCK + s
+            window = np.concatenate([net.embedding[c] for c in data[at:at + quality.WIDTH]])
+            outs.append(window @ net.filters + net.bias)
+        blocks.append(np.maximum(np.max(outs, axis=0), 0))
+    chunks = np.array([np.maximum(blocks[i], blocks[min(i + 1, n - 1)]) for i in range(n)])
+    features = np.concatenate([chunks.mean(0), chunks.max(0)])
+    want = 1 / (1 + np.exp(-(features @ net.out + net.offset[0])))
+    assert abs(net.scores([sample])[0] - want) < 1e-5
