@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -15,6 +16,11 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
+def own_name(use: str) -> str:
+    """A column name that no table has."""
+    return f"_{use}_{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the cluster's checkpoint folder: short lineage, safe from lost executors."""
     ship_package(df.sparkSession)

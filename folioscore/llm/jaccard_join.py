@@ -37,7 +37,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from folioscore.llm.common import cut, mixed, shingle_hashes
+from folioscore.llm.common import cut, mixed, own_name, shingle_hashes
 from folioscore.llm.components import components
 
 WORDS = 5
@@ -418,9 +418,10 @@ def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     class that share its smallest id, or have none, all stay.
     """
     classes = similar_documents(docs, id_column=id_column, text_column=text_column, **options)
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    own_id, own_key, text_key, place = (own_name(n) for n in ("id", "key", "text_key", "place"))
+    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)).distinct()
     # Rows of one id and text may be repeated: the first stays.
-    keyed = docs.withColumn("_text_key", F.md5(F.coalesce(F.col(text_column), F.lit(""))))
-    found = keyed.join(kept, keyed[id_column].eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    named = W.partitionBy(id_column, "_text_key").orderBy(*[F.col(c) for c in docs.columns])
-    return found.withColumn("_place", F.row_number().over(named)).filter("_place = 1").select(*docs.columns)
+    keyed = docs.withColumn(text_key, F.md5(F.coalesce(F.col(text_column), F.lit(""))))
+    found = keyed.join(kept, keyed[id_column].eqNullSafe(F.col(own_id)) & (F.col(text_key) == F.col(own_key)), "left_semi")
+    named = W.partitionBy(id_column, text_key).orderBy(*[F.col(c) for c in docs.columns])
+    return found.withColumn(place, F.row_number().over(named)).filter(F.col(place) == 1).select(*docs.columns)

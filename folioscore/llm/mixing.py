@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from folioscore.llm.common import cut
+from folioscore.llm.common import cut, own_name
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -146,17 +146,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows that repeat an id and a text are one document here: each of them gets the same copies.
     """
+    own = {n: own_name(n) for n in ("id", "source", "size", "copies", "copy")}
     plan = mix(docs, **options).filter(F.col("copies") > 0)
-    per_id = plan.groupBy(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size")).agg(
-        F.max("copies").alias("_mix_copies")
+    per_id = plan.groupBy(F.col("doc_id").alias(own["id"]), F.col("source").alias(own["source"]), F.col("size").alias(own["size"])).agg(
+        F.max("copies").alias(own["copies"])
     )
     text, key, source = (options.get(k, d) for k, d in (("text_column", "text"), ("id_column", "doc_id"), ("source_column", "source")))
     joined = docs.join(
         per_id,
-        docs[key].eqNullSafe(F.col("_mix_id")) & docs[source].eqNullSafe(F.col("_mix_source"))
-        & (word_count(docs[text]) == F.col("_mix_size")),
+        docs[key].eqNullSafe(F.col(own["id"])) & docs[source].eqNullSafe(F.col(own["source"]))
+        & (word_count(docs[text]) == F.col(own["size"])),
     )
-    repeated = joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))))
+    repeated = joined.withColumn(own["copy"], F.explode(F.sequence(F.lit(1), F.col(own["copies"]).cast("int"))))
     return repeated.select(*[docs[c] for c in docs.columns])
 
 

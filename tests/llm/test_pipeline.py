@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from folioscore.llm import mixing, pseudonyms, quality
@@ -72,3 +73,12 @@ def test_odd_rows_pass_all_stages(request, spark, rows):
     for _, stage in C.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     assert (docs.count() == 0) == (rows == "empty")
+
+
+def test_columns_with_the_names_of_helpers_pass_unchanged(spark, messy):
+    names = ["_score", "_spans", "_text_key", "_place", "_id", "_key", "_mix_id", "_mix_source", "_mix_size", "_mix_copies", "_mix_copy"]
+    docs = messy.withColumns({n: F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in names})
+    for _, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+        rows = docs.select("doc_id", *names).collect()
+        assert rows and all(r[n] == f"{n}:{'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for n in names)
