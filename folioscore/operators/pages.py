@@ -286,15 +286,19 @@ def hybrid_blocks(line_blocks: DataFrame, page_blocks: DataFrame, share: float =
 # --- assembly --------------------------------------------------------------------------------------
 
 
-def page_confidence(blocks: DataFrame) -> DataFrame:
-    """Mean of the positive block confidences, rounded only after `needs_review` is decided."""
+def page_confidence(blocks: DataFrame, **more: Column) -> DataFrame:
+    """Mean of the positive block confidences, rounded only after `needs_review` is decided.
+
+    `more` are further aggregates of each page, from the same pass.
+    """
     positive = F.avg(F.when(F.col("confidence") > 0, F.col("confidence")))
     per_page = blocks.groupBy("page_id").agg(
         F.coalesce(positive, F.lit(0.0)).alias("_mean"),
         F.count_if("is_uncertain").alias("uncertain_spans"),
+        *[c.alias(n) for n, c in more.items()],
     )
     return per_page.select(
-        "page_id",
+        "page_id", *more,
         F.round("_mean", 4).alias("confidence_score"),
         "uncertain_spans",
         ((F.col("uncertain_spans") > 0) | (F.col("_mean") < 0.8)).alias("needs_review"),
@@ -308,6 +312,13 @@ def page_model_confidence(blocks: DataFrame) -> DataFrame:
     )
 
 
+def transcript(keep_empty: bool = False) -> Column:
+    """The text of a page as an aggregate over its blocks; null if no block counts."""
+    counts = ~F.col("crossed_out") if keep_empty else ~F.col("crossed_out") & (F.col("text") != "")
+    entries = F.array_sort(F.collect_list(F.when(counts, F.struct("reading_order", "block_no", "text"))))
+    return F.when(F.size(entries) > 0, F.array_join(F.transform(entries, lambda e: e["text"]), "\n"))
+
+
 def assemble_transcripts(blocks: DataFrame, keep_empty: bool = False) -> DataFrame:
     """Page texts: blocks in reading order without crossed-out ones, joined by newlines.
 

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from folioscore.operators.pages import (
-    assemble_transcripts, assess_quality, hybrid_blocks, layout_features, page_confidence,
-    route_pages,
-)
+from folioscore.operators.pages import assess_quality, layout_features, needs_page_model, page_confidence, route_pages, transcript
 
 
 def page_results(measurements: DataFrame, line_blocks: DataFrame, page_blocks: DataFrame) -> DataFrame:
@@ -18,12 +15,11 @@ def page_results(measurements: DataFrame, line_blocks: DataFrame, page_blocks: D
     """
     quality = assess_quality(measurements)
     routed = route_pages(quality, layout_features(line_blocks))
-    route = routed.select("page_id", "route")
-
-    def of(blocks: DataFrame, name: str) -> DataFrame:
-        return blocks.join(route.filter(route.route == name).select("page_id"), "page_id", "left_semi")
-
-    mixed = hybrid_blocks(of(line_blocks, "hybrid"), of(page_blocks, "hybrid")).drop("block_source")
-    blocks = of(line_blocks, "trocr_fast").unionByName(of(page_blocks, "vlm_fallback")).unionByName(mixed)
-    texts = assemble_transcripts(blocks)
-    return routed.join(texts, "page_id", "left").join(page_confidence(blocks), "page_id", "left")
+    # One row per page decides for all blocks, which meet it in one join.
+    escalated = needs_page_model(line_blocks).select("page_id", "escalate")
+    route = routed.select("page_id", "route").join(escalated, "page_id", "left")
+    both = line_blocks.withColumn("_by_page", F.lit(False)).unionByName(page_blocks.withColumn("_by_page", F.lit(True)))
+    fast, fallback, hybrid = (F.col("route") == r for r in ("trocr_fast", "vlm_fallback", "hybrid"))
+    wanted = F.when(fast, False).when(fallback, True).when(hybrid, F.coalesce("escalate", F.lit(False)))
+    blocks = both.join(route, "page_id").filter(F.col("_by_page") == wanted)
+    return routed.join(page_confidence(blocks, text=transcript()), "page_id", "left")

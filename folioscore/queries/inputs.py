@@ -215,9 +215,10 @@ _sql(
 )
 _sql(
     "measurements",
-    """SELECT page_id, CAST((page_id*53)%400 AS DOUBLE) AS blur, 400+(page_id*37)%900 AS width, 500+(page_id*29)%900 AS height,
-      CAST((page_id*7)%41-20 AS DOUBLE) AS skew, CAST((page_id*29)%256 AS DOUBLE) AS brightness,
-      page_id%11=0 AS has_glare, page_id%13=0 AS has_shadow, page_id%17=0 AS is_blank FROM pages""",
+    """SELECT page_id, CAST((h*53)%400 AS DOUBLE) AS blur, 400+(h*37)%900 AS width, 500+(tags*29)%900 AS height,
+      CAST((tags*7)%41-20 AS DOUBLE) AS skew, CAST((h*29+tags)%256 AS DOUBLE) AS brightness,
+      tags%11=0 AS has_glare, h%13=0 AS has_shadow, (h+tags)%17=0 AS is_blank
+    FROM (SELECT page_id, CAST(coalesce(length(html),0) AS BIGINT) AS h, CAST(coalesce(length(html)-length(replace(html,'<','')),0) AS BIGINT) AS tags FROM pages)""",
 )
 _sql(
     "quality",
@@ -585,12 +586,17 @@ class Inputs:
 
     @cached_property
     def measurements(self) -> DataFrame:
-        p = F.col("page_id")
-        return self.table("pages").select(
-            "page_id", mod(p * 53, 400).cast("double").alias("blur"),
-            (400 + mod(p * 37, 900)).alias("width"), (500 + mod(p * 29, 900)).alias("height"),
-            (mod(p * 7, 41) - 20).cast("double").alias("skew"), mod(p * 29, 256).cast("double").alias("brightness"),
-            (mod(p, 11) == 0).alias("has_glare"), (mod(p, 13) == 0).alias("has_shadow"), (mod(p, 17) == 0).alias("is_blank"),
+        """Measurements made from the length and the number of tags of each page's whole HTML."""
+        length = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("long")
+        h, tags = F.col("h"), F.col("tags")
+        counted = self.table("pages").select(
+            "page_id", length(F.col("html")).alias("h"), (length(F.col("html")) - length(F.replace("html", F.lit("<"), F.lit("")))).alias("tags")
+        )
+        return counted.select(
+            "page_id", mod(h * 53, 400).cast("double").alias("blur"),
+            (400 + mod(h * 37, 900)).alias("width"), (500 + mod(tags * 29, 900)).alias("height"),
+            (mod(tags * 7, 41) - 20).cast("double").alias("skew"), mod(h * 29 + tags, 256).cast("double").alias("brightness"),
+            (mod(tags, 11) == 0).alias("has_glare"), (mod(h, 13) == 0).alias("has_shadow"), (mod(h + tags, 17) == 0).alias("is_blank"),
         )
 
     @cached_property

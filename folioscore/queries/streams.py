@@ -52,12 +52,14 @@ def f18(t: Inputs) -> DataFrame:
 
 @query(
     "x2_page_transcriber", "blocks",
-    sql="SELECT page_id, CAST(CASE WHEN page_id%4 IN (0,1) THEN count(*) ELSE 1 END AS BIGINT) AS blocks FROM blocks GROUP BY page_id",
+    sql="""SELECT page_id, CAST(reading_order AS INT) AS reading_order, type, text FROM blocks WHERE page_id%4 IN (0,1)
+      UNION ALL SELECT page_id, CAST(reading_order AS INT), type, text FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY block_no) AS rn FROM blocks WHERE page_id%4=2) WHERE rn=1
+      UNION ALL SELECT page_id, CAST(1 AS INT), 'student_handwriting', '[{"text": '||page_id FROM (SELECT DISTINCT page_id FROM blocks WHERE page_id%4=3)""",
 )
 def x2(t: Inputs) -> DataFrame:
-    """The model repeats the prepared answer; its text is then parsed natively."""
+    """The model repeats the prepared answer; its texts are then parsed natively."""
     raw = I.transcribe_pages(_page_model_text(t), lambda: str, "raw_output")
-    return P.parse_page_model_output(raw).groupBy("page_id").agg(F.count("*").alias("blocks"))
+    return P.parse_page_model_output(raw).select("page_id", "reading_order", "type", "text")
 
 
 @query(

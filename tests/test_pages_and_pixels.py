@@ -112,3 +112,23 @@ def test_active_learning_scores_and_queue(spark):
     assert [r["item_id"] for r in batch.collect()] == ["a"] and [r["item_id"] for r in rest.collect()] == ["c"]
     merged = {r["category"]: r["frequency"] for r in R.merge_frequencies(old, R.failure_frequencies(items.filter("item_id = 'c'"))).collect()}
     assert merged == {"blur": 0.8, "unknown": 1.0}
+
+
+def test_page_results_take_the_blocks_of_their_route(spark):
+    """Against the same flow put together from its parts, with other texts from the page model."""
+    from folioscore.plans.transcribe import page_results
+    from folioscore.queries.inputs import Inputs
+
+    t = Inputs(spark, "/root/testdata/sf0.001")
+    lines = t.blocks.filter("page_id % 9 <> 4")
+    pages = t.blocks.filter("page_id % 9 <> 5").withColumn("text", F.concat(F.lit("page "), "text"))
+    got = {r["page_id"]: (r["route"], r["text"], r["uncertain_spans"]) for r in page_results(t.measurements, lines, pages).collect()}
+    routed = P.route_pages(P.assess_quality(t.measurements), P.layout_features(lines))
+    route = {r["page_id"]: r["route"] for r in routed.collect()}
+    of = lambda blocks, name: blocks.filter(F.col("page_id").isin([p for p, r in route.items() if r == name] or [-1]))
+    mixed = P.hybrid_blocks(of(lines, "hybrid"), of(pages, "hybrid")).drop("block_source")
+    blocks = of(lines, "trocr_fast").unionByName(of(pages, "vlm_fallback")).unionByName(mixed)
+    texts = {r["page_id"]: r["text"] for r in P.assemble_transcripts(blocks).collect()}
+    spans = {r["page_id"]: r["uncertain_spans"] for r in P.page_confidence(blocks).collect()}
+    assert got == {p: (r, texts.get(p), spans.get(p)) for p, r in route.items()}
+    assert len(set(route.values())) > 1
