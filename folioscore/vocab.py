@@ -20,7 +20,6 @@ QUALITY_PENALTIES = {
     "incomplete_crop": 0.1,
     "blank_page": 1.0,
 }
-ROUTES = ["trocr_fast", "vlm_fallback", "hybrid", "human_only"]
 
 # --- failure categories ----------------------------------------------------------------
 FAILURE_CATEGORIES = [
@@ -56,7 +55,6 @@ ZERO_SHA256 = "0" * 64
 # --- patterns --------------------------------------------------------------------------------
 # They end with \z: a dollar would also match before a final line break.
 SHA256_HEX = r"^[0-9a-f]{64}\z"
-REVISION_HEX = r"^([0-9a-f]{40}|[0-9a-f]{64})\z"
 MD5_HEX = r"^[0-9a-f]{32}\z"
 SAMPLE_FILENAME = r"^sample-[0-9a-f]{16,64}\.(jpeg|jpg|pgm|png)\z"
 WRITER_ID = r"^writer-[0-9a-f]{16,64}\z"
@@ -73,14 +71,6 @@ CORPUS_INDEX_LINE = r"^([0-9]{4}-[0-9]{3}),([0-9]+)\s+(.*)\z"
 ZONED_TIMESTAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})\z"
 
 # --- columns fixed by the data model --------------------------------------------------------
-REVIEW_COLUMNS = [
-    "filename", "annotator_1_id", "annotator_2_id", "pass_1_sha256", "pass_2_sha256",
-    "final_sha256", "status", "adjudicator_id", "adjudication_reason", "crop_reviewed",
-    "pass_1_seconds", "pass_2_seconds", "adjudication_seconds",
-]
-PROTECTED_LABEL_COLUMNS = [
-    "filename", "text", "writer_id", "slices", "age_band", "document_type", "capture_type",
-]
 EVENT_COLUMNS = [
     "schema_version", "sequence", "event_id", "event_type", "occurred_at", "recorded_at",
     "pilot_id", "subject_token_sha256", "scope_sha256", "actor_role", "evidence_reference",
