@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from folioscore.functions.digests import hash_uniform
 
 GLARE_LEVEL, GLARE_SHARE = 250, 0.05
+BOXES = 256
 
 
 def exposure(pixels: DataFrame) -> DataFrame:
@@ -188,10 +189,12 @@ def image_pixels(images: DataFrame) -> DataFrame:
 def crop_lines(images: DataFrame, boxes: DataFrame) -> DataFrame:
     """Cuts line boxes out of their page image and hashes each cut.
 
-    Boxes of a page travel as one array, so each page image is shipped to Python once.
+    Boxes travel in arrays of at most `BOXES` line numbers, so an image is shipped to Python once
+    for so many boxes, and no array grows with a page.
     """
-    packed = boxes.groupBy("path").agg(F.collect_list(F.struct("line_no", "bbox")).alias("boxes"))
-    joined = images.select("path", "content").join(packed, "path")
+    part = F.floor(F.col("line_no") / BOXES).alias("part")
+    packed = boxes.groupBy("path", part).agg(F.collect_list(F.struct("line_no", "bbox")).alias("boxes"))
+    joined = images.select("path", "content").join(packed.drop("part"), "path")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
