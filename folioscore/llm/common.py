@@ -6,6 +6,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscore.session import shared_dir, ship_package
@@ -28,6 +29,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def first_of_each(batches):
+    """One row of each hexadecimal key, the first column, in this task."""
+    seen = set()
+    for batch in batches:
+        fresh = []
+        for i, key in enumerate(batch.column(0).to_pylist()):
+            digest = bytes.fromhex(key)
+            if digest not in seen:
+                seen.add(digest)
+                fresh.append(i)
+        yield batch if len(fresh) == batch.num_rows else batch.take(pa.array(fresh, pa.int64()))
+
+
 def crc_bucket(column: str | Column, modulus: int) -> Column:
     """crc32 of the value as text, modulo `modulus`; null values fall into bucket 0."""
     text = F.col(column) if isinstance(column, str) else column
