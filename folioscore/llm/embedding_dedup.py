@@ -2,13 +2,15 @@
 
 Distinct directions are dealt into shards by hash, and every shard builds its own layered graph.
 Every vector then queries every shard: blocks of queries meet one shard's graph at a time. A
-beam search walks down the layers; at the bottom the beam is doubled for each query whose beam is
-full of links. Before that, an audit takes a stated set of queries, compares the beam search with
-brute force over the same shard, and widens all beams until the shard's recall passes.
+beam search walks down the layers. Before that, an audit takes a stated set of queries, compares the
+beam search with brute force over the same shard, query by query and apart for queries with few and
+with many links, and widens all beams until the shard's recall passes. A query whose beam is full of
+links, and every query of a shard that no beam makes pass, is compared with the whole shard, in blocks.
 
-Candidates are verified by cosine in double precision. A task returns, for each of its queries,
-how many links it has there and one spanning forest of them, so a group of thousands of close
-vectors never turns into rows of pairs. Components are the union of these forests.
+Candidates are verified by cosine in double precision. A link found from one end counts for both: the
+few links of a beam come out as rows for each end, while a query compared with a whole shard knows all
+its links there and returns their number and one spanning forest, so a group of thousands of close
+vectors never turns into rows of pairs. Components are the union of links and forests.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing and are their own component; vectors of different lengths do not link; repeated rows
@@ -33,9 +35,10 @@ FIRST_BEAM = 32
 EXPAND = 4
 SHARD_ROWS = 32_768
 MIN_SHARDS = 4
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16_384
 RECALL = 0.995
 AUDIT_QUERIES = 128
+FEW_LINKS = 8
 MARGIN = 1e-4  # single against double precision
 
 
@@ -203,27 +206,29 @@ class Graph:
             found[ids < 0] = -np.inf
             links[some] = diverse(v, v[some], ids, found, degree)
 
-    def near(self, queries: np.ndarray, threshold: float, beam: int):
-        """(query rows, node rows) of similarity at least the threshold that the beams found."""
-        left = np.arange(len(queries))
+    def searched(self, queries: np.ndarray, threshold: float, beam: int):
+        """(query rows, node rows) of similarity at least the threshold that the beams found, and the query
+        rows whose beams have no room for anything but links; without a beam, these are all."""
+        if not beam:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.arange(len(queries))
         entry = self.entries(queries, len(self.layers) - 1) if len(self.layers) > 1 else np.zeros((len(queries), 1), np.int64)
-        out = []
-        while len(left):
-            ids, sims = beam_search(self.vectors, self.layers[-1], queries[left], entry[left], beam)
-            linked = (ids >= 0) & (sims >= threshold)
-            # A beam with no room for anything but links may have lost some: widen it.
-            full = linked.sum(1) >= beam // 2
-            full &= beam < 2 * len(self.vectors)
-            q, j = np.nonzero(linked & ~full[:, None])
-            out.append((left[q], ids[q, j]))
-            left = left[full]
-            beam *= 4
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+        ids, sims = beam_search(self.vectors, self.layers[-1], queries, entry, beam)
+        linked = (ids >= 0) & (sims >= threshold)
+        full = linked.sum(1) >= beam // 2
+        q, j = np.nonzero(linked & ~full[:, None])
+        return q, ids[q, j], np.flatnonzero(full)
+
+    def near(self, queries: np.ndarray, threshold: float, beam: int):
+        """(query rows, node rows) of similarity at least the threshold, full beams compared with all nodes."""
+        q, j, full = self.searched(queries, threshold, beam)
+        rows, more = np.nonzero(queries[full] @ self.vectors.T >= threshold)
+        return np.concatenate([q, full[rows]]), np.concatenate([j, more])
 
     def audited_beam(self, threshold: float, recall: float, beam: int = FIRST_BEAM, queries: int = AUDIT_QUERIES) -> int:
-        """The beam at which the audit's queries, slightly turned vectors of the shard, pass.
+        """The beam at which the audit's queries, slightly turned vectors of the shard, pass; 0 if none does.
 
-        Brute force finds each one's nearest vectors; recall is the share that the search sees.
+        Brute force finds each one's nearest vectors. A query's recall is the share that its search sees;
+        the means over queries with few and with many of them must both pass.
         """
         n = len(self.vectors)
         if not n:
@@ -235,13 +240,18 @@ class Graph:
         )
         turned /= np.linalg.norm(turned, axis=1, keepdims=True)
         wanted = turned @ self.vectors.T >= min(threshold, 0.9)
-        total = wanted.sum()
-        while total and beam < 2 * n:
-            q, found = self.near(turned, min(threshold, 0.9), beam)
-            if wanted[q, found].sum() >= recall * total:
-                break
+        often = wanted.sum(1)
+        while beam < n:
+            q, j, full = self.searched(turned, min(threshold, 0.9), beam)
+            seen = np.zeros(wanted.shape, bool)
+            seen[q, j] = True
+            seen[full] = True
+            share = (seen & wanted).sum(1) / np.maximum(often, 1)
+            bands = [share[(often > low) & (often <= high)] for low, high in ((0, FEW_LINKS), (FEW_LINKS, n))]
+            if all(not len(band) or band.mean() >= recall for band in bands):
+                return beam
             beam *= 2
-        return beam
+        return 0
 
 
 def _forest(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -263,6 +273,24 @@ def _forest(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
+def _whole(exact: np.ndarray, own: np.ndarray, nodes: np.ndarray, ids: np.ndarray, copies: np.ndarray, threshold: float):
+    """Queries against all nodes, in blocks: (links of each query, edges enough to keep the components)."""
+    counts, edges = np.zeros(len(own), np.int64), []
+    label = np.arange(len(ids))  # of each node: its component so far
+    step = max(1, 4_000_000 // max(1, len(ids)))
+    for at in range(0, len(own), step):
+        linked = exact[at:at + step] @ nodes.T >= threshold
+        linked &= own[at:at + step, None] != ids[None, :]
+        counts[at:at + step] = linked @ copies
+        for i in np.flatnonzero(linked.any(1)):
+            parts, first = np.unique(label[linked[i]], return_index=True)
+            some = np.flatnonzero(linked[i])[first]
+            edges += [(own[at + i], b) for b in ids[some].tolist()]
+            if len(parts) > 1:
+                label[np.isin(label, parts)] = parts[0]
+    return counts, edges
+
+
 def _rows(table: pd.DataFrame) -> np.ndarray:
     raw = np.stack(table["vector"].to_numpy()) if len(table) else np.empty((0, 1))
     return raw.astype(np.float64)
@@ -284,34 +312,42 @@ def _build(table: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [table["shard"].iloc[0]], "width": [exact.shape[1]], "graph": [pickle.dumps(held, 5)]})
 
 
+EDGE, WHOLE, LINK = range(3)
+FOUND = "kind int, a long, shard int, b long, n long"
+
+
 def _query(graph_rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-    """One shard's graph and one block of queries: links counted, and a forest of them."""
-    columns = {"a": [], "b": [], "n": []}
+    """One shard's graph and one block of queries. An EDGE of a forest joins a and b; WHOLE gives the number n
+    of all links from a to a shard; LINK is one link from a to b, which has n copies in that shard."""
+    out = []
+
+    def add(kind: int, a, shard, b, n) -> None:
+        columns = np.broadcast_arrays(np.int64(kind), np.asarray(a, np.int64), shard, b, n)
+        out.append(np.stack(columns).astype(np.int64))
+
+    add(EDGE, np.empty(0), 0, 0, 0)
     if len(graph_rows) and len(block):
         layers, ids, copies, nodes, beam = pickle.loads(graph_rows["graph"].iloc[0])
-        graph = Graph.of(nodes.astype(np.float32), layers)
+        graph, shard = Graph.of(nodes.astype(np.float32), layers), int(graph_rows["shard"].iloc[0])
         threshold = block["threshold"].iloc[0]
         exact = _rows(block)
         exact /= np.linalg.norm(exact, axis=1, keepdims=True)
-        own = block["id"].to_numpy()
+        own, home, owned = (block[c].to_numpy() for c in ("id", "home", "own_copies"))
         most = max(64, min(512, 64_000_000 // max(1, len(ids))))
         for at in range(0, len(own), most):
             part = slice(at, at + most)
-            q, j = graph.near(exact[part].astype(np.float32), threshold - MARGIN, beam)
-            step = 100_000
-            cosine = np.concatenate([np.einsum("nd,nd->n", exact[part][q[i:i + step]], nodes[j[i:i + step]]) for i in range(0, len(q), step)] or [np.empty(0)])
+            q, j, full = graph.searched(exact[part].astype(np.float32), threshold - MARGIN, beam)
+            cosine = np.einsum("nd,nd->n", exact[part][q], nodes[j])
             good = (cosine >= threshold) & (ids[j] != own[part][q])
             q, j = q[good], j[good]
-            counts = np.bincount(q, weights=copies[j], minlength=len(own[part])).astype(np.int64)
-            some = np.flatnonzero(counts)
-            columns["a"] += own[part][some].tolist()
-            columns["b"] += own[part][some].tolist()
-            columns["n"] += counts[some].tolist()
-            for a, b in _forest(own[part][q], ids[j]):
-                columns["a"].append(a)
-                columns["b"].append(b)
-                columns["n"].append(0)
-    return pd.DataFrame(columns)
+            a, b = own[part][q], ids[j]
+            add(LINK, a, shard, b, copies[j])
+            add(LINK, b, home[part][q], a, owned[part][q])
+            counts, edges = _whole(exact[part][full], own[part][full], nodes, ids, copies, threshold)
+            add(WHOLE, own[part][full], shard, 0, counts)
+            for left, right in (np.array(e, np.int64).reshape(-1, 2).T for e in (_forest(a, b), edges)):
+                add(EDGE, left, 0, right, 0)
+    return pd.DataFrame(dict(zip(("kind", "a", "shard", "b", "n"), np.concatenate(out, 1))))
 
 
 def near_vectors(
@@ -337,11 +373,15 @@ def near_vectors(
     # Every block of queries meets every shard's graph of its length.
     spread = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     index = graphs.select("shard", "width", "graph", spread("block", blocks))
-    asked = placed.select("id", "vector", "width", "threshold", "block", spread("shard", shards))
+    asked = placed.select("id", "vector", "width", "threshold", "block", F.col("shard").alias("home"), F.col("copies").alias("own_copies"), spread("shard", shards))
     keys = ["shard", "width", "block"]
-    found = cut(index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_query, "a long, b long, n long"))
-    counts = found.filter("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("linked"))
-    labels = components(found.filter("n = 0"))
+    found = cut(index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_query, FOUND))
+    # A link may be found from both ends. What a comparison with the whole shard counted needs no links.
+    links = found.filter(F.col("kind") != EDGE).groupBy("a", "shard", "kind", "b").agg(F.max("n").alias("n"))
+    whole, single = (F.sum(F.when(F.col("kind") == kind, F.col("n"))) for kind in (WHOLE, LINK))
+    in_shard = links.groupBy("a", "shard").agg(F.coalesce(whole, single).alias("n"))
+    counts = in_shard.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("linked"))
+    labels = components(found.filter(F.col("kind") == EDGE).select("a", "b"))
     of_node = nodes.join(counts, "id", "left").join(labels, "id", "left").select(
         "vector", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"),
     )

@@ -75,3 +75,49 @@ def test_a_beam_full_of_links_is_widened():
     graph = E.Graph(v, np.zeros(900, int))
     q, _ = graph.near(v[:20], 0.9, 16)
     assert np.bincount(q).min() >= 890
+
+
+def group_and_pairs(dims=64, group=600, pairs=300, others=1200):
+    """A close group with a quarter of all vectors, pairs of two, and vectors without a link."""
+    rng = np.random.default_rng(11)
+    centre = rng.normal(0, 1, dims)
+    left = rng.normal(0, 1, (pairs, dims))
+    parts = [centre + rng.normal(0, 0.1, (group, dims)), left, left + rng.normal(0, 0.1, left.shape), rng.normal(0, 1, (others, dims))]
+    return np.vstack(parts)[rng.permutation(group + 2 * pairs + others)]
+
+
+def test_links_of_a_close_group_count_for_both_ends(spark):
+    vectors = group_and_pairs()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.95
+    rows = [(i - 5, v.tolist()) for i, v in enumerate(vectors)]  # ids below zero as well
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.id: r.n_links for r in E.near_vectors(frame).collect()}
+    assert got == {i - 5: int(n) - 1 for i, n in enumerate(linked.sum(1))}
+
+
+def test_the_audit_looks_at_queries_with_few_links_apart():
+    vectors = group_and_pairs().astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    graph = E.Graph(vectors, np.zeros(len(vectors), int))
+    assert graph.audited_beam(0.95, 0.995) > 0
+    # Without edges no beam passes: the shard is compared whole.
+    graph.layers = [np.full_like(links, -1) for links in graph.layers]
+    assert graph.audited_beam(0.95, 0.995) == 0
+    q, j, full = graph.searched(vectors[:9], 0.95, 0)
+    assert not len(q) and full.tolist() == list(range(9))
+
+
+def test_whole_shards_keep_components_in_few_edges():
+    vectors = group_and_pairs(group=200, pairs=20, others=50)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    ids = np.arange(len(vectors))
+    counts, edges = E._whole(vectors, ids, vectors, ids, np.ones(len(ids), np.int64), 0.95)
+    linked = vectors @ vectors.T >= 0.95
+    assert counts.tolist() == (linked.sum(1) - 1).tolist() and len(edges) <= 2 * len(ids)
+    want = plain(list(enumerate(vectors.tolist())), 0.95)
+    label = {i: i for i in ids.tolist()}
+    for _ in range(20):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert label == {i: want[i][1] for i in label}
