@@ -352,9 +352,13 @@ def job_progress(pages: DataFrame, *by: str) -> DataFrame:
 
 
 def champions(registry: DataFrame, promotions: DataFrame) -> DataFrame:
-    """Latest promoted version per model type, with its metrics; unknown versions are ignored."""
+    """Latest promoted version per model type, with its metrics; unknown versions are ignored.
+
+    `promoted_seq` is a number; of versions that share one the shorter, then smaller name wins: v9 before v10.
+    """
     known = promotions.join(registry.select("version", "model_type", "metrics"), "version")
-    newest = F.max_by(F.struct("version", "metrics"), "promoted_seq")
+    order = F.when(F.col("promoted_seq").isNotNull(), F.struct(-F.col("promoted_seq"), F.length("version"), "version"))
+    newest = F.min_by(F.struct("version", "metrics"), order)
     return known.groupBy("model_type").agg(newest.alias("c")).select("model_type", "c.*")
 
 

@@ -132,3 +132,12 @@ def test_page_results_take_the_blocks_of_their_route(spark):
     spans = {r["page_id"]: r["uncertain_spans"] for r in P.page_confidence(blocks).collect()}
     assert got == {p: (r, texts.get(p), spans.get(p)) for p, r in route.items()}
     assert len(set(route.values())) > 1
+
+
+def test_versions_promoted_at_once_are_ordered_by_name(spark):
+    rows = [(f"v{i}", "m", 5 if i in (9, 10, 100) else 1 if i < 100 else None) for i in range(102)] + [("w1", "n", None)]
+    for step in (1, -1):
+        frame = spark.createDataFrame(rows[::step], "version string, model_type string, promoted_seq int")
+        registry = frame.select("version", "model_type", F.create_map(F.lit("cer"), F.lit(0.5)).alias("metrics"))
+        best = P.champions(registry, frame.select("version", "promoted_seq")).collect()
+        assert {(r["model_type"], r["version"]) for r in best} == {("m", "v9"), ("n", None)}
