@@ -2,7 +2,8 @@
 
 A document is parsed once into a VARIANT, so nothing about its shape is fixed in code. All rules run
 in one expression per document, without a join: the rule table is configuration of bounded size and
-becomes an array that a lambda walks over. A value must have the JSON type of its rule, so "true" is
+every rule becomes a condition of its own, whose path and pattern are constants that are parsed once
+and not again for every document. A value must have the JSON type of its rule, so "true" is
 not true and 1.0 is not a whole number. Keys that no rule knows are found at any depth.
 
 Defined results: text that is no JSON object breaks `document` alone; a missing or null value breaks
@@ -48,33 +49,38 @@ def rule_frame(spark: SparkSession, rules: Sequence[Row]) -> DataFrame:
     return spark.createDataFrame([tuple(r._replace(low=number(r.low), high=number(r.high))) for r in rules], RULES)
 
 
-def _number(kind: Column) -> Column:
-    return kind.rlike("^(BIGINT|DECIMAL|DOUBLE)")
-
-
-def _holds(document: Column, rule: Column, now: Column) -> Column:
-    path = lambda p: F.concat(F.lit("$."), p)
-    value = F.try_variant_get(document, path(rule["path"]), "string")
-    kind = F.schema_of_variant(F.try_variant_get(document, path(rule["path"]), "variant"))
-    number = F.when(_number(kind), value.try_cast("double"))
-    total = F.aggregate(
-        F.transform(rule["options"], lambda p: F.try_variant_get(document, path(p), "double")), F.lit(0.0), lambda a, v: a + v
-    )
+def _holds(document: Column, rule, now: Column) -> Column:
+    at = f"$.{rule['path']}"
+    value = F.try_variant_get(document, at, "string")
+    kind = F.schema_of_variant(F.try_variant_get(document, at, "variant"))
+    number = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE)"), value.try_cast("double"))
+    text, low, high = F.lit(rule["text"]).cast("string"), F.lit(rule["low"]).cast("double"), F.lit(rule["high"]).cast("double")
+    options = rule["options"] or []
     string, name = kind == "STRING", rule["kind"]
-    return (
-        F.when(name == "text", string & (value == rule["text"]))
-        .when(name == "number", number == rule["low"])
-        .when(name.isin("true", "false"), (kind == "BOOLEAN") & (value == name))
-        .when(name == "whole", (kind == "BIGINT") & number.between(rule["low"], rule["high"]))
-        .when(name == "inside", (number > rule["low"]) & (number < rule["high"]))
-        .when(name == "pattern", string & F.regexp_like(value, rule["text"]))
-        .when(name == "one_of", string & F.array_contains(rule["options"], value))
-        .when(name == "json", value == rule["text"])
-        .when(name == "past", string & (utc_timestamp(value) <= now))
-        .when(name == "sum", F.abs(total - rule["low"]) <= 1e-9)
-        .when(name == "any", value.isNotNull())
-        .when(name == "optional", F.lit(True))
-    )
+    if name == "text":
+        return string & (value == text)
+    if name == "number":
+        return number == low
+    if name in ("true", "false"):
+        return (kind == "BOOLEAN") & (value == name)
+    if name == "whole":
+        return (kind == "BIGINT") & number.between(low, high)
+    if name == "inside":
+        return (number > low) & (number < high)
+    if name == "pattern":
+        return string & F.regexp_like(value, text)
+    if name == "one_of":
+        return string & value.isin(options)
+    if name == "json":
+        return value == text
+    if name == "past":
+        return string & (utc_timestamp(value) <= now)
+    if name == "sum":
+        total = F.lit(0.0)
+        for p in options:
+            total = total + F.try_variant_get(document, f"$.{p}", "double")
+        return F.abs(total - low) <= 1e-9
+    return value.isNotNull() if name == "any" else F.lit(True)
 
 
 def _known(rules: Sequence) -> dict[str, set[str]]:
@@ -102,20 +108,13 @@ def check_documents(documents: DataFrame, rules: DataFrame, raw: str = "document
     wrong = sorted({r["kind"] for r in listed} - set(KINDS))
     if wrong:
         raise ValueError(f"unknown kinds of rules: {', '.join(wrong)}")
-    literal = lambda v: F.lit(None).cast("string") if v is None else F.lit(v)
-    table = F.array(*[
-        F.struct(
-            F.lit(r["path"]).alias("path"), F.lit(r["kind"]).alias("kind"), literal(r["text"]).alias("text"),
-            F.lit(r["low"]).cast("double").alias("low"), F.lit(r["high"]).cast("double").alias("high"),
-            F.array(*[F.lit(o) for o in r["options"] or []]).cast("array<string>").alias("options"), F.lit(r["code"] or r["path"]).alias("code"),
-        )
-        for r in listed
-    ])
     now = F.current_timestamp() if now is None else now
     text = F.col(raw)
     parsed = F.try_parse_json(text)
     is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
-    broken = F.filter(table, lambda r: ~F.coalesce(_holds(F.col("_variant"), r, now), F.lit(False)))
+    broken = F.array_compact(F.array(*[
+        F.when(~F.coalesce(_holds(F.col("_variant"), r, now), F.lit(False)), F.lit(r["code"] or r["path"])) for r in listed
+    ]).cast("array<string>"))
     extra = []
     for at, names in _known(listed).items():
         own = F.json_object_keys(F.get_json_object(text, f"$.{at}") if at else text)
@@ -126,7 +125,7 @@ def check_documents(documents: DataFrame, rules: DataFrame, raw: str = "document
     return prepared.select(
         *keys,
         F.when(F.col("_variant").isNull(), F.array(F.lit("document"))).otherwise(
-            F.array_sort(F.array_distinct(F.transform(broken, lambda r: r["code"])))
+            F.array_sort(F.array_distinct(broken))
         ).alias("errors"),
         F.when(F.col("_variant").isNull(), F.array().cast("array<string>")).otherwise(F.array_sort(F.flatten(F.array(*extra)))).alias("unknown"),
     )

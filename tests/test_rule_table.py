@@ -66,3 +66,13 @@ def test_the_contract_rules_say_the_same_as_the_fixed_engine(spark, small):
     assert sum(bool(e) for e in fixed.values()) > 10
     plan = R.check_documents(contracts, R.rule_frame(spark, G.contract_rule_rows()))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_rules_are_constants_and_contracts_are_parsed_once(spark, small):
+    from folioscore.queries.governed import _own_contracts
+    from folioscore.queries.inputs import Inputs
+
+    contracts = _own_contracts(Inputs(spark, small))
+    plan = R.check_documents(contracts, R.rule_frame(spark, G.contract_rule_rows()))._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat($., " not in plan and plan.count("from_json(") == 1
+    assert contracts.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
