@@ -398,22 +398,25 @@ def j3(t: Inputs) -> DataFrame:
     return inference.partial_mismatches(_completed(t), t.pairs)
 
 
-# The same joins over tables stored by sample id, which then move no rows.
+# The same joins over tables stored by sample id, which then move no rows. Both sides of a join have
+# as many buckets as the texts fill, so that the rows of a bucket do not grow with the input.
+BUCKET_BYTES = 4_000_000
 
 
-def _by_id(df: DataFrame, name: str, *more: str) -> DataFrame:
-    return store_by_key(df, [ID, *more], name, buckets=8)
+def _by_id(t: Inputs, df: DataFrame, name: str, *more: str) -> DataFrame:
+    (size,) = t.table("documents").agg(F.sum(F.octet_length("text"))).first()
+    return store_by_key(df, [ID, *more], name, buckets=max(8, (size or 0) // BUCKET_BYTES))
 
 
 @query("j1_bucketed_gold", "pairs", sql="SELECT sample_id, reference, prediction, array_to_string(slices,'|') AS slices FROM pairs")
 def j1_bucketed(t: Inputs) -> DataFrame:
-    rows, gold = _by_id(inference.reference_free_rows(t.pairs), "predictions", "source_sha256"), _by_id(t.pairs, "gold", "source_sha256")
+    rows, gold = _by_id(t, inference.reference_free_rows(t.pairs), "predictions", "source_sha256"), _by_id(t, t.pairs, "gold", "source_sha256")
     return inference.join_gold(rows, gold).select(ID, "reference", "prediction", "slices")
 
 
 @query("j2_bucketed_remaining", "pairs", sql="SELECT sample_id FROM pairs WHERE k%30=1")
 def j2_bucketed(t: Inputs) -> DataFrame:
-    return inference.remaining(_by_id(t.pairs.select(ID, "source_sha256"), "selected"), _by_id(_completed(t), "completed")).select(ID)
+    return inference.remaining(_by_id(t, t.pairs.select(ID, "source_sha256"), "selected"), _by_id(t, _completed(t), "completed")).select(ID)
 
 
 @query(
@@ -421,8 +424,8 @@ def j2_bucketed(t: Inputs) -> DataFrame:
     sql="SELECT CASE WHEN k%30=1 THEN 'x' ELSE '' END||sample_id AS sample_id, CASE WHEN k%30=1 THEN 'unknown_sample' ELSE 'identity_mismatch' END AS problem FROM pairs WHERE k%30 IN (1,2)",
 )
 def j3_bucketed(t: Inputs) -> DataFrame:
-    manifest = _by_id(t.pairs.select(ID, "source_sha256", "reference"), "manifest")
-    return inference.partial_mismatches(_by_id(_completed(t), "partial"), manifest)
+    manifest = _by_id(t, t.pairs.select(ID, "source_sha256", "reference"), "manifest")
+    return inference.partial_mismatches(_by_id(t, _completed(t), "partial"), manifest)
 
 
 @query(

@@ -50,3 +50,14 @@ def test_joins_without_an_exchange(spark, sides):
 def test_empty_tables(spark, sides):
     empty = store_by_key(sides[0].limit(0), ["sample_id"], "none", 4)
     assert empty.count() == 0 and inference.remaining(store_by_key(sides[0], ["sample_id"], "some", 4), empty).count() == 400
+
+
+def test_buckets_grow_with_the_texts(spark, small, monkeypatch):
+    from folioscore.queries import diagnosis as D
+    from folioscore.queries.inputs import Inputs
+
+    t = Inputs(spark, small)
+    (size,) = t.table("documents").agg(F.sum(F.octet_length("text"))).first()
+    monkeypatch.setattr(D, "BUCKET_BYTES", size // 20)
+    ids = spark.range(5_000).select(F.col("id").cast("string").alias("sample_id"))
+    assert len(D._by_id(t, ids, "ids").inputFiles()) == size // (size // 20)
