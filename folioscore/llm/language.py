@@ -8,7 +8,7 @@ arrays of n-gram hashes: one search gives a row with the log probability in each
 
 A text's score is its cross-entropy per letter in each language; the lowest wins. `score` is the
 softmax of the entropies, and `rejected` marks texts whose entropy is above what held-in texts of
-that language show (mean plus `spread` standard deviations from a bounded sample).
+that language show (mean plus `spread` standard deviations over all distinct learned texts).
 
 Letters are lower-cased code points; runs of anything else are word breaks. Every n-gram of every
 language is kept. Models of at most `max_cells` numbers an order are broadcast. Larger ones stay
@@ -35,7 +35,6 @@ ORDER = 4
 MAX_CELLS = 2_000_000
 SHARPNESS = 12.0
 SPREAD = 4.0
-SAMPLE = 2000
 BLOCK_BYTES = 32_000_000
 SPACE, OTHER = 32, 0xFFFF  # a letter beyond the basic plane counts as OTHER
 U16 = np.uint64(16)
@@ -386,7 +385,7 @@ def _predicted(docs: DataFrame, models: StoredModels, text_column: str, block_by
 
 def fit(
     docs: DataFrame, *, text_column: str = "text", lang_column: str = "lang", max_cells: int = MAX_CELLS,
-    sample: int = SAMPLE, spread: float = SPREAD,
+    spread: float = SPREAD,
 ) -> Models | StoredModels:
     """Models of every language in `docs`, from all rows with a language and a text.
 
@@ -404,10 +403,10 @@ def fit(
         models = Models({lang: (grams[number == i], n[number == i]) for i, lang in enumerate(names.dictionary.to_pylist())})
     if models.languages:
         known = docs.filter(F.col(text_column).isNotNull() & F.col(lang_column).isNotNull())
-        # About `sample` texts, by their hashes; copies count once, so a frequent text adds one row.
         texts = known.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
-        drawn = texts.filter(F.pmod(F.xxhash64("text"), F.lit(max(1, known.count()))) < sample).dropDuplicates(["text", "lang"])
-        found = identified(drawn, models, prefix="own_").filter("own_pred = lang")
+        # Copies count once; they are told by their hashes after scoring, so no text is shuffled for it.
+        found = identified(texts, models, prefix="own_").filter("own_pred = lang").select("lang", F.md5("text").alias("key"), "own_entropy")
+        found = found.dropDuplicates(["lang", "key"])
         by = {r.lang: r.m + spread * (r.s or 0.0) for r in found.groupBy("lang").agg(F.avg("own_entropy").alias("m"), F.stddev("own_entropy").alias("s")).collect()}
         models.limits = np.array([by.get(lang, np.inf) for lang in models.languages])
     return models

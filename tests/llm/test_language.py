@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioscore.llm import language as L
 
@@ -143,3 +144,14 @@ def test_stored_models_keep_every_gram(spark, messy, empty, models):
         assert rows[0] == rows[1]
     assert {r.lang_pred for r in L.identified(asked, got).filter("text = 'zq wv'").collect()} == {"small"}
     assert L.identified(empty, got).collect() == []
+
+
+def test_limits_come_from_every_learned_text(spark):
+    """More texts than any sample, and a copied one: mean and deviation over the distinct ones."""
+    import statistics
+
+    texts = [f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} some letters" for i in range(4000)]
+    docs = spark.createDataFrame([(t, "en") for t in texts + texts[:1] * 3000], "text string, lang string")
+    models = L.fit(docs)
+    own = [r.e for r in L.identified(docs, models).groupBy("text").agg(F.max("lang_entropy").alias("e")).collect()]
+    assert abs(models.limits[0] - (statistics.mean(own) + L.SPREAD * statistics.stdev(own))) < 1e-9
