@@ -37,7 +37,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from folioscore.llm.common import cut, first_of_each, mixed, own_name, shingle_hashes
+from folioscore.llm.common import cut, first_of_each as _first_of_each, mixed, own_name, shingle_hashes
 from folioscore.llm.components import components
 
 WORDS = 5
@@ -112,7 +112,7 @@ def _batch(paths: list, keys: list, held: list) -> pa.RecordBatch:
 
 def _first_paths(words: int, runs: int, threshold: float, levels: int, start: int):
     def run(batches):
-        for batch in first_of_each(batches):
+        for batch in _first_of_each(batches):
             paths, keys, held = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hashes = shingle_hashes(text, words)
@@ -301,7 +301,7 @@ def candidates_of(texts: DataFrame, words: int, threshold: float, recall: float,
     """Pairs that may be similar, from (key, text) rows of which many may share a key."""
     half = 1 - (1 - recall) / 2
     first = runs_for(half)
-    texts = texts.mapInArrow(first_of_each, "key string, text string")
+    texts = texts.mapInArrow(_first_of_each, "key string, text string")
 
     def paths(rows: DataFrame, runs: int, depth: int, start: int) -> DataFrame:
         return cut(rows.repartition("key").mapInArrow(_first_paths(words, runs, threshold, depth, start), ROWS))
