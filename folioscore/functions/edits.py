@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folioscore.functions.text import exact_match, strip, words
+from folioscore.functions.text import exact_match, single_spaced, strip, words_of
 
 # One character per word of a row's vocabulary: most rows stay inside this literal alphabet.
 _ALPHABET = "".join(chr(0x100 + i) for i in range(256))
@@ -12,9 +12,16 @@ _NEXT_PLANE = 0x10000
 
 
 def char_edits(prediction: Column, reference: Column) -> Column:
-    """Levenshtein distance in code points; equal texts skip the quadratic work."""
-    return F.when(prediction == reference, F.lit(0)).otherwise(
-        F.levenshtein(prediction, reference)
+    """Levenshtein distance in code points.
+
+    Equal texts skip the quadratic work, and so does a text that lies whole in the other: what the
+    longer one has more is the least that any edits must add, and adding it is enough.
+    """
+    inside = F.contains(reference, prediction) | F.contains(prediction, reference)
+    return (
+        F.when(prediction == reference, F.lit(0))
+        .when(inside, F.abs(F.length(prediction) - F.length(reference)))
+        .otherwise(F.levenshtein(prediction, reference))
     )
 
 
@@ -37,6 +44,21 @@ def word_edits(prediction_words: Column, reference_words: Column, vocabulary: Co
     )
 
 
+def plain_word_edits(prediction: Column, reference: Column, prediction_words: Column, reference_words: Column) -> Column:
+    """The distance in words where it needs no table of distances, else null.
+
+    Equal texts, a run of words that lies whole in the other text, and texts of as many words that
+    differ in their first or last word only. The texts are single-spaced.
+    """
+    p, r = prediction_words, reference_words
+    apart = lambda t: F.concat(F.lit(" "), t, F.lit(" "))
+    inside = F.contains(apart(reference), apart(prediction)) | F.contains(apart(prediction), apart(reference))
+    but_first = lambda w: F.slice(w, F.lit(2), F.size(w))
+    but_last = lambda w: F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0)))
+    one = (F.size(p) == F.size(r)) & ((but_first(p) == but_first(r)) | (but_last(p) == but_last(r)))
+    return F.when(prediction == reference, F.lit(0)).when(inside, F.abs(F.size(p) - F.size(r))).when(one, F.lit(1))
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Division as doubles; null when the denominator is zero."""
     return numerator.cast("double") / F.nullif(denominator.cast("double"), F.lit(0.0))
@@ -56,12 +78,14 @@ def with_char_features(df: DataFrame) -> DataFrame:
 
 def with_word_features(df: DataFrame) -> DataFrame:
     """Adds `word_edits` and `ref_words`."""
-    df = df.withColumns({"_pw": words(F.col("prediction")), "_rw": words(F.col("reference"))})
+    df = df.withColumns({"_pt": single_spaced(F.col("prediction")), "_rt": single_spaced(F.col("reference"))})
+    df = df.withColumns({"_pw": words_of(F.col("_pt")), "_rw": words_of(F.col("_rt"))})
+    df = df.withColumn("_plain", plain_word_edits(*[F.col(c) for c in ("_pt", "_rt", "_pw", "_rw")]))
     # A column of its own, so that it is built once per row and not once per word.
-    df = df.withColumn("_vocab", F.array_distinct(F.concat("_pw", "_rw")))
-    edits = word_edits(F.col("_pw"), F.col("_rw"), F.col("_vocab"))
+    df = df.withColumn("_vocab", F.when(F.col("_plain").isNull(), F.array_distinct(F.concat("_pw", "_rw"))))
+    edits = F.coalesce("_plain", word_edits(F.col("_pw"), F.col("_rw"), F.col("_vocab")))
     return df.withColumns({"word_edits": edits, "ref_words": F.size("_rw")}).drop(
-        "_pw", "_rw", "_vocab"
+        "_pt", "_rt", "_pw", "_rw", "_plain", "_vocab"
     )
 
 
@@ -85,6 +109,6 @@ def with_row_features(df: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "char_edits", "exact_match", "ratio", "row_cer", "with_char_features", "with_ned",
+    "char_edits", "exact_match", "plain_word_edits", "ratio", "row_cer", "with_char_features", "with_ned",
     "with_row_features", "with_word_features", "word_edits",
 ]

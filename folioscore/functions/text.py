@@ -12,6 +12,8 @@ _SPACES = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 _ANY_SPACE = f"[{_SPACES}]+"
+# Characters that may be whitespace other than a space: few texts have one.
+_UNCOMMON = r"[^ -~\x{A1}-\x{167F}]"
 
 
 def strip(c: Column) -> Column:
@@ -24,10 +26,22 @@ def collapse(c: Column) -> Column:
     return strip(F.regexp_replace(c, _ANY_SPACE, " "))
 
 
+def single_spaced(c: Column) -> Column:
+    """The words of a text with one space between; most texts are that already."""
+    unlike = c.rlike(_UNCOMMON) | F.contains(c, F.lit("  ")) | F.startswith(c, F.lit(" ")) | F.endswith(c, F.lit(" "))
+    # A single character splits without a pattern, which Spark would compile for each row.
+    cut = F.split(F.translate(c, _SPACES, " " * len(_SPACES)), " ")
+    return F.when(unlike, F.array_join(F.array_remove(cut, ""), " ")).otherwise(c)
+
+
+def words_of(flat: Column) -> Column:
+    """Words of a single-spaced text."""
+    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+
+
 def words(c: Column) -> Column:
     """Words of a text; an empty text has none."""
-    flat = strip(c)
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, _ANY_SPACE))
+    return words_of(single_spaced(c))
 
 
 def exact_match(prediction: Column, reference: Column) -> Column:

@@ -67,8 +67,9 @@ def unmatched_flags(records: DataFrame, flags: DataFrame) -> DataFrame:
 
 def category_totals(failures: DataFrame) -> DataFrame:
     """Counts, per-split counts and means per category of multi-label failures."""
-    per_set = failures.select("split", "confidence", "line_cer", F.explode("categories").alias("category"))
-    return per_set.groupBy("category").agg(
+    # The outer form keeps Spark from inferring a filter that repeats the edit distances.
+    per_set = failures.select("split", "confidence", "line_cer", F.explode_outer("categories").alias("category"))
+    return per_set.filter(F.col("category").isNotNull()).groupBy("category").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("split") == "validation").alias("validation_count"),
         F.count_if(F.col("split") == "test").alias("test_count"),

@@ -310,13 +310,13 @@ def slice_metrics(
     """The bundle over all rows and per tag of a multi-valued slice column.
 
     Rows are summed per distinct tag set and bin first; only those sums are exploded, so a
-    row with many tags is never copied, and a popular tag never concentrates rows. `more` names
-    further aggregates that add up, such as sums and counts.
+    row with many tags is never copied, and a popular tag never concentrates rows. Tags are
+    normalised in the sums, not in the rows. `more` names further aggregates that add up, such as
+    sums and counts.
     """
     more = more or {}
-    tagged = df.withColumn("_tags", normalize_slices(F.col(slices)))
-    parts = _partial_sums(tagged, ["_tags"], [c.alias(n) for n, c in more.items()])
-    tags = F.concat(F.array(F.lit(overall)), F.col("_tags"))
+    parts = _partial_sums(df, [F.col(slices).alias("_tags")], [c.alias(n) for n, c in more.items()])
+    tags = F.concat(F.array(F.lit(overall)), normalize_slices(F.col("_tags")))
     exploded = parts.withColumn("slice", F.explode(tags)).drop("_tags")
     return _bundle(exploded, "slice", more=list(more))
 

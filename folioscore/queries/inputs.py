@@ -46,8 +46,11 @@ def mod(expr: Column, n: int) -> Column:
 
 
 def one_line(c: Column) -> Column:
-    """A text with every character but its white space, which becomes single spaces."""
-    return F.trim(F.regexp_replace(c, r"[\x20\x09-\x0D]+", " "))
+    """A text with every character but its white space, which becomes single spaces.
+
+    A lone space is left as it is, so the pattern replaces few runs of most texts.
+    """
+    return F.trim(F.regexp_replace(c, r"\x20[\x20\x09-\x0D]+|[\x09-\x0D][\x20\x09-\x0D]*", " "))
 
 
 TWELVE_WORDS = "(?:[^ ]+ ){0,11}[^ ]+"

@@ -84,3 +84,46 @@ def test_timestamps_need_a_zone(spark):
     assert micros("2024-01-01T02:00:00+02:00") == micros("2024-01-01T00:00:00Z") == 1704067200000000
     assert micros("2024-01-01T00:00:00") is None
     assert micros("yesterday") is None
+
+
+def test_distances_that_need_no_table(spark):
+    """Texts inside the other, one odd word at an end, odd white space, and all that is left."""
+    texts = ["", "a b c", "b c", "a b", "xa b c", "a b cx", "a b  c ", "c b a", " a\tb", "ab", "a  a b c", "b", " c", None]
+    rows = [(p, r) for p in texts for r in texts]
+    frame = spark.createDataFrame(rows, "prediction string, reference string")
+
+    def plain(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+            last = now
+        return last[-1]
+
+    found = edits.with_row_features(frame)
+    for row in found.collect():
+        p, r = row.prediction, row.reference
+        if p is None or r is None:
+            assert row.char_edits is None and row.word_edits is None
+            continue
+        assert (row.char_edits, row.word_edits) == (plain(p.strip(), r.strip()), plain(p.split(), r.split()))
+        assert row.ref_words == len(r.split()) and row.ned == plain(p, r) / max(len(p), len(r), 1)
+    flat = edits.with_word_features(frame).select(F.col("word_edits"))
+    assert "_plain" not in flat.columns
+    easy = edits.plain_word_edits(*[F.col(c) for c in ("p", "r")], *[F.split(c, " ") for c in ("p", "r")])
+    some = spark.createDataFrame([("a b", "a b c"), ("x b c", "a b c"), ("a b x", "a b c"), ("c b a", "a b c")], "p string, r string")
+    assert [x[0] for x in some.select(easy).collect()] == [1, 1, 1, None]
+
+
+def test_category_totals_measure_each_row_once(spark):
+    from folioscore.operators import diagnostics
+
+    rows = spark.createDataFrame(
+        [("i", "h", "test", "abc", "abd", 0.95, ["s"], False, True)],
+        "sample_id string, source_sha256 string, split string, reference string, prediction string, confidence double, slices array<string>, is_uncertain boolean, is_unreadable boolean",
+    )
+    totals = diagnostics.category_totals(diagnostics.failure_records(rows.repartition(1)))
+    plan = totals._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("levenshtein") == 1
+    assert sorted(r.category for r in totals.collect()) == ["character_error_ge_0_25", "high_confidence_exact_error", "model_marked_unreadable"]
