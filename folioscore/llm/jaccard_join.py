@@ -13,10 +13,12 @@ There are two rounds, each of which may miss half of what the recall allows. The
 a pair that meets in a bucket that is compared whole is found there. A pair that meets in other buckets
 only has both texts in the second round, with runs of its own for `levels` levels over their texts.
 
-Buckets up to `limit` are compared by brute force over 64-byte sketches. In larger ones, texts that
+Buckets up to `limit` are compared by brute force over 64-byte sketches, each in one row of a bounded
+size: comparing a text with some thousand sketches costs less than the rows of its paths through all
+levels. In larger ones, texts that
 resemble the same one of a few pivots are candidates by way of it; all other pairs are compared in
-tiles, one pair of chunks at a time, if they are few or if no level is left to split the bucket. Comparing only marks candidates and keeps a
-forest of them, so no bucket turns into rows of pairs. Then the texts of each candidate component are compared exactly,
+tiles, one pair of chunks at a time, if they are at most `tiled` for each member or if no level is left to split
+the bucket. Comparing only marks candidates and keeps a forest of them, so no bucket turns into rows of pairs. Then the texts of each candidate component are compared exactly,
 all pairs of them, in tiles of bounded size: the Jaccard similarity of their shingle sets decides.
 
 Equal texts are one node with a number of copies throughout, and one row of each takes part. Words are what ASCII white space
@@ -44,10 +46,12 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
 LEVELS = 3
-LIMIT = 64
+LIMIT = 4096
+TILED = 512
 SKETCH = 64
 SLACK = 0.2  # below the threshold, four standard deviations of the sketch's estimate
 CHUNK = 512
+BLOCK = 1024
 PIVOTS = 8
 TILE = 256
 ROWS = "path long, key string, held binary"
@@ -156,6 +160,23 @@ def _next_paths(batches):
 
 def _similar(held: list[bytes], threshold: float) -> np.ndarray:
     """(n, n): which pairs may reach the threshold, by sizes and sketches."""
+    if len(held) <= 2 * BLOCK:
+        return _similar_block(held, threshold)
+    # Pairs of blocks, so that the numbers of a large bucket never lie in memory at once.
+    near = np.zeros((len(held), len(held)), bool)
+    starts = range(0, len(held), BLOCK)
+    for i in starts:
+        for j in starts[i // BLOCK + 1:]:
+            a, b = held[i:i + BLOCK], held[j:j + BLOCK]
+            found = _similar_block(a + b, threshold)
+            near[i:i + len(a), i:i + len(a)] = found[:len(a), :len(a)]
+            near[i:i + len(a), j:j + len(b)] = found[:len(a), len(a):]
+            near[j:j + len(b), i:i + len(a)] = found[len(a):, :len(a)]
+            near[j:j + len(b), j:j + len(b)] = found[len(a):, len(a):]
+    return near
+
+
+def _similar_block(held: list[bytes], threshold: float) -> np.ndarray:
     sizes = np.array([int.from_bytes(h[:8], "little") for h in held], np.float64)
     sketches = np.frombuffer(b"".join(h[8:8 + SKETCH] for h in held), np.uint8).reshape(len(held), SKETCH)
     fits = np.minimum.outer(sizes, sizes) >= threshold * np.maximum.outer(sizes, sizes)
@@ -164,25 +185,29 @@ def _similar(held: list[bytes], threshold: float) -> np.ndarray:
         known = (some[:, None] | some[None, :]).sum(-1)
         equal = ((sketches[:, None] == sketches[None, :]) & some[:, None]).sum(-1)
     else:
-        equal, known = np.zeros(fits.shape, np.int16), np.zeros(fits.shape, np.int16)
-        for j in range(SKETCH):
-            known += some[:, j][:, None] | some[:, j][None, :]
-            equal += (sketches[:, j][:, None] == sketches[:, j][None, :]) & some[:, j][:, None]
+        filled, both = some.sum(1), some.astype(np.float32)
+        known = np.add.outer(filled, filled) - (both @ both.T).astype(np.int64)
+        # An empty part equals nothing, so it has another number on either side; 64 parts fit a byte.
+        left, right = (np.where(some, sketches, empty).astype(np.uint16).T.copy() for empty in (256, 257))
+        equal = np.zeros(fits.shape, np.uint8)
+        for mine, other in zip(left, right):
+            equal += mine[:, None] == other[None, :]
     # Few parts filled: the estimate says little, so the exact comparison decides.
     return fits & ((equal >= (threshold - SLACK) * known) | (known < 16))
 
 
 def _forest(near: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of an adjacency matrix."""
-    left, out = set(range(len(near))), []
-    while left:
-        todo = [left.pop()]
+    left, out = np.ones(len(near), bool), []
+    for root in range(len(near)):
+        todo = [root] if left[root] else []
+        left[root] = False
         while todo:
             i = todo.pop()
-            for j in [j for j in np.flatnonzero(near[i]).tolist() if j in left]:
-                left.discard(j)
-                out.append((i, j))
-                todo.append(j)
+            fresh = np.flatnonzero(near[i] & left).tolist()
+            left[fresh] = False
+            out += [(i, j) for j in fresh]
+            todo += fresh
     return out
 
 
@@ -222,14 +247,14 @@ def _compared(buckets: DataFrame, threshold: float) -> DataFrame:
     return buckets.mapInArrow(_compare(threshold), "a string, b string")
 
 
-def candidate_edges(rows: DataFrame, threshold: float, levels: int, limit: int, chunk: int) -> DataFrame:
+def candidate_edges(rows: DataFrame, threshold: float, levels: int, limit: int, chunk: int, tiled: int = TILED) -> DataFrame:
     """Pairs of keys that may be similar: a forest of every bucket's."""
     edges = None
     for level in range(1, levels + 1):
         tagged = _bucketed(rows)
         found = _compared(_listed(tagged.filter(F.col("n") <= limit), "path"), threshold)
         edges = found if edges is None else edges.unionByName(found)
-        found, rest = large_edges(tagged.filter(F.col("n") > limit).drop("n"), threshold, limit if level < levels else None, chunk)
+        found, rest = large_edges(tagged.filter(F.col("n") > limit).drop("n"), threshold, tiled if level < levels else None, chunk)
         edges = edges.unionByName(found)
         if level < levels:
             rows = cut(rest.mapInArrow(_next_paths, ROWS))
@@ -297,7 +322,9 @@ def large_edges(rows: DataFrame, threshold: float, limit: int | None, chunk: int
     return by_pivot.unionByName(_compared(_listed(met, "path", "low", "high"), threshold)), rest
 
 
-def candidates_of(texts: DataFrame, words: int, threshold: float, recall: float, levels: int, limit: int, chunk: int) -> DataFrame:
+def candidates_of(
+    texts: DataFrame, words: int, threshold: float, recall: float, levels: int, limit: int, chunk: int, tiled: int = TILED,
+) -> DataFrame:
     """Pairs that may be similar, from (key, text) rows of which many may share a key."""
     half = 1 - (1 - recall) / 2
     first = runs_for(half)
@@ -308,10 +335,13 @@ def candidates_of(texts: DataFrame, words: int, threshold: float, recall: float,
 
     tagged = _bucketed(paths(texts, first, 1, 1))
     edges = _compared(_listed(tagged.filter(F.col("n") <= limit), "path"), threshold)
-    found, rest = large_edges(tagged.filter(F.col("n") > limit).drop("n"), threshold, limit, chunk)
+    found, rest = large_edges(tagged.filter(F.col("n") > limit).drop("n"), threshold, tiled, chunk)
+    edges = edges.unionByName(found)
     crowded = cut(rest.select("key").distinct())
+    if crowded.isEmpty():
+        return edges
     rows = paths(texts.join(crowded, "key", "left_semi"), runs_for(half, levels), levels, first + 1)
-    return edges.unionByName(found).unionByName(candidate_edges(rows, threshold, levels, limit, chunk))
+    return edges.unionByName(candidate_edges(rows, threshold, levels, limit, chunk, tiled))
 
 
 def exact_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -360,6 +390,7 @@ def _verify(words: int, threshold: float):
 def similar_documents(
     docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, threshold: float = THRESHOLD,
     recall: float = RECALL, levels: int = LEVELS, limit: int = LIMIT, chunk: int = CHUNK, tile: int = TILE,
+    tiled: int = TILED,
 ) -> DataFrame:
     """(doc_id, class_id, n_links, text_key) of each row: its class of linked texts and its number of links."""
     text = F.coalesce(F.col(text_column), F.lit(""))
@@ -369,7 +400,7 @@ def similar_documents(
     # A text's node in the graphs: 64 bits of its digest, which Spark hashes and compares as numbers.
     node = lambda key: F.xxhash64(key)
     classes = cut(spoken.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).withColumn("node", node("key")))
-    edges = candidates_of(spoken.select("key", "text"), words, threshold, recall, levels, limit, chunk)
+    edges = candidates_of(spoken.select("key", "text"), words, threshold, recall, levels, limit, chunk, tiled)
     candidates = components(edges.select(node("a").alias("a"), node("b").alias("b")))
     sizes = candidates.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("m"))
     tiles = F.ceil(F.col("m") / tile).cast("int")

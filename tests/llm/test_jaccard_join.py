@@ -136,3 +136,45 @@ def test_pairs_meet_in_a_leftover_bucket_that_no_pivot_resembles(spark):
     assert {tuple(sorted(r)) for r in edges.collect()} == pairs and not rest.count()
     edges, rest = J.large_edges(spark.createDataFrame(rows, J.ROWS), 0.8, 64, 16)
     assert rest.count() == 400
+
+
+def test_texts_alike_below_the_threshold_are_compared_where_they_meet(spark, monkeypatch):
+    rnd = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    passage = rnd.choices(vocabulary, k=110)
+    rows = [" ".join(passage + rnd.choices(vocabulary, k=70)) for _ in range(250)]
+    for i in range(0, 250, 25):  # near copies of some
+        words = rows[i].split()
+        words[150] = "other"
+        rows.append(" ".join(words))
+    rows = list(enumerate(rows))
+    split = []
+    whole = J.candidate_edges
+    monkeypatch.setattr(J, "candidate_edges", lambda paths, *a: split.append(paths.count()) or whole(paths, *a))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = J.similar_documents(frame).collect()
+    assert sorted(repr(tuple(r)[:3]) for r in got) == plain(rows)
+    assert not sum(split)
+
+
+def test_large_buckets_are_split_above_the_bound(spark):
+    rows = corpus(hot=90)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = J.similar_documents(frame, recall=0.99999, limit=4, chunk=16, tile=16, tiled=4).collect()
+    assert sorted(repr(tuple(r)[:3]) for r in got) == plain(rows)
+
+
+def test_sketches_compare_as_one_by_one():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+    sets = [base[rng.random(200) < rng.choice([0.05, 0.5, 0.9])] for _ in range(60)] + [base[:1]]
+    held = [len(s).to_bytes(8, "little") + J.sketch_of(s).tobytes() for s in sets]
+    near = J._similar(held, 0.8)
+    for i, a in enumerate(held):
+        for j, b in enumerate(held):
+            sizes = sorted(int.from_bytes(h[:8], "little") for h in (a, b))
+            known = sum(x > 0 or y > 0 for x, y in zip(a[8:], b[8:]))
+            equal = sum(x == y > 0 for x, y in zip(a[8:], b[8:]))
+            assert near[i, j] == (sizes[0] >= 0.8 * sizes[1] and (equal >= (0.8 - J.SLACK) * known or known < 16))
