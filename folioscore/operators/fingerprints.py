@@ -33,12 +33,12 @@ def table_fingerprint(df: DataFrame, row_text: Column, *by: str) -> DataFrame:
     return sums.select(*by, "n_rows", F.sha2(lanes, 256).alias("fingerprint"))
 
 
-def evaluation_line() -> Column:
+def evaluation_line(reference: str = "reference") -> Column:
     """Identity, reference and slices of a record as canonical JSON, without the prediction."""
     return canonical_json(
         sample_id=F.col("sample_id"),
         source_sha256=F.col("source_sha256"),
-        reference=F.col("reference"),
+        reference=F.col(reference),
         slices=F.col("slices"),
     )
 

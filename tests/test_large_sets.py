@@ -41,6 +41,28 @@ def test_order_and_content_change_the_root_and_places_are_found(spark):
     assert tree_digest.changed_places(trees[0], trees[0], 4).count() == 0
 
 
+def test_trees_of_several_lines_share_one_sort_and_hold_bytes(spark, monkeypatch):
+    rows = [(i, f"{i}", "x" if i in (17, 18, 150) else f"{i}") for i in range(200)]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "k long, one string, two string")
+    sorts, plain = [], tree_digest.global_position
+    monkeypatch.setattr(tree_digest, "global_position", lambda *a, **b: sorts.append(1) or plain(*a, **b))
+    both, n = tree_digest.trees(df, ["k"], {"one": F.col("one"), "two": F.col("two")}, 4)
+    assert len(sorts) == 1 and n == 200
+    for at, name in ((1, "one"), (2, "two")):
+        root = both[name][-1].head()["digest"]
+        assert len(root) == 32 and bytes(root).hex() == plain_root([r[at] for r in sorted(rows)], 4)
+    assert sorted(r["place"] for r in tree_digest.changed_places(both["one"], both["two"]).collect()) == [17, 18, 150]
+
+
+def test_places_of_trees_with_other_last_runs_and_of_single_rows(spark):
+    levels = lambda n: tree_digest.tree_levels(spark.range(n), ["id"], F.col("id").cast("string"), 4)[0]
+    assert sorted(r["place"] for r in tree_digest.changed_places(levels(61), levels(50)).collect()) == list(range(50, 61))
+    other = tree_digest.tree_levels(spark.range(1), ["id"], F.lit("x"), 4)[0]
+    assert [r["place"] for r in tree_digest.changed_places(levels(1), other).collect()] == [0]
+    assert tree_digest.changed_places(levels(0), levels(0)).collect() == []
+
+
 ROW = "a long, b string, c double"
 
 
