@@ -160,6 +160,19 @@ def test_frozen_table_is_written_once_and_drift_is_seen(spark, tmp_path):
         sinks.verify_frozen(frozen, df.withColumn("reference", F.lit("z")))
 
 
+def test_rows_of_a_frozen_table_meet_by_digests_and_drift_is_listed(spark):
+    schema = "sample_id string, reference string, n double, tags array<string>"
+    rows = [("a", None, 0.0, ["x"]), (None, "a", 0.0, ["x"]), ("b", "null", 1.0, None), ("b", "null", 1.0, None), ("c", 'd","e', -0.0, [])]
+    other = [("a", None, -0.0, ["x"]), (None, "a", 0.0, ["y"]), ("b", "null", 1.0, None), ('c","d', "e", 0.0, []), ("b", None, 1.0, None)]
+    left, right = spark.createDataFrame(rows, schema), spark.createDataFrame(other, schema)
+    wanted = sorted(map(str, table_difference(left, right).collect()))
+    assert len(wanted) == 6 and sorted(map(str, sinks.frozen_problems(left, right).collect())) == wanted
+    same = sinks.frozen_problems(left, left)
+    assert same.columns == [*left.columns, "surplus"] and same.collect() == []
+    # No whole row is dealt out when nothing differs.
+    assert "Exchange hash" not in same._jdf.queryExecution().executedPlan().toString()
+
+
 def test_inventory_digest(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     files = {"b.json": b"{}", "sub/a.bin": b"123"}
