@@ -28,6 +28,17 @@ def task_id(manifest_sha256: Column, source_sha256: Column, sample_id: Column, s
     return pseudonym("label-", digest, 24)
 
 
+def packed(text: Column) -> Column:
+    """A text as bytes for a shuffle: lower-case hex, as of digests, takes half. `unpacked` gives any text back."""
+    raw = F.unhex(text)
+    return F.when(F.lower(F.hex(raw)) == text, F.concat(F.lit(b"\1"), raw)).otherwise(F.concat(F.lit(b"\0"), text.cast("binary")))
+
+
+def unpacked(raw: Column) -> Column:
+    body = F.substring(raw, 2, 1 << 30)
+    return F.when(F.substring(raw, 1, 1) == F.lit(b"\1"), F.lower(F.hex(body))).otherwise(body.cast("string"))
+
+
 def canonical_json(**columns: Column) -> Column:
     """Compact JSON with sorted keys that keeps nulls."""
     ordered = [columns[name].alias(name) for name in sorted(columns)]

@@ -410,7 +410,8 @@ def _by_id(t: Inputs, df: DataFrame, name: str, *more: str) -> DataFrame:
 
 @query("j1_bucketed_gold", "pairs", sql="SELECT sample_id, reference, prediction, array_to_string(slices,'|') AS slices FROM pairs")
 def j1_bucketed(t: Inputs) -> DataFrame:
-    rows, gold = _by_id(t, inference.reference_free_rows(t.pairs), "predictions", "source_sha256"), _by_id(t, t.pairs, "gold", "source_sha256")
+    rows = _by_id(t, inference.reference_free_rows(t.pairs), "predictions", "source_sha256")
+    gold = _by_id(t, t.pairs.select(ID, "source_sha256", "reference", "slices"), "gold", "source_sha256")
     return inference.join_gold(rows, gold).select(ID, "reference", "prediction", "slices")
 
 

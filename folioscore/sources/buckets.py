@@ -10,19 +10,24 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from folioscore.session import staging_path
+from folioscore.functions.digests import packed, unpacked
+from folioscore.session import CODEC, staging_path
 
 BUCKETS = 32
 
 
 def store_by_key(df: DataFrame, keys: Sequence[str], name: str, buckets: int = BUCKETS, path: str | None = None) -> DataFrame:
     """Writes `df` bucketed and sorted by `keys` under `path` (the shared folder by default), and
-    returns it as a table. The table's own name is unique; `name` is for people."""
+    returns it as a table. The table's own name is unique; `name` is for people. Digests move as bytes."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
     # One task writes one bucket, so a bucket is one file and its sort order is kept.
-    dealt = df.repartition(buckets, *keys)
-    dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path or staging_path(spark, name)).saveAsTable(table)
+    bucket = F.pmod(F.hash(*keys), F.lit(buckets))
+    texts = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
+    moved = df.select(bucket.alias("_bucket"), *[packed(F.col(c)).alias(c) if c in texts else c for c in df.columns])
+    dealt = moved.repartitionById(buckets, F.col("_bucket")).select(*[unpacked(F.col(c)).alias(c) if c in texts else c for c in df.columns])
+    out = dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("compression", CODEC)
+    out.option("path", path or staging_path(spark, name)).saveAsTable(table)
     return spark.table(table)
