@@ -1,8 +1,13 @@
 """Digests move and are kept as half their text, without a change of any value."""
 
+import gzip
+import json
+
 from pyspark.sql import functions as F
 
 from folioscore.functions.digests import packed, unpacked
+from folioscore.operators import manifest
+from folioscore.sources import sinks
 from folioscore.sources.buckets import store_by_key
 
 DIGEST = "0123456789abcdef" * 4
@@ -33,3 +38,46 @@ def test_buckets_are_dealt_as_bytes(spark, tmp_path):
     files = list((tmp_path / "t").glob("*.parquet"))
     # One file a bucket, or the sort order of a bucket would be lost.
     assert len(files) == 8 and sum(f.stat().st_size for f in files) < 20_000 * 100
+
+
+def _manifest(spark, n):
+    digest = lambda c: F.sha2(F.concat(F.lit(c), "id"), 256)
+    return spark.range(n).select(
+        digest("s").alias("sample_id"), digest("f").alias("source_sha256"), F.lit("the same words").alias("reference"),
+        F.when(F.col("id") % 3 == 0, "test").otherwise("train").alias("split"),
+    )
+
+
+def test_a_manifest_table_moves_no_rows(spark, tmp_path):
+    rows = _manifest(spark, 20_000)
+    _, moved = written(spark, lambda: sinks.write_manifest_table(rows, str(tmp_path / "t")))
+    assert moved == 0
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert table.select(rows.columns).exceptAll(rows).isEmpty() and table.count() == 20_000
+
+
+def test_a_manifest_is_sorted_as_bytes(spark, tmp_path):
+    odd = spark.createDataFrame([("Z", None, "", "test"), ("a", "b", "ab", None), (None, "c", None, "test"), ("0", "d", "x", "test")], "sample_id string, source_sha256 string, reference string, split string")
+    rows = _manifest(spark, 20_000).unionByName(odd)
+    _, moved = written(spark, lambda: sinks.write_manifest(rows, str(tmp_path / "m")))
+    assert moved < 20_000 * 100
+    lines = spark.read.schema(rows.schema).json(str(tmp_path / "m"))
+    assert lines.exceptAll(rows).isEmpty() and lines.count() == 20_004
+    files = sorted((tmp_path / "m").glob("*.gz"))
+    kept = [json.loads(line)["sample_id"] for f in files for line in gzip.open(f, "rt")]
+    assert kept[0] is None and kept[1:] == sorted(kept[1:])
+
+
+def test_files_join_as_bytes(spark):
+    labels = spark.range(20_000).select(F.col("id").cast("string").alias("filename"), F.lit("t").alias("text"), F.lit("w").alias("writer_id"), F.lit("a").alias("slices"))
+    files = labels.select("filename", F.sha2("filename", 256).alias("source_sha256")).filter("filename <> '7'")
+    files = files.unionByName(spark.createDataFrame([("7", "not a digest")], files.schema))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        identity = manifest.DatasetIdentity("lines", "v1", "x", "https://example.org", "line")
+        found, moved = written(spark, lambda: manifest.build_manifest(labels, files, identity).select("image_path", "source_sha256").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {f"images/{r['filename']}": r["source_sha256"] for r in files.collect()}
+    assert {r["image_path"]: r["source_sha256"] for r in found} == want and want["images/7"] == "not a digest"
+    assert moved < 20_000 * 62
