@@ -375,6 +375,9 @@ _sql(
 class Inputs:
     """The derived tables of one scale folder."""
 
+    # Shift and factor of the predictions of two models.
+    MODEL, BASELINE = (0, 37), (1, 41)
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = ship_package(spark), folder
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -409,7 +412,8 @@ class Inputs:
             "reference", (F.col("doc_id") + line).alias("k"),
         )
 
-    def _pairs(self, shift: int, factor: int) -> DataFrame:
+    def _predicted(self, shift: int, factor: int) -> tuple[Column, Column]:
+        """Prediction and confidence of a line."""
         k, reference = F.col("k"), F.col("reference")
         pick = mod(k + shift, 5)
         padded = F.when(mod(F.col("line_no"), 2) == 1, F.concat(reference, F.lit(" "))).otherwise(reference)
@@ -420,6 +424,16 @@ class Inputs:
             .when(pick == 3, F.regexp_replace(reference, " ?[^ ]+$", ""))
             .otherwise(F.concat(reference, F.lit(" x")))
         )
+        return prediction, hundredths(F.col("doc_id") * factor + F.col("line_no") * 17)
+
+    @staticmethod
+    def _sample_id() -> Column:
+        sample = F.concat_ws("-", F.col("doc_id").cast("string"), F.col("line_no").cast("string"))
+        return F.sha2(F.concat_ws("\0", F.lit("documents"), F.lit("v1"), sample), 256)
+
+    def _pairs(self, shift: int, factor: int) -> DataFrame:
+        k = F.col("k")
+        prediction, confidence = self._predicted(shift, factor)
         slices = F.array_compact(
             F.array(
                 F.concat(F.lit("lang_"), "lang"),
@@ -428,12 +442,9 @@ class Inputs:
                 F.when(mod(F.col("doc_id"), 2) == 0, "src_even").otherwise("src_odd"),
             )
         )
-        confidence = hundredths(F.col("doc_id") * factor + F.col("line_no") * 17)
-        sample = F.concat_ws("-", F.col("doc_id").cast("string"), F.col("line_no").cast("string"))
         return self.lines.select(
             "doc_id", "line_no", "k",
-            F.sha2(F.concat_ws("\0", F.lit("documents"), F.lit("v1"), sample), 256).alias("sample_id"),
-            "source_sha256", "reference", prediction.alias("prediction"),
+            self._sample_id().alias("sample_id"), "source_sha256", "reference", prediction.alias("prediction"),
             confidence.alias("confidence"),
             (50 + mod(F.col("doc_id") * 13 + F.col("line_no") * 7, 400)).cast("double").alias("latency_ms"),
             ((1 + mod(k, 7)).cast("double") / 1000).alias("cost_per_page_usd"),
@@ -444,11 +455,11 @@ class Inputs:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return self._pairs(0, 37)
+        return self._pairs(*self.MODEL)
 
     @cached_property
     def baseline(self) -> DataFrame:
-        return self._pairs(1, 41)
+        return self._pairs(*self.BASELINE)
 
     @cached_property
     def validation(self) -> DataFrame:
@@ -666,8 +677,13 @@ class Inputs:
     def instances(self) -> DataFrame:
         from folioscore.functions.edits import row_cer, with_char_features
 
-        both = self.pairs.withColumn("model_version", F.lit("v1")).unionByName(
-            self.baseline.withColumn("model_version", F.lit("v2"))
+        # Both versions of a line come from one row and stand together.
+        versions = [
+            F.struct(prediction.alias("prediction"), confidence.alias("confidence"), F.lit(version).alias("model_version"))
+            for version, (prediction, confidence) in (("v1", self._predicted(*self.MODEL)), ("v2", self._predicted(*self.BASELINE)))
+        ]
+        both = self.lines.select(
+            "doc_id", "line_no", "k", self._sample_id().alias("sample_id"), "reference", F.inline(F.array(*versions))
         )
         k = mod(F.col("k"), 6)
         cer = F.when(k == 5, 0.0).otherwise(row_cer(F.col("char_edits"), F.col("ref_chars")))
