@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from folioscore.functions.digests import packed, unpacked
+from folioscore.functions.digests import packed_texts, unpacked_texts
 from folioscore.session import CODEC, staging_path
 
 BUCKETS = 32
@@ -25,9 +25,8 @@ def store_by_key(df: DataFrame, keys: Sequence[str], name: str, buckets: int = B
     table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
     # One task writes one bucket, so a bucket is one file and its sort order is kept.
     bucket = F.pmod(F.hash(*keys), F.lit(buckets))
-    texts = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
-    moved = df.select(bucket.alias("_bucket"), *[packed(F.col(c)).alias(c) if c in texts else c for c in df.columns])
-    dealt = moved.repartitionById(buckets, F.col("_bucket")).select(*[unpacked(F.col(c)).alias(c) if c in texts else c for c in df.columns])
+    moved = packed_texts(df.withColumn("_bucket", bucket)).repartitionById(buckets, F.col("_bucket"))
+    dealt = unpacked_texts(moved, df)
     out = dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("compression", CODEC)
     out.option("path", path or staging_path(spark, name)).saveAsTable(table)
     return spark.table(table)

@@ -3,10 +3,13 @@
 import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioscore.functions.digests import packed, unpacked
-from folioscore.operators import manifest
+from folioscore.operators import inference, manifest
+from folioscore.operators.rules import InvalidRows
+from folioscore.queries.inputs import Inputs
 from folioscore.sources import sinks
 from folioscore.sources.buckets import store_by_key
 
@@ -81,3 +84,51 @@ def test_files_join_as_bytes(spark):
     want = {f"images/{r['filename']}": r["source_sha256"] for r in files.collect()}
     assert {r["image_path"]: r["source_sha256"] for r in found} == want and want["images/7"] == "not a digest"
     assert moved < 20_000 * 62
+
+
+def _samples(spark, n):
+    digest = lambda c: F.sha2(F.concat(F.lit(c), "id"), 256)
+    return spark.range(n).select(digest("s").alias("sample_id"), digest("f").alias("source_sha256"), F.concat(F.lit("the same words "), "id").alias("reference"))
+
+
+def test_a_resumed_run_compares_digests(spark):
+    rows = _samples(spark, 20_000)
+    done = rows.limit(6_000).localCheckpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left, moved = written(spark, lambda: inference.resume(rows, done).count())
+        assert left == 14_000 and moved < 20_000 * 200
+        for change in (
+            done.withColumn("sample_id", F.lit("other")), done.withColumn("sample_id", F.lit(None).cast("string")),
+            done.withColumn("source_sha256", F.lit("0" * 64)), done.withColumn("reference", F.lit("changed")),
+        ):
+            with pytest.raises(InvalidRows):
+                inference.resume(rows, change)
+        # As before, a hash that is not known on the side of the predictions is no mismatch.
+        assert inference.resume(rows, done.withColumn("source_sha256", F.lit(None).cast("string"))).count() == 14_000
+        # Nor may a second row of a sample in the manifest differ.
+        twice = rows.unionByName(done.limit(1).withColumn("reference", F.lit("again")))
+        with pytest.raises(InvalidRows):
+            inference.resume(twice, done)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_published_ids_are_compared_by_digest(spark, tmp_path):
+    rows = _samples(spark, 20_000)
+    _, moved = written(spark, lambda: sinks.publish_predictions(rows, rows, str(tmp_path / "final")))
+    assert moved < 20_000 * 2 * 40
+    for partial in (rows.filter("reference <> 'the same words 7'"), rows.unionByName(rows.limit(1))):
+        with pytest.raises(InvalidRows):
+            sinks.publish_predictions(partial, rows, str(tmp_path / "other"))
+
+
+def test_both_versions_of_a_line_stand_together(spark, small, tmp_path):
+    """So a compressed file holds what they share once; the lines are derived once for both."""
+    t = Inputs(spark, small)
+    ids = [r["instance_id"] for r in t.instances.select("instance_id").limit(200).collect()]
+    assert ids[::2] == ids[1::2]
+    both = t.pairs.withColumn("model_version", F.lit("v1")).unionByName(t.baseline.withColumn("model_version", F.lit("v2")))
+    key = lambda df, *c: df.select(*c, "confidence", "model_version")
+    got, want = key(t.instances, "instance_id", "predicted_text", "reference_text"), key(both, "sample_id", "prediction", "reference")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
